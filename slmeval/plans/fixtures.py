@@ -33,6 +33,8 @@ TABLES = (
 # Fixed values of the fixture mapping.
 MEMORY_TOTAL_MB = 8191
 RUN_LABEL_ORDER = ["A", "N", "R"]
+# The input order of runs: these lineitem columns identify a row.
+RUN_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,8 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def runs_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(
-        "l_orderkey",
-        "l_linenumber",
+        *RUN_ORDER,
         F.col("l_returnflag").alias("label"),
         F.concat(F.lit("status "), F.col("l_linestatus")).alias("answer"),
         (F.col("l_discount") * F.lit(1000.0)).alias("ram_before"),

@@ -150,3 +150,137 @@ FROM u WHERE value IS NOT NULL AND NOT isnan(value)
 )
 def q_run_metric_cdf(spark, sf_dir):
     return stats.metric_cdfs(fx.runs_from_lineitem(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------------------
+# 3. prompts, training text, answer cleaning, reports
+
+from ..functions import format as fmt  # noqa: E402
+from ..functions import text as tx  # noqa: E402
+from ..operators import split as sp  # noqa: E402
+
+_WS = "(" + " || ".join(f"chr({c})" for c in tx.PY_WHITESPACE_CODEPOINTS) + ")"
+
+
+def _sql_clean(expr: str) -> str:
+    s1 = f"trim({expr}, {_WS})"
+    s2 = f"trim(split_part({s1}, chr(10), 1), {_WS})"
+    return f"CASE WHEN lower(substring({s2}, 1, 7)) = 'answer:' THEN trim(substring({s2}, 8), {_WS}) ELSE {s2} END"
+
+
+_SQL_PROMPT = "'Scenario: ' || coalesce(role, 'None') || chr(10) || 'Question: ' || coalesce(text, 'None') || chr(10) || 'Answer:'"
+
+
+@register("build_prompt", f"SELECT conv_id, turn, {_SQL_PROMPT} AS prompt FROM conversations")
+def q_build_prompt(spark, sf_dir):
+    it = fx.items_from_conversations(spark, sf_dir)
+    return it.select("conv_id", "turn", tx.build_prompt("scenario", "question").alias("prompt"))
+
+
+@register(
+    "build_training_text",
+    f"""
+SELECT q.conv_id, q.turn, {_SQL_PROMPT.replace('role', 'q.role').replace('text,', 'q.text,')} AS prompt,
+       {_SQL_PROMPT.replace('role', 'q.role').replace('text,', 'q.text,')} || ' ' || coalesce(a.text, 'None') AS text
+FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+WHERE q.role = 'user' AND a.role = 'assistant'
+""",
+)
+def q_build_training_text(spark, sf_dir):
+    t = fx.training_items(spark, sf_dir)
+    p = tx.build_prompt("scenario", "question")
+    return t.select("conv_id", "turn", p.alias("prompt"), tx.build_training_text(p, "answer").alias("text"))
+
+
+@register("clean_answer", f"SELECT doc_id, {_sql_clean('text')} AS answer FROM documents")
+def q_clean_answer(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    return d.select("doc_id", tx.clean_answer("text").alias("answer"))
+
+
+@register(
+    "format_run_report",
+    """
+SELECT run_no,
+       'Run ' || run_no || ': ' || ('status ' || l_linestatus) || chr(10) ||
+       '   Time: ' || CAST(l_quantity AS VARCHAR) || 's | RAM: ' || printf('%.2f', l_discount * 1000.0) || '->' ||
+       printf('%.2f', l_extendedprice) || ' MB | CPU: ' || printf('%.2f', l_tax) || '%' AS report
+FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS run_no FROM lineitem)
+""",
+)
+def q_format_run_report(spark, sf_dir):
+    runs = sp.number_runs(fx.runs_from_lineitem(spark, sf_dir), fx.RUN_ORDER)
+    return runs.select(
+        "run_no",
+        fmt.format_run_report("run_no", "answer", "inference_time", "ram_before", "ram_after", "cpu_usage").alias("report"),
+    )
+
+
+def _sql_pad(e: str) -> str:
+    return f"CASE WHEN length({e}) >= 15 THEN {e} ELSE rpad({e}, 15, ' ') END"
+
+
+@register(
+    "format_scoreboard",
+    f"""
+SELECT label,
+       concat_ws(' ', {_sql_pad('label')}, {_sql_pad("printf('%.4f', avg_time)")},
+                 {_sql_pad("printf('%.2f', avg_ram_after)")}, {_sql_pad("printf('%.2f', avg_cpu)")}) AS averages_line,
+       concat_ws(' ', {_sql_pad('label')}, {_sql_pad("printf('%.1f', score_time)")},
+                 {_sql_pad("printf('%.1f', score_ram)")}, {_sql_pad("printf('%.1f', score_cpu)")}) AS scores_line
+FROM ({_SCORES_SQL})
+""",
+)
+def q_format_scoreboard(spark, sf_dir):
+    s = q_relative_scores(spark, sf_dir)
+    return s.select(
+        "label",
+        fmt.format_scoreboard_line("label", ["avg_time", "avg_ram_after", "avg_cpu"], [4, 2, 2]).alias("averages_line"),
+        fmt.format_scoreboard_line("label", ["score_time", "score_ram", "score_cpu"], [1, 1, 1]).alias("scores_line"),
+    )
+
+
+# --------------------------------------------------------------------------------------
+# 4. exact split, remainder, numbering, batches (documents)
+
+_SQL_SPLIT = """
+WITH k AS (SELECT doc_id, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+r AS (SELECT doc_id, h, row_number() OVER (ORDER BY h, doc_id) AS rn, count(*) OVER () AS n FROM k)
+"""
+
+
+@register("split_exact", _SQL_SPLIT + "SELECT doc_id, rn <= round_even(0.8 * n, 0) AS in_train FROM r")
+def q_split_exact(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id")
+    return sp.split_exact(d, "doc_id", 0.8, 42)
+
+
+@register("remainder", _SQL_SPLIT + "SELECT doc_id, lang FROM r JOIN documents USING (doc_id) WHERE rn > round_even(0.8 * n, 0)")
+def q_remainder(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
+    train, _ = sp.train_eval(d, "doc_id", 0.8, 42)
+    return sp.remainder(d, train, "doc_id")
+
+
+@register(
+    "number_runs",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, "
+    "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS run_no FROM lineitem",
+)
+def q_number_runs(spark, sf_dir):
+    li = fx.table(spark, sf_dir, "lineitem").select(*fx.RUN_ORDER)
+    return sp.number_runs(li, fx.RUN_ORDER)
+
+
+@register(
+    "make_batches",
+    _SQL_SPLIT + """
+, t AS (SELECT doc_id, rn FROM r WHERE rn <= round_even(0.8 * n, 0))
+SELECT CAST((rn - 1) // 3 AS BIGINT) AS batch_id, list(doc_id ORDER BY rn) AS ids FROM t GROUP BY 1
+""",
+)
+def q_make_batches(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id")
+    train = sp.split_exact(d, "doc_id", 0.8, 42).filter("in_train")
+    keyed = train.withColumn("_h", sp.split_key("doc_id", 42))
+    return sp.make_batches(keyed, ["_h", "doc_id"], "doc_id", 3)
