@@ -20,9 +20,15 @@ def elapsed_seconds(start, end, digits: int = 3) -> Column:
 
 
 def elapsed_between(start_ts, end_ts, digits: int = 3) -> Column:
-    """``round(end - start, 3)`` seconds between two TIMESTAMP / TIMESTAMP_NTZ columns."""
+    """Seconds between two TIMESTAMP / TIMESTAMP_NTZ columns rounded to ``digits`` decimals.
+
+    Timestamps are whole microseconds, so the rounding is done exactly on integers (half away
+    from zero) and only the final quotient is a double.
+    """
     micros = F.unix_micros(col(end_ts).cast("timestamp")) - F.unix_micros(col(start_ts).cast("timestamp"))
-    return F.round(micros / F.lit(1_000_000.0), digits)
+    unit = 10 ** (6 - digits)
+    units = F.signum(micros).cast("long") * F.call_function("div", F.abs(micros) + F.lit(unit // 2), F.lit(unit))
+    return units.cast("double") / F.lit(float(10**digits))
 
 
 def bytes_to_mib(c) -> Column:

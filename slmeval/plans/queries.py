@@ -284,3 +284,243 @@ def q_make_batches(spark, sf_dir):
     train = sp.split_exact(d, "doc_id", 0.8, 42).filter("in_train")
     keyed = train.withColumn("_h", sp.split_key("doc_id", 42))
     return sp.make_batches(keyed, ["_h", "doc_id"], "doc_id", 3)
+
+
+# --------------------------------------------------------------------------------------
+# 5. token arrays (word vocabulary over documents)
+
+from ..functions import arrays as ar  # noqa: E402
+from ..operators import tokens as tk  # noqa: E402
+
+VOCAB_SIZE = 4096
+_PAT = tk.WORD_PATTERN
+
+_SQL_VOCAB = f"""
+SELECT token, token_id FROM (
+  SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS token_id
+  FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_PAT}')) AS token FROM documents) GROUP BY token)
+) WHERE token_id <= {VOCAB_SIZE + 1}
+UNION ALL SELECT '{tk.WORD_EOS}', {tk.WORD_EOS_ID} UNION ALL SELECT '{tk.WORD_UNK}', {tk.WORD_UNK_ID}
+"""
+
+_SQL_ENCODED = f"""
+WITH v AS ({_SQL_VOCAB}),
+t AS (SELECT doc_id, regexp_extract_all(text, '{_PAT}') AS toks FROM documents),
+e AS (SELECT doc_id, unnest(toks[1:128]) AS token, unnest(generate_series(1, len(toks[1:128]))) AS pos FROM t),
+g AS (SELECT e.doc_id, list(coalesce(v.token_id, {tk.WORD_UNK_ID}) ORDER BY pos) AS ids FROM e LEFT JOIN v USING (token) GROUP BY e.doc_id),
+enc AS (
+  SELECT t.doc_id, CAST(len(t.toks) AS INTEGER) AS n_tokens, coalesce(g.ids, []::INTEGER[]) AS ids,
+         list_resize(coalesce(g.ids, []::INTEGER[]), 128, {tk.WORD_EOS_ID}) AS input_ids,
+         list_resize(list_resize([]::INTEGER[], CAST(least(len(t.toks), 128) AS INTEGER), 1), 128, 0) AS attention_mask
+  FROM t LEFT JOIN g USING (doc_id)
+)
+"""
+
+
+def _ids_text(c):
+    c = F.col(c) if isinstance(c, str) else c
+    return F.array_join(c.cast("array<string>"), ",")
+
+
+def _encoded(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    vocab = tk.build_vocabulary(d, "text", VOCAB_SIZE)
+    return tk.encode_words(d, "doc_id", "text", vocab)
+
+
+@register("word_vocabulary", _SQL_VOCAB)
+def q_word_vocabulary(spark, sf_dir):
+    return tk.build_vocabulary(fx.table(spark, sf_dir, "documents"), "text", VOCAB_SIZE)
+
+
+@register(
+    "encode_fixed",
+    _SQL_ENCODED + """
+SELECT doc_id, n_tokens, array_to_string(input_ids, ',') AS input_ids, array_to_string(attention_mask, ',') AS attention_mask,
+       CAST(list_sum(attention_mask) AS INTEGER) AS mask_sum FROM enc
+""",
+)
+def q_encode_fixed(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", "n_tokens", _ids_text("input_ids").alias("input_ids"),
+                    _ids_text("attention_mask").alias("attention_mask"),
+                    ar.array_sum_long("attention_mask").cast("int").alias("mask_sum"))
+
+
+@register(
+    "causal_labels",
+    _SQL_ENCODED + f"""
+SELECT doc_id, array_to_string(list_transform(input_ids, lambda x: CASE WHEN x = {tk.WORD_EOS_ID} THEN {tk.LABEL_IGNORE} ELSE x END), ',') AS labels
+FROM enc
+""",
+)
+def q_causal_labels(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    return e.select("doc_id", _ids_text(tk.causal_labels("input_ids", tk.WORD_EOS_ID)).alias("labels"))
+
+
+# generated = the first 128 word ids; prompt = first 8; EOS = id 2 (the most frequent word)
+GEN_PROMPT_LEN, GEN_EOS, GEN_MAX_NEW = 8, 2, 50
+
+
+@register(
+    "truncate_at_eos",
+    _SQL_ENCODED + f"""
+, n AS (SELECT doc_id, CASE WHEN len(ids) > {GEN_PROMPT_LEN} THEN ids[{GEN_PROMPT_LEN + 1}:] ELSE []::INTEGER[] END AS new_ids FROM enc),
+c AS (SELECT doc_id, new_ids, coalesce(list_position(new_ids, {GEN_EOS}), 0) AS pos FROM n)
+SELECT doc_id,
+       array_to_string(new_ids[1:CASE WHEN pos > 0 THEN least({GEN_MAX_NEW}, pos) ELSE {GEN_MAX_NEW} END], ',') AS answer_ids,
+       array_to_string(list_filter(new_ids[1:CASE WHEN pos > 0 THEN least({GEN_MAX_NEW}, pos) ELSE {GEN_MAX_NEW} END], lambda x: x <> {GEN_EOS}), ',') AS kept_ids,
+       pos > 0 AND pos <= {GEN_MAX_NEW} AS hit_eos
+FROM c
+""",
+)
+def q_truncate_at_eos(spark, sf_dir):
+    e = _encoded(spark, sf_dir)
+    ids = F.slice("input_ids", 1, F.least(F.col("n_tokens"), F.lit(128)))
+    new = ar.new_tokens(ids, GEN_PROMPT_LEN)
+    cut = ar.truncate_at_eos(new, GEN_EOS, GEN_MAX_NEW)
+    pos = F.array_position(new, GEN_EOS)
+    return e.select(
+        "doc_id",
+        F.array_join(cut.cast("array<string>"), ",").alias("answer_ids"),
+        F.array_join(ar.strip_special_tokens(cut, [GEN_EOS]).cast("array<string>"), ",").alias("kept_ids"),
+        ((pos > 0) & (pos <= GEN_MAX_NEW)).alias("hit_eos"),
+    )
+
+
+# --------------------------------------------------------------------------------------
+# 6. device telemetry (counters, memory gauges, latest reading) from events
+
+from ..operators import logs as lg  # noqa: E402
+from ..operators import telemetry as tm  # noqa: E402
+from ..operators import vectors as vc  # noqa: E402
+from ..operators.ordered import ordered_scan  # noqa: E402
+
+_SQL_COUNTERS = """
+WITH b AS (
+  SELECT user_id AS device_id, ts, event_id,
+         CASE WHEN event_type = 'view' THEN 0 ELSE CAST(round(value * 100) AS BIGINT) END AS busy,
+         CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) ELSE 0 END AS idle
+  FROM events),
+c AS (
+  SELECT device_id, ts, event_id,
+         sum(busy) OVER w + sum(idle) OVER w AS total, sum(idle) OVER w AS idle_c
+  FROM b WINDOW w AS (PARTITION BY device_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (
+  SELECT *, total - lag(total) OVER w2 AS dt, idle_c - lag(idle_c) OVER w2 AS di
+  FROM c WINDOW w2 AS (PARTITION BY device_id ORDER BY ts, event_id))
+"""
+
+
+@register(
+    "counter_delta",
+    _SQL_COUNTERS + """
+SELECT device_id, ts, event_id,
+       CASE WHEN dt >= 0 AND di >= 0 THEN dt END AS d_total,
+       CASE WHEN dt >= 0 AND di >= 0 THEN di END AS d_idle,
+       CASE WHEN dt > 0 AND di >= 0 THEN (100 * (dt - di)) // dt END AS cpu_pct
+FROM d
+""",
+)
+def q_counter_delta(spark, sf_dir):
+    snaps = fx.counters_from_events(spark, sf_dir)
+    out = tm.counter_delta(snaps, "device_id", "ts", "counters", tie_cols=["event_id"])
+    return out.select("device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct")
+
+
+@register(
+    "memory_usage",
+    f"""
+SELECT event_id, user_id AS device_id, {fx.MEMORY_TOTAL_MB} - CAST(floor(value * 10) AS BIGINT) AS used_mb,
+       100.0 * ({fx.MEMORY_TOTAL_MB} - CAST(floor(value * 10) AS BIGINT)) / {fx.MEMORY_TOTAL_MB}.0 AS used_pct,
+       100.0 * CAST(floor(value * 10) AS BIGINT) / {fx.MEMORY_TOTAL_MB}.0 AS available_pct,
+       printf('%dMB / %dMB (%.1f%%)', {fx.MEMORY_TOTAL_MB} - CAST(floor(value * 10) AS BIGINT), {fx.MEMORY_TOTAL_MB},
+              100.0 * ({fx.MEMORY_TOTAL_MB} - CAST(floor(value * 10) AS BIGINT)) / {fx.MEMORY_TOTAL_MB}.0) AS used_text,
+       printf('%dMB (%.1f%%)', CAST(floor(value * 10) AS BIGINT), 100.0 * CAST(floor(value * 10) AS BIGINT) / {fx.MEMORY_TOTAL_MB}.0) AS available_text
+FROM events
+""",
+)
+def q_memory_usage(spark, sf_dir):
+    m = tm.memory_usage(fx.memory_from_events(spark, sf_dir))
+    return m.select("event_id", "device_id", "used_mb", "used_pct", "available_pct", "used_text", "available_text")
+
+
+@register(
+    "latest_reading",
+    """
+SELECT user_id AS device_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value
+FROM events GROUP BY user_id
+""",
+)
+def q_latest_reading(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events").withColumnRenamed("user_id", "device_id")
+    return tm.latest_reading(ev, "device_id", "ts", ["event_type", "value"])
+
+
+@register(
+    "event_gaps",
+    """
+SELECT event_id, user_id,
+       CAST(sign(g) * ((abs(g) + 500) // 1000) AS DOUBLE) / 1000.0 AS gap_s
+FROM (SELECT event_id, user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS g FROM events)
+""",
+)
+def q_event_gaps(spark, sf_dir):
+    from ..functions.metrics import elapsed_between
+
+    ev = fx.table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    s = ordered_scan(ev, ["user_id"], ["ts", "event_id"], carry=["ts"], cum_col=None)
+    return s.select("event_id", "user_id", elapsed_between("prev_ts", "ts").alias("gap_s"))
+
+
+# --------------------------------------------------------------------------------------
+# 7. trainer log series, vectors
+
+
+@register(
+    "loss_series",
+    """
+WITH r AS (SELECT user_id AS run_id, event_id AS seq, event_type, value FROM events),
+rec AS (
+  SELECT run_id, seq, 'loss' AS kind, value AS loss FROM r WHERE event_type IN ('click', 'purchase')
+  UNION ALL
+  SELECT run_id, seq, 'eval_loss', CASE WHEN event_type = 'purchase' THEN value / 2 ELSE value END FROM r
+  WHERE event_type IN ('view', 'purchase'))
+SELECT run_id, kind, row_number() OVER (PARTITION BY run_id, kind ORDER BY seq) AS step, seq, loss FROM rec
+""",
+)
+def q_loss_series(spark, sf_dir):
+    return lg.loss_series(fx.logs_from_events(spark, sf_dir))
+
+
+@register(
+    "quantize_int8",
+    """
+WITH s AS (SELECT vec_id, embedding,
+                  list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))) / 127.0 AS scale FROM embeddings)
+SELECT vec_id, scale,
+       array_to_string(CASE WHEN scale > 0
+         THEN list_transform(embedding, lambda x: CAST(greatest(-127, least(127, round_even(CAST(x AS DOUBLE) / scale, 0))) AS INTEGER))
+         ELSE list_transform(embedding, lambda x: 0) END, ',') AS q
+FROM s
+""",
+)
+def q_quantize_int8(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    q = vc.quantize_int8(e, "embedding")
+    return q.select("vec_id", "scale", F.array_join(F.col("q").cast("array<string>"), ",").alias("q"))
+
+
+@register(
+    "vector_stats",
+    """
+SELECT vec_id, label, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS argmax,
+       round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS mean
+FROM embeddings
+""",
+)
+def q_vector_stats(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "embeddings")
+    s = vc.vector_stats(e, "embedding")
+    return s.select("vec_id", "label", F.col("argmax").cast("int").alias("argmax"), F.round("mean", 6).alias("mean"))
