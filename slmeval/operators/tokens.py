@@ -122,17 +122,34 @@ def encode_words(
     )
 
 
-def decode_words(df: DataFrame, key_col: str, ids_col: str, vocab: DataFrame, special_ids=(WORD_EOS_ID,)) -> DataFrame:
-    """``(key, text)``: ids mapped back through the (broadcast) vocabulary, special ids
-    skipped, tokens joined with one space. Sequences are short (generated answers)."""
+def lookup_words(df: DataFrame, key_cols, text_col: str, vocab: DataFrame, unk_id: int = WORD_UNK_ID,
+                 out_col: str = "ids") -> DataFrame:
+    """``(keys..., ids)``: every word token of each whole text mapped through the broadcast
+    vocabulary (unknown tokens -> ``unk_id``), in text order; no truncation (prompts)."""
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    toks = df.select(*keys, word_tokens(text_col).alias("_t"))
+    exploded = toks.select(*keys, F.posexplode("_t").alias("_pos", "token"))
+    looked = exploded.join(F.broadcast(vocab), "token", "left").select(
+        *keys, "_pos", F.coalesce(F.col("token_id"), F.lit(unk_id)).cast("int").alias("_id"))
+    gathered = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
+    out = toks.select(*keys).join(gathered, keys, "left")
+    return out.select(*keys, F.coalesce(F.transform("_s", lambda s: s["_id"]), F.array().cast("array<int>")).alias(out_col))
+
+
+def decode_words(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, special_ids=(WORD_EOS_ID,),
+                 out_col: str = "text") -> DataFrame:
+    """``(keys..., text)``: ids mapped back through the broadcast vocabulary (ids outside it give
+    ``<|unk|>``), special ids skipped, tokens joined with one space."""
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     special = F.array(*[F.lit(int(s)) for s in special_ids])
-    kept = df.select(col(key_col).alias("_k"), F.filter(col(ids_col), lambda x: ~F.array_contains(special, x)).alias("_ids"))
-    exploded = kept.select("_k", F.posexplode_outer("_ids").alias("_pos", "token_id"))
+    kept = df.select(*keys, F.filter(col(ids_col), lambda x: ~F.array_contains(special, x)).alias("_ids"))
+    exploded = kept.select(*keys, F.posexplode_outer("_ids").alias("_pos", "token_id"))
     looked = exploded.join(F.broadcast(vocab), "token_id", "left")
-    gathered = looked.groupBy("_k").agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", F.coalesce("token", F.lit(WORD_UNK)).alias("t"))))).alias("_s")
+    gathered = looked.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
+                                           F.struct("_pos", F.coalesce("token", F.lit(WORD_UNK)).alias("t"))))).alias("_s")
     )
-    return gathered.select(F.col("_k").alias(key_col), F.array_join(F.transform("_s", lambda s: s["t"]), " ").alias("text"))
+    return gathered.select(*keys, F.array_join(F.transform("_s", lambda s: s["t"]), " ").alias(out_col))
 
 
 # --------------------------------------------------------------------------------------

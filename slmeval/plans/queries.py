@@ -524,3 +524,86 @@ def q_vector_stats(spark, sf_dir):
     e = fx.table(spark, sf_dir, "embeddings")
     s = vc.vector_stats(e, "embedding")
     return s.select("vec_id", "label", F.col("argmax").cast("int").alias("argmax"), F.round("mean", 6).alias("mean"))
+
+
+# --------------------------------------------------------------------------------------
+# 8. batch inference over the item table (prompts from conversations)
+
+from ..operators import infer as inf  # noqa: E402
+
+GEN_VOCAB_SIZE = 4096
+GEN_MODULUS = GEN_VOCAB_SIZE + 2  # the stand-in model's id space (EOS/pad 0, unknown 1, words)
+GEN_EOS_EVERY = 23
+# The three variants of the reference's benchmark and the stand-in seeds.
+VARIANT_SEEDS = {"baseline": 0, "onnx_fp32": 1, "onnx_int8": 2}
+
+
+def _prompt_ids(spark, sf_dir):
+    it = fx.items_from_conversations(spark, sf_dir)
+    prompts = it.select("conv_id", "turn", tx.build_prompt("scenario", "question").alias("prompt"))
+    vocab = tk.build_vocabulary(prompts, "prompt", GEN_VOCAB_SIZE)
+    return tk.lookup_words(prompts, ["conv_id", "turn"], "prompt", vocab), vocab
+
+
+def _generated(spark, sf_dir, variants=None):
+    ids, vocab = _prompt_ids(spark, sf_dir)
+    factory = inf.HashPredictorFactory(GEN_MODULUS, VARIANT_SEEDS, tk.WORD_EOS_ID, GEN_EOS_EVERY)
+    if variants:
+        gen = inf.evaluate_variants(ids, "ids", variants, factory, ["conv_id", "turn"], inf.MAX_NEW_TOKENS, tk.WORD_EOS_ID)
+        keys = ["variant", "conv_id", "turn"]
+    else:
+        gen = inf.batch_generate(ids, "ids", factory, ["conv_id", "turn"], None, inf.MAX_NEW_TOKENS, tk.WORD_EOS_ID)
+        keys = ["conv_id", "turn"]
+    return gen, vocab, keys
+
+
+def _answers(gen, vocab, keys):
+    dec = tk.decode_words(gen, keys, "new_ids", vocab, [tk.WORD_EOS_ID], "decoded")
+    return gen.join(dec, keys, "left").select(
+        *keys, "n_steps", _ids_text("new_ids").alias("new_ids"), tx.clean_answer("decoded").alias("answer")
+    )
+
+
+def _sql_generate(variants: bool) -> str:
+    nxt = f"CASE WHEN (31 * last_id + 7 * s + 13 * n + seed) % {GEN_MODULUS} % {GEN_EOS_EVERY} = 0 THEN 0 ELSE (31 * last_id + 7 * s + 13 * n + seed) % {GEN_MODULUS} END"
+    seeds = ", ".join(f"('{k}', {v})" for k, v in VARIANT_SEEDS.items())
+    var_src = f"(VALUES {seeds}) vs(variant, seed)" if variants else "(VALUES ('baseline', 0)) vs(variant, seed)"
+    vocab = _SQL_VOCAB.replace("documents", "pr").replace("regexp_extract_all(text,", "regexp_extract_all(prompt,")
+    return f"""
+WITH RECURSIVE pr AS (SELECT conv_id, turn, {_SQL_PROMPT} AS prompt FROM conversations),
+v AS ({vocab}),
+tk AS (SELECT conv_id, turn, regexp_extract_all(prompt, '{_PAT}') AS toks FROM pr),
+ex AS (SELECT conv_id, turn, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM tk),
+ids AS (SELECT ex.conv_id, ex.turn, list(coalesce(v.token_id, 1) ORDER BY pos) AS ids FROM ex LEFT JOIN v USING (token) GROUP BY ex.conv_id, ex.turn),
+g(variant, seed, conv_id, turn, step, last_id, s, n, done, out) AS (
+  SELECT variant, seed, conv_id, turn, 0, CAST(ids[len(ids)] AS BIGINT), CAST(list_sum(ids) AS BIGINT), CAST(len(ids) AS BIGINT), false, []::INTEGER[]
+  FROM ids, {var_src}
+  UNION ALL
+  SELECT variant, seed, conv_id, turn, step + 1, {nxt}, s + ({nxt}), n + 1, ({nxt}) = 0, list_append(out, CAST({nxt} AS INTEGER))
+  FROM g WHERE NOT done AND step < {inf.MAX_NEW_TOKENS}
+),
+fin AS (SELECT variant, conv_id, turn, arg_max(out, step) AS out, CAST(max(step) AS INTEGER) AS n_steps FROM g GROUP BY variant, conv_id, turn),
+kept AS (SELECT variant, conv_id, turn, list_filter(out, lambda x: x <> 0) AS k FROM fin),
+dx AS (SELECT variant, conv_id, turn, unnest(k) AS token_id, unnest(generate_series(1, len(k))) AS pos FROM kept),
+dec AS (SELECT variant, conv_id, turn, string_agg(coalesce(v.token, '{tk.WORD_UNK}'), ' ' ORDER BY pos) AS text
+        FROM dx LEFT JOIN v USING (token_id) GROUP BY variant, conv_id, turn)
+SELECT {'fin.variant, ' if variants else ''}fin.conv_id, fin.turn, fin.n_steps, array_to_string(fin.out, ',') AS new_ids,
+       {_sql_clean("coalesce(dec.text, '')")} AS answer
+FROM fin LEFT JOIN dec USING (variant, conv_id, turn)
+"""
+
+
+@register("batch_generate", _sql_generate(False))
+def q_batch_generate(spark, sf_dir):
+    return _answers(*_generated(spark, sf_dir))
+
+
+@register("evaluate_variants", _sql_generate(True))
+def q_evaluate_variants(spark, sf_dir):
+    return _answers(*_generated(spark, sf_dir, list(VARIANT_SEEDS)))
+
+
+@register("batch_generate_telemetry")  # wall time, RSS and CPU differ per run: rows-only check
+def q_batch_generate_telemetry(spark, sf_dir):
+    gen, _, keys = _generated(spark, sf_dir)
+    return gen.select(*keys, "n_steps", "inference_time", "ram_before", "ram_after", "cpu_usage", "worker_pid", "partition_id")
