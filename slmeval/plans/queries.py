@@ -607,3 +607,97 @@ def q_evaluate_variants(spark, sf_dir):
 def q_batch_generate_telemetry(spark, sf_dir):
     gen, _, keys = _generated(spark, sf_dir)
     return gen.select(*keys, "n_steps", "inference_time", "ram_before", "ram_after", "cpu_usage", "worker_pid", "partition_id")
+
+
+# --------------------------------------------------------------------------------------
+# 9. streams (driven to completion with availableNow triggers), sources and sinks
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import frames as sf  # noqa: E402
+from ..sources import runs as sr  # noqa: E402
+from ..streaming import cpu as scpu  # noqa: E402
+from ..streaming import memory as smem  # noqa: E402
+from ..operators import frames as opf  # noqa: E402
+
+STREAM_SLICES = 4
+
+
+def _run_available_now(df, out_path, ck_path, output_mode="append"):
+    q = (df.writeStream.format("parquet").outputMode(output_mode).option("path", out_path)
+         .option("checkpointLocation", ck_path).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+def _sliced_stream_run(spark, table, build, out_cols, name):
+    """Write ``table`` in event-id order slices, one stream run per slice (state is kept in the
+    checkpoint between runs, as after a restart); return the sink table."""
+    base = scratch_path(spark, name)
+    staged, src, out, ck = f"{base}/staged", f"{base}/in", f"{base}/out", f"{base}/ck"
+    table.write.mode("overwrite").parquet(staged)
+    staged_df = spark.read.parquet(staged)
+    top = staged_df.agg(F.max("event_id") + 1).scalar()
+    for k in range(STREAM_SLICES):
+        lo, hi = top * F.lit(k) / STREAM_SLICES, top * F.lit(k + 1) / STREAM_SLICES
+        staged_df.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(staged_df.schema).parquet(src)
+        _run_available_now(build(stream), out, ck)
+    return spark.read.parquet(out).select(*out_cols)
+
+
+@register("cpu_usage_stream", ORACLE_SQL["counter_delta"])
+def q_cpu_usage_stream(spark, sf_dir):
+    snaps = fx.counters_from_events(spark, sf_dir)
+    build = lambda s: scpu.cpu_usage_stream(s, "device_id", "ts", "counters", tie_col="event_id")
+    out = _sliced_stream_run(spark, snaps, build, ["device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct"], "cpu-stream")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@register("memory_usage_stream", ORACLE_SQL["memory_usage"])
+def q_memory_usage_stream(spark, sf_dir):
+    gauges = fx.memory_from_events(spark, sf_dir)
+    cols = ["event_id", "device_id", "used_mb", "used_pct", "available_pct", "used_text", "available_text"]
+    return _sliced_stream_run(spark, gauges, lambda s: smem.memory_usage_stream(s), cols, "memory-stream")
+
+
+@register("labelled_runs", _RUN_AVG_SQL)
+def q_labelled_runs(spark, sf_dir):
+    """Three run tables (one per label, one of them with the older ``latency`` header) tagged and
+    unioned by name, then averaged."""
+    runs = fx.runs_from_lineitem(spark, sf_dir).drop("label")
+    li = fx.table(spark, sf_dir, "lineitem").select(*fx.RUN_ORDER, "l_returnflag")
+    tagged = runs.join(li, fx.RUN_ORDER)
+    parts = []
+    for label in fx.RUN_LABEL_ORDER:
+        t = tagged.filter(F.col("l_returnflag") == label).drop("l_returnflag", *fx.RUN_ORDER)
+        if label == "R":
+            t = t.withColumnRenamed("inference_time", sr.OLD_TIME_COLUMN)
+        parts.append(sr.normalise_time_column(t).withColumn("label", F.lit(label)))
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.unionByName(p, allowMissingColumns=True)
+    return stats.mean_by_label(u)
+
+
+@register("runs_csv_roundtrip", _RUN_AVG_SQL)
+def q_runs_csv_roundtrip(spark, sf_dir):
+    """Run rows written as CSV (one folder per label) and read back through partition discovery."""
+    path = scratch_path(spark, "runs-csv")
+    sr.write_runs(fx.runs_from_lineitem(spark, sf_dir).select("label", *sr.RUN_COLUMNS), path)
+    return stats.mean_by_label(sr.read_labelled_runs(spark, path))
+
+
+@register("score_frames")  # stand-in detector over page bytes: rows-only check
+def q_score_frames(spark, sf_dir):
+    pages = fx.table(spark, sf_dir, "pages")
+    frames = pages.select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return opf.score_frames(frames, opf.ByteTileDetector(4096))
+
+
+@register("encode_bpe")  # byte-level BPE through an Arrow UDF: rows-only (SQL has no BPE)
+def q_encode_bpe(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    e = tk.encode_fixed(d, "text", tk.ByteBPE(), tk.MAX_LENGTH, tk.BPE_EOS_ID)
+    return e.select("doc_id", "n_tokens", _ids_text("input_ids").alias("input_ids"),
+                    ar.array_sum_long("attention_mask").cast("int").alias("mask_sum"))

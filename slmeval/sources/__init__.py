@@ -1 +1 @@
-"""sources."""
+"""Readers and writers: items, run results, device readings, frames."""
