@@ -17,7 +17,7 @@ _WS = r"\s+"
 def parse_counter_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """``(device_id, ts, counters ARRAY<BIGINT>)`` from CPU lines (works on streams)."""
     parts = F.split(F.trim(F.col(value_col)), _WS)
-    rows = lines.select(parts.alias("_p")).filter(F.col("_p").getItem(2) == F.lit("cpu"))
+    rows = lines.select(parts.alias("_p")).filter(F.get(F.col("_p"), 2) == F.lit("cpu"))
     return rows.select(
         F.col("_p").getItem(1).alias("device_id"),
         F.col("_p").getItem(0).cast("timestamp").alias("ts"),
@@ -28,8 +28,8 @@ def parse_counter_lines(lines: DataFrame, value_col: str = "value") -> DataFrame
 def parse_memory_lines(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """``(device_id, ts, total_mb, available_mb)`` from ``Mem:`` lines (works on streams)."""
     parts = F.split(F.trim(F.col(value_col)), _WS)
-    rows = lines.select(parts.alias("_p")).filter(F.col("_p").getItem(2).rlike("^Mem:$"))
-    field = lambda i: F.col("_p").getItem(2 + i - 1)  # noqa: E731  awk field i of the Mem: row
+    rows = lines.select(parts.alias("_p")).filter(F.get(F.col("_p"), 2).rlike("^Mem:$"))
+    field = lambda i: F.get(F.col("_p"), 2 + i - 1)  # noqa: E731  awk field i of the Mem: row
     return rows.select(
         F.col("_p").getItem(1).alias("device_id"),
         F.col("_p").getItem(0).cast("timestamp").alias("ts"),
