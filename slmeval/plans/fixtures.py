@@ -37,8 +37,16 @@ RUN_LABEL_ORDER = ["A", "N", "R"]
 RUN_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The parquet table (one file listing and footer read per session and path)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark._jsparkSession), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def runs_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -619,7 +619,7 @@ from ..streaming import cpu as scpu  # noqa: E402
 from ..streaming import memory as smem  # noqa: E402
 from ..operators import frames as opf  # noqa: E402
 
-STREAM_SLICES = 4
+STREAM_SLICES = 2
 
 
 def _run_available_now(df, out_path, ck_path, output_mode="append"):
@@ -631,18 +631,22 @@ def _run_available_now(df, out_path, ck_path, output_mode="append"):
 
 
 def _sliced_stream_run(spark, table, build, out_cols, name):
-    """Write ``table`` in event-id order slices, one stream run per slice (state is kept in the
-    checkpoint between runs, as after a restart); return the sink table."""
+    """Stage ``table`` as event-id (time) order slices written one after another, each slice
+    hash-partitioned by device so one device's rows of a slice are in one file; one
+    ``availableNow`` run then reads them in file order, several files per micro-batch, so state
+    is carried across micro-batches. Returns the sink table."""
     base = scratch_path(spark, name)
     staged, src, out, ck = f"{base}/staged", f"{base}/in", f"{base}/out", f"{base}/ck"
     table.write.mode("overwrite").parquet(staged)
     staged_df = spark.read.parquet(staged)
     top = staged_df.agg(F.max("event_id") + 1).scalar()
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(STREAM_SLICES):
         lo, hi = top * F.lit(k) / STREAM_SLICES, top * F.lit(k + 1) / STREAM_SLICES
-        staged_df.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(staged_df.schema).parquet(src)
-        _run_available_now(build(stream), out, ck)
+        part = staged_df.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi))
+        part.repartition(n_files, "device_id").write.mode("append").parquet(src)
+    stream = spark.readStream.schema(staged_df.schema).option("maxFilesPerTrigger", n_files).parquet(src)
+    _run_available_now(build(stream), out, ck)
     return spark.read.parquet(out).select(*out_cols)
 
 

@@ -19,10 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.telemetry import snapshot_totals
+from ..operators.telemetry import snapshot_totals  # noqa: F401  (used on the driver only)
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# The processor is pickled by value: the Python runner that initialises it on the driver does not
+# see files added with addPyFile, so it must not need to import this package.
+import sys as _sys  # noqa: E402
+
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 
 class CounterDeltaProcessor(StatefulProcessor):
     def __init__(self, device_col: str, ts_col: str, tie_col: str | None, out_cols: Sequence[str]):
