@@ -181,6 +181,33 @@ def _scan(group_cols: list[str], carry: list[str], cum_cols: dict[str, str], pre
     return run
 
 
+def _summary_jvm(ranged: DataFrame, groups: list[str], carry: list[str], wcols: list[str]) -> DataFrame:
+    """Pass 1 in the JVM: per non-empty partition its first and last key, the last row's carry
+    values and the weight sums of its last group. The row position inside a partition comes
+    from ``monotonically_increasing_id`` over the checkpointed (fixed, sorted) partitions. Both
+    aggregates have one row per partition."""
+    pos = ranged.withColumn("_slm_pos", F.monotonically_increasing_id())
+    ends = pos.groupBy(PID).agg(
+        F.min_by(F.struct(*[F.col(g).alias(g) for g in groups]), "_slm_pos").alias("_f"),
+        F.max_by(F.struct(*[F.col(g).alias(g) for g in groups], *[F.col(c).alias(f"c_{c}") for c in carry]),
+                 "_slm_pos").alias("_l"),
+    )
+    ends = ends.select(PID, *[F.col(f"_f.{g}").alias(f"_f_{g}") for g in groups],
+                       *[F.col(f"_l.{g}").alias(f"_l_{g}") for g in groups],
+                       *[F.col(f"_l.c_{c}").alias(f"_c_{c}") for c in carry])
+    in_last = F.lit(True)
+    for g in groups:
+        in_last = in_last & F.col(g).eqNullSafe(F.col(f"_l_{g}"))
+    last_sums = (
+        ranged.select(PID, *groups, *wcols)
+        .join(F.broadcast(ends.select(PID, *[f"_l_{g}" for g in groups])), PID)
+        .filter(in_last)
+        .groupBy(PID)
+        .agg(*[F.sum(w).alias(f"_ls{w}") for w in wcols])
+    )
+    return ends.join(last_sums, PID, "left")
+
+
 def ordered_scan(
     df: DataFrame,
     group_cols: Sequence[str] | str | None,
@@ -225,10 +252,7 @@ def ordered_scan(
     ranged = range_checkpoint(base, scan_groups, orders, num_partitions)
     by_name = {f.name: f for f in ranged.schema.fields}
 
-    extra_carry = [c for c in carry if c not in scan_groups]
-    summary = ranged.select(PID, *wcols, *scan_groups, *extra_carry).mapInPandas(
-        _summarize(scan_groups, carry, wcols), _summary_schema(ranged, scan_groups, carry, wcols)
-    )
+    summary = _summary_jvm(ranged, scan_groups, carry, wcols)
     by_pid = Window.orderBy(PID)  # one row per partition: bounded by the partition count
     last_keys = [f"_l_{c}" for c in scan_groups]
     by_last = Window.partitionBy(*last_keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, 0)

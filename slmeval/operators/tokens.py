@@ -107,14 +107,18 @@ def encode_words(
     """
     toks = df.select(col(key_col).alias("_k"), word_tokens(text_col).alias("_t"))
     toks = toks.select("_k", F.size("_t").alias("n_tokens"), F.slice("_t", 1, max_length).alias("_t"))
-    exploded = toks.select("_k", F.posexplode("_t").alias("_pos", "token"))
+    # one row per token (or one empty row for a text without tokens), so the text is tokenised once
+    exploded = toks.select("_k", "n_tokens", F.posexplode_outer("_t").alias("_pos", "token"))
     looked = exploded.join(F.broadcast(vocab), "token", "left").select(
-        "_k", "_pos", F.coalesce(F.col("token_id"), F.lit(unk_id)).cast("int").alias("_id")
+        "_k", "n_tokens", "_pos",
+        F.when(F.col("_pos").isNotNull(), F.coalesce(F.col("token_id"), F.lit(unk_id))).cast("int").alias("_id"),
     )
-    gathered = looked.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
-    out = toks.select("_k", "n_tokens").join(gathered, "_k", "left")
-    ids = F.coalesce(F.transform("_s", lambda s: s["_id"]), F.array().cast("array<int>"))
-    return out.select(
+    gathered = looked.groupBy("_k").agg(
+        F.first("n_tokens").alias("n_tokens"),
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id")))).alias("_s"),
+    )
+    ids = F.transform("_s", lambda s: s["_id"])
+    return gathered.select(
         F.col("_k").alias(key_col),
         "n_tokens",
         fixed_length(ids, max_length, pad_id).alias("input_ids"),
@@ -128,12 +132,12 @@ def lookup_words(df: DataFrame, key_cols, text_col: str, vocab: DataFrame, unk_i
     vocabulary (unknown tokens -> ``unk_id``), in text order; no truncation (prompts)."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     toks = df.select(*keys, word_tokens(text_col).alias("_t"))
-    exploded = toks.select(*keys, F.posexplode("_t").alias("_pos", "token"))
+    exploded = toks.select(*keys, F.posexplode_outer("_t").alias("_pos", "token"))
     looked = exploded.join(F.broadcast(vocab), "token", "left").select(
         *keys, "_pos", F.coalesce(F.col("token_id"), F.lit(unk_id)).cast("int").alias("_id"))
-    gathered = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
-    out = toks.select(*keys).join(gathered, keys, "left")
-    return out.select(*keys, F.coalesce(F.transform("_s", lambda s: s["_id"]), F.array().cast("array<int>")).alias(out_col))
+    gathered = looked.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id")))).alias("_s"))
+    return gathered.select(*keys, F.transform("_s", lambda s: s["_id"]).alias(out_col))
 
 
 def decode_words(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, special_ids=(WORD_EOS_ID,),
