@@ -40,13 +40,24 @@ RUN_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _TABLES: dict = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The parquet table (one file listing and footer read per session and path)."""
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """The parquet table (one file listing and footer read per session and path).
+
+    ``spread=True`` is for tables whose rows are expensive to process (whole texts through a
+    tokenizer or a model): when the scan has fewer splits than the cluster runs tasks at once
+    (a file with one row group is one split), the rows are spread round-robin over that many
+    tasks. A large table already has many splits and is left as it is.
+    """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (id(spark._jsparkSession), path)
     if key not in _TABLES:
         _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    df = _TABLES[key]
+    if spread:
+        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        if df.rdd.getNumPartitions() < n:  # a plain scan: planning only, no job
+            return df.repartition(n)
+    return df
 
 
 def runs_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +74,7 @@ def runs_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+    c = table(spark, sf_dir, "conversations", spread=True)
     return c.select("conv_id", "turn", F.col("role").alias("scenario"), F.col("text").alias("question"))
 
 

@@ -194,7 +194,7 @@ def q_build_training_text(spark, sf_dir):
 
 @register("clean_answer", f"SELECT doc_id, {_sql_clean('text')} AS answer FROM documents")
 def q_clean_answer(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.table(spark, sf_dir, "documents", spread=True)
     return d.select("doc_id", tx.clean_answer("text").alias("answer"))
 
 
@@ -323,14 +323,14 @@ def _ids_text(c):
 
 
 def _encoded(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents")
+    d = fx.table(spark, sf_dir, "documents", spread=True)
     vocab = tk.build_vocabulary(d, "text", VOCAB_SIZE)
     return tk.encode_words(d, "doc_id", "text", vocab)
 
 
 @register("word_vocabulary", _SQL_VOCAB)
 def q_word_vocabulary(spark, sf_dir):
-    return tk.build_vocabulary(fx.table(spark, sf_dir, "documents"), "text", VOCAB_SIZE)
+    return tk.build_vocabulary(fx.table(spark, sf_dir, "documents", spread=True), "text", VOCAB_SIZE)
 
 
 @register(
@@ -694,14 +694,14 @@ def q_runs_csv_roundtrip(spark, sf_dir):
 
 @register("score_frames")  # stand-in detector over page bytes: rows-only check
 def q_score_frames(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages")
+    pages = fx.table(spark, sf_dir, "pages", spread=True)
     frames = pages.select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
     return opf.score_frames(frames, opf.ByteTileDetector(4096))
 
 
 @register("encode_bpe")  # byte-level BPE through an Arrow UDF: rows-only (SQL has no BPE)
 def q_encode_bpe(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = fx.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     e = tk.encode_fixed(d, "text", tk.ByteBPE(), tk.MAX_LENGTH, tk.BPE_EOS_ID)
     return e.select("doc_id", "n_tokens", _ids_text("input_ids").alias("input_ids"),
                     ar.array_sum_long("attention_mask").cast("int").alias("mask_sum"))

@@ -1,7 +1,8 @@
 """CPU usage from a stream of counter snapshots; the previous snapshot of each device is state.
 
-``lag`` is not available on streams, so each device keeps its last snapshot in a
-``ValueState`` of ``transformWithStateInPandas`` (fault-tolerant through the checkpoint).
+``lag`` is not available on streams, so each device keeps its last snapshot as streaming state
+(``applyInPandasWithState`` by default, or a ``ValueState`` of ``transformWithStateInPandas``),
+fault-tolerant through the checkpoint.
 Rules: rows of a micro-batch are taken in ``(ts, tie)`` order; a row not newer than the
 stored snapshot is late: it is dropped and counted in the state; the first snapshot of a
 device yields NULL deltas; a counter going backwards (reboot) yields NULL and the stored
@@ -32,49 +33,74 @@ from pyspark import cloudpickle as _cloudpickle  # noqa: E402
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 
+def _advance(pdf: pd.DataFrame, prev, late: int, ts_col: str, tie_col: str | None, out_cols: list[str]):
+    """Apply the stream rules to one device's rows of a micro-batch.
+
+    ``prev`` is ``(ts_micros, tie, idle, total)`` of the stored snapshot or None. Returns the
+    output rows, the new stored snapshot and the late-row count.
+    """
+    order = [ts_col] + ([tie_col] if tie_col else [])
+    pdf = pdf.sort_values(order, kind="stable")
+    out = []
+    for r in pdf.itertuples(index=False):
+        ts = getattr(r, ts_col)
+        key = (int(pd.Timestamp(ts).value // 1000), int(getattr(r, tie_col)) if tie_col else 0)
+        idle, total = int(r.snap_idle), int(r.snap_total)
+        if prev is not None and key <= (prev[0], prev[1]):
+            late += 1
+            continue
+        d_total = d_idle = cpu = None
+        if prev is not None:
+            dt, di = total - prev[3], idle - prev[2]
+            if dt >= 0 and di >= 0:
+                d_total, d_idle = dt, di
+                if dt > 0:
+                    q = abs(100 * (dt - di)) // dt  # bash: truncate toward zero
+                    cpu = q if 100 * (dt - di) >= 0 else -q
+        row = [getattr(r, c) for c in out_cols] + [d_total, d_idle, cpu]
+        out.append(row)
+        prev = (key[0], key[1], idle, total)
+    return out, prev, late
+
+
+STATE_SCHEMA = T.StructType([
+    T.StructField("ts_us", T.LongType()),
+    T.StructField("tie", T.LongType()),
+    T.StructField("idle", T.LongType()),
+    T.StructField("total", T.LongType()),
+    T.StructField("late", T.LongType()),
+])
+
+
+def _group_state_update(ts_col: str, tie_col: str | None, out_cols: list[str]):
+    def update(key, pdfs, state):
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        stored = state.get if state.exists else None
+        prev = None if stored is None else tuple(int(x) for x in stored[:4])
+        late = 0 if stored is None else int(stored[4] or 0)
+        out, prev, late = _advance(pdf, prev, late, ts_col, tie_col, out_cols)
+        if prev is not None:
+            state.update((*prev, late))
+        yield pd.DataFrame(out, columns=[*out_cols, "d_total", "d_idle", "cpu_pct"])
+
+    return update
+
+
 class CounterDeltaProcessor(StatefulProcessor):
     def __init__(self, device_col: str, ts_col: str, tie_col: str | None, out_cols: Sequence[str]):
         self.device_col, self.ts_col, self.tie_col, self.out_cols = device_col, ts_col, tie_col, list(out_cols)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([
-            T.StructField("ts", T.TimestampType()),
-            T.StructField("tie", T.LongType()),
-            T.StructField("idle", T.LongType()),
-            T.StructField("total", T.LongType()),
-            T.StructField("late", T.LongType()),
-        ])
-        self.prev = handle.getValueState("prev", schema)
+        self.prev = handle.getValueState("prev", STATE_SCHEMA)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        order = [self.ts_col] + ([self.tie_col] if self.tie_col else [])
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         state = self.prev.get() if self.prev.exists() else None
-        prev = None if state is None else (state[0], state[1], state[2], state[3])
+        prev = None if state is None else tuple(int(x) for x in state[:4])
         late = 0 if state is None else int(state[4] or 0)
-        out = []
-        for r in pdf.itertuples(index=False):
-            ts = getattr(r, self.ts_col)
-            tie = int(getattr(r, self.tie_col)) if self.tie_col else 0
-            idle, total = int(r.snap_idle), int(r.snap_total)
-            if prev is not None and (pd.Timestamp(ts), tie) <= (pd.Timestamp(prev[0]), prev[1]):
-                late += 1
-                continue
-            d_total = d_idle = cpu = None
-            if prev is not None:
-                dt, di = total - prev[3], idle - prev[2]
-                if dt >= 0 and di >= 0:
-                    d_total, d_idle = dt, di
-                    if dt > 0:
-                        q = abs(100 * (dt - di)) // dt
-                        cpu = q if 100 * (dt - di) >= 0 else -q
-            row = {c: getattr(r, c) for c in self.out_cols}
-            row.update(d_total=d_total, d_idle=d_idle, cpu_pct=cpu)
-            out.append(row)
-            prev = (ts, tie, idle, total)
+        out, prev, late = _advance(pdf, prev, late, self.ts_col, self.tie_col, self.out_cols)
         if prev is not None:
-            self.prev.update((pd.Timestamp(prev[0]).to_pydatetime(), int(prev[1]), int(prev[2]), int(prev[3]), late))
+            self.prev.update((*prev, late))
         if out:
             yield pd.DataFrame(out, columns=[*self.out_cols, "d_total", "d_idle", "cpu_pct"])
 
@@ -84,13 +110,14 @@ class CounterDeltaProcessor(StatefulProcessor):
 
 def cpu_usage_stream(snapshots: DataFrame, device_col: str = "device_id", ts_col: str = "ts",
                      counters_col: str = "counters", tie_col: str | None = None,
-                     keep_cols: Sequence[str] = ()) -> DataFrame:
+                     keep_cols: Sequence[str] = (), api: str = "applyInPandasWithState") -> DataFrame:
     """Streaming ``(device, ts, [tie], keep..., d_total, d_idle, cpu_pct)``; output mode append.
 
-    Needs the RocksDB state store (set here on the session when another provider is set).
+    ``api='applyInPandasWithState'`` (default, ``GroupState``) or ``'transformWithState'``
+    (``transformWithStateInPandas`` with a ``ValueState``; needs the RocksDB state store, which
+    is then set on the session). Both apply the same rules.
     """
     spark = snapshots.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     idle, total = snapshot_totals(counters_col)
     ts_cast = F.col(ts_col).cast("timestamp").alias(ts_col)  # TIMESTAMP_NTZ -> TIMESTAMP (UTC session)
     out_cols = [device_col, ts_col] + ([tie_col] if tie_col else []) + list(keep_cols)
@@ -100,9 +127,15 @@ def cpu_usage_stream(snapshots: DataFrame, device_col: str = "device_id", ts_col
     schema = T.StructType([by_name[c] for c in out_cols] + [
         T.StructField("d_total", T.LongType()), T.StructField("d_idle", T.LongType()), T.StructField("cpu_pct", T.LongType()),
     ])
-    return src.groupBy(device_col).transformWithStateInPandas(
-        statefulProcessor=CounterDeltaProcessor(device_col, ts_col, tie_col, out_cols),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
+    grouped = src.groupBy(device_col)
+    if api == "transformWithState":
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        return grouped.transformWithStateInPandas(
+            statefulProcessor=CounterDeltaProcessor(device_col, ts_col, tie_col, out_cols),
+            outputStructType=schema, outputMode="Append", timeMode="None",
+        )
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    return grouped.applyInPandasWithState(
+        _group_state_update(ts_col, tie_col, out_cols), schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )

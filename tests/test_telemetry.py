@@ -67,7 +67,8 @@ def test_latest_reading(spark):
     assert got == {"a": 7, "b": 4}
 
 
-def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
+@pytest.mark.parametrize("api", ["applyInPandasWithState", "transformWithState"])
+def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path, api):
     from slmeval.streaming.cpu import cpu_usage_stream
 
     schema = "device_id string, ts timestamp, counters array<bigint>, eid long"
@@ -76,7 +77,7 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     for b in batches:
         spark.createDataFrame(b, schema).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        q = (cpu_usage_stream(stream, tie_col="eid").writeStream.format("parquet").option("path", out)
+        q = (cpu_usage_stream(stream, tie_col="eid", api=api).writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", ck).trigger(availableNow=True).start())
         q.awaitTermination()
     got = {r.eid: (r.d_total, r.d_idle, r.cpu_pct) for r in spark.read.parquet(out).collect()}
