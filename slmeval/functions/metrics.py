@@ -25,7 +25,7 @@ def elapsed_between(start_ts, end_ts, digits: int = 3) -> Column:
     Timestamps are whole microseconds, so the rounding is done exactly on integers (half away
     from zero) and only the final quotient is a double.
     """
-    micros = F.unix_micros(col(end_ts).cast("timestamp")) - F.unix_micros(col(start_ts).cast("timestamp"))
+    micros = F.timestamp_diff("MICROSECOND", col(start_ts), col(end_ts))  # exact, no time-zone cast
     unit = 10 ** (6 - digits)
     units = F.signum(micros).cast("long") * F.call_function("div", F.abs(micros) + F.lit(unit // 2), F.lit(unit))
     return units.cast("double") / F.lit(float(10**digits))

@@ -654,8 +654,7 @@ def _sliced_stream_run(spark, table, build, out_cols, name):
 def q_cpu_usage_stream(spark, sf_dir):
     snaps = fx.counters_from_events(spark, sf_dir)
     build = lambda s: scpu.cpu_usage_stream(s, "device_id", "ts", "counters", tie_col="event_id")
-    out = _sliced_stream_run(spark, snaps, build, ["device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct"], "cpu-stream")
-    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return _sliced_stream_run(spark, snaps, build, ["device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct"], "cpu-stream")
 
 
 @register("memory_usage_stream", ORACLE_SQL["memory_usage"])

@@ -119,10 +119,8 @@ def cpu_usage_stream(snapshots: DataFrame, device_col: str = "device_id", ts_col
     """
     spark = snapshots.sparkSession
     idle, total = snapshot_totals(counters_col)
-    ts_cast = F.col(ts_col).cast("timestamp").alias(ts_col)  # TIMESTAMP_NTZ -> TIMESTAMP (UTC session)
     out_cols = [device_col, ts_col] + ([tie_col] if tie_col else []) + list(keep_cols)
-    src = snapshots.select(*[ts_cast if c == ts_col else F.col(c) for c in out_cols],
-                           idle.alias("snap_idle"), total.alias("snap_total"))
+    src = snapshots.select(*[F.col(c) for c in out_cols], idle.alias("snap_idle"), total.alias("snap_total"))
     by_name = {f.name: f for f in src.schema.fields}
     schema = T.StructType([by_name[c] for c in out_cols] + [
         T.StructField("d_total", T.LongType()), T.StructField("d_idle", T.LongType()), T.StructField("cpu_pct", T.LongType()),
