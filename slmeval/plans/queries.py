@@ -704,3 +704,49 @@ def q_encode_bpe(spark, sf_dir):
     e = tk.encode_fixed(d, "text", tk.ByteBPE(), tk.MAX_LENGTH, tk.BPE_EOS_ID)
     return e.select("doc_id", "n_tokens", _ids_text("input_ids").alias("input_ids"),
                     ar.array_sum_long("attention_mask").cast("int").alias("mask_sum"))
+
+
+from ..sources import items as si  # noqa: E402
+from ..sources import telemetry as st  # noqa: E402
+
+
+@register("items_jsonl_roundtrip", ORACLE_SQL["build_prompt"])
+def q_items_jsonl_roundtrip(spark, sf_dir):
+    """Items written as JSON lines and read back with a fixed schema and required fields."""
+    path = scratch_path(spark, "items-jsonl")
+    it = fx.items_from_conversations(spark, sf_dir)
+    it.select("conv_id", "turn", "scenario", "question").write.mode("overwrite").json(path)
+    back = si.read_items(spark, path, fields=("conv_id", "turn", "scenario", "question"),
+                         required=("scenario", "question"), multi_line=False)
+    return back.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                       tx.build_prompt("scenario", "question").alias("prompt"))
+
+
+@register("recorded_counters", ORACLE_SQL["counter_delta"])
+def q_recorded_counters(spark, sf_dir):
+    """Counter snapshots written as recorder lines (``<ts> <device> cpu n1 n2 ...``), parsed back,
+    then differenced."""
+    path = scratch_path(spark, "cpu-lines")
+    snaps = fx.counters_from_events(spark, sf_dir)
+    lines = st.format_counter_lines(snaps.withColumn("device_id", F.concat_ws(":", "device_id", "event_id")))
+    lines.write.mode("overwrite").text(path)
+    parsed = st.read_counters(spark, path, ts_type="timestamp_ntz")
+    ids = F.split("device_id", ":")
+    parsed = parsed.select(ids.getItem(0).cast("long").alias("device_id"), "ts",
+                           ids.getItem(1).cast("long").alias("event_id"), "counters")
+    out = tm.counter_delta(parsed, "device_id", "ts", "counters", tie_cols=["event_id"])
+    return out.select("device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct")
+
+
+@register("recorded_memory", ORACLE_SQL["memory_usage"])
+def q_recorded_memory(spark, sf_dir):
+    """Memory gauges written as ``free -m`` recorder lines, parsed back (awk fields 2 and 7)."""
+    path = scratch_path(spark, "mem-lines")
+    g = fx.memory_from_events(spark, sf_dir)
+    st.format_memory_lines(g.withColumn("device_id", F.concat_ws(":", "device_id", "event_id"))).write.mode("overwrite").text(path)
+    parsed = st.read_memory(spark, path, ts_type="timestamp_ntz")
+    ids = F.split("device_id", ":")
+    parsed = parsed.select(ids.getItem(1).cast("long").alias("event_id"), ids.getItem(0).cast("long").alias("device_id"),
+                           "ts", "total_mb", "available_mb")
+    m = tm.memory_usage(parsed)
+    return m.select("event_id", "device_id", "used_mb", "used_pct", "available_pct", "used_text", "available_text")
