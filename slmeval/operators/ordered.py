@@ -182,30 +182,35 @@ def _scan(group_cols: list[str], carry: list[str], cum_cols: dict[str, str], pre
 
 
 def _summary_jvm(ranged: DataFrame, groups: list[str], carry: list[str], wcols: list[str]) -> DataFrame:
-    """Pass 1 in the JVM: per non-empty partition its first and last key, the last row's carry
-    values and the weight sums of its last group. The row position inside a partition comes
-    from ``monotonically_increasing_id`` over the checkpointed (fixed, sorted) partitions. Both
-    aggregates have one row per partition."""
+    """Pass 1 in the JVM: per non-empty partition its first and last key, the weight sums of its
+    last group and the last row's carry values.
+
+    One scan: the rows are aggregated per (partition, group) -- map-side, since a partition
+    holds a contiguous key range -- and then reduced to one row per partition. The row position
+    inside a partition is ``monotonically_increasing_id`` over the checkpointed (fixed, sorted)
+    partitions.
+    """
     pos = ranged.withColumn("_slm_pos", F.monotonically_increasing_id())
-    ends = pos.groupBy(PID).agg(
-        F.min_by(F.struct(*[F.col(g).alias(g) for g in groups]), "_slm_pos").alias("_f"),
-        F.max_by(F.struct(*[F.col(g).alias(g) for g in groups], *[F.col(c).alias(f"c_{c}") for c in carry]),
-                 "_slm_pos").alias("_l"),
+    per_group = pos.groupBy(PID, *groups).agg(
+        F.min("_slm_pos").alias("_lo"),
+        F.max("_slm_pos").alias("_hi"),
+        *[F.sum(w).alias(f"_ls{w}") for w in wcols],
+        *([F.max_by(F.struct(*[F.col(c).alias(f"c_{c}") for c in carry]), "_slm_pos").alias("_carry")] if carry else []),
     )
-    ends = ends.select(PID, *[F.col(f"_f.{g}").alias(f"_f_{g}") for g in groups],
-                       *[F.col(f"_l.{g}").alias(f"_l_{g}") for g in groups],
-                       *[F.col(f"_l.c_{c}").alias(f"_c_{c}") for c in carry])
-    in_last = F.lit(True)
-    for g in groups:
-        in_last = in_last & F.col(g).eqNullSafe(F.col(f"_l_{g}"))
-    last_sums = (
-        ranged.select(PID, *groups, *wcols)
-        .join(F.broadcast(ends.select(PID, *[f"_l_{g}" for g in groups])), PID)
-        .filter(in_last)
-        .groupBy(PID)
-        .agg(*[F.sum(w).alias(f"_ls{w}") for w in wcols])
+    last_fields = [F.col(g).alias(f"_l_{g}") for g in groups] + [F.col(f"_ls{w}") for w in wcols]
+    if carry:
+        last_fields.append(F.col("_carry"))
+    ends = per_group.groupBy(PID).agg(
+        F.min_by(F.struct(*[F.col(g).alias(f"_f_{g}") for g in groups]), "_lo").alias("_f"),
+        F.max_by(F.struct(*last_fields), "_hi").alias("_l"),
+    )
+    return ends.select(
+        PID,
+        *[F.col(f"_f._f_{g}").alias(f"_f_{g}") for g in groups],
+        *[F.col(f"_l._l_{g}").alias(f"_l_{g}") for g in groups],
+        *[F.col(f"_l._ls{w}").alias(f"_ls{w}") for w in wcols],
+        *[F.col(f"_l._carry.c_{c}").alias(f"_c_{c}") for c in carry],
     )
-    return ends.join(last_sums, PID, "left")
 
 
 def ordered_scan(
