@@ -181,22 +181,19 @@ def _scan(group_cols: list[str], carry: list[str], cum_cols: dict[str, str], pre
     return run
 
 
-def _summary_jvm(ranged: DataFrame, groups: list[str], carry: list[str], wcols: list[str]) -> DataFrame:
-    """Pass 1 in the JVM: per non-empty partition its first and last key, the weight sums of its
-    last group and the last row's carry values.
-
-    One scan: the rows are aggregated per (partition, group) -- map-side, since a partition
-    holds a contiguous key range -- and then reduced to one row per partition. The row position
-    inside a partition is ``monotonically_increasing_id`` over the checkpointed (fixed, sorted)
-    partitions.
-    """
-    pos = ranged.withColumn("_slm_pos", F.monotonically_increasing_id())
-    per_group = pos.groupBy(PID, *groups).agg(
+def _per_group(pos: DataFrame, groups: list[str], carry: list[str], wcols: list[str]) -> DataFrame:
+    """Per (partition, group): first and last row position, weight sums, last carry values.
+    Aggregated map-side: a partition holds a contiguous key range."""
+    return pos.groupBy(PID, *groups).agg(
         F.min("_slm_pos").alias("_lo"),
         F.max("_slm_pos").alias("_hi"),
         *[F.sum(w).alias(f"_ls{w}") for w in wcols],
         *([F.max_by(F.struct(*[F.col(c).alias(f"c_{c}") for c in carry]), "_slm_pos").alias("_carry")] if carry else []),
     )
+
+
+def _ends(per_group: DataFrame, groups: list[str], carry: list[str], wcols: list[str]) -> DataFrame:
+    """One row per non-empty partition: first key, last key, last group's sums and carry."""
     last_fields = [F.col(g).alias(f"_l_{g}") for g in groups] + [F.col(f"_ls{w}") for w in wcols]
     if carry:
         last_fields.append(F.col("_carry"))
@@ -213,6 +210,61 @@ def _summary_jvm(ranged: DataFrame, groups: list[str], carry: list[str], wcols:
     )
 
 
+def _with_pos(ranged: DataFrame) -> DataFrame:
+    """Row position: ``monotonically_increasing_id`` over the checkpointed partitions, whose
+    membership and order are fixed, so every evaluation gives the same positions."""
+    return ranged.withColumn("_slm_pos", F.monotonically_increasing_id())
+
+
+def _offsets(summary: DataFrame, scan_groups: list[str], carry: list[str], wcols: list[str], by_name) -> DataFrame:
+    """Per partition (P rows): what its first group carries in from earlier partitions."""
+    by_pid = Window.orderBy(PID)  # one row per partition: bounded by the partition count
+    last_keys = [f"_l_{c}" for c in scan_groups]
+    by_last = Window.partitionBy(*last_keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, 0)
+    s2 = summary
+    for wc in wcols:
+        s2 = s2.withColumn(f"_cl{wc}", F.sum(f"_ls{wc}").over(by_last))
+    continues = F.lit(True)
+    for c in scan_groups:
+        continues = continues & F.lag(f"_l_{c}").over(by_pid).eqNullSafe(F.col(f"_f_{c}"))
+    continues = continues & F.lag(PID).over(by_pid).isNotNull()
+    return s2.select(
+        PID,
+        *[
+            F.when(continues, F.lag(f"_cl{wc}").over(by_pid))
+            .otherwise(F.lit(0))
+            .cast(by_name[wc].dataType)
+            .alias(f"_off{wc}")
+            for wc in wcols
+        ],
+        F.coalesce(continues, F.lit(False)).alias("_has_prev"),
+        *[F.when(continues, F.lag(f"_c_{c}").over(by_pid)).alias(f"_pc_{c}") for c in carry],
+        *[F.col(f"_f_{g}") for g in scan_groups],
+    )
+
+
+def _count_scan(pos, per_group, offsets, scan_groups, wc, cum_col, total_col) -> DataFrame:
+    """Row numbering without a Python pass: inside a partition the rows of a group are
+    consecutive, so the count before a row is its position minus the group's first position
+    there, plus what the partition's first group carries in. The per-(partition, group) table is
+    joined back; the adaptive planner broadcasts it when its runtime size is small and
+    shuffle-joins it otherwise (the partition id is part of the key, so a hot group stays split)."""
+    is_first = F.lit(True)
+    for g in scan_groups:
+        is_first = is_first & F.col(g).eqNullSafe(F.col(f"_f_{g}"))
+    base = per_group.join(F.broadcast(offsets), PID).select(
+        PID, *scan_groups,
+        (F.when(is_first, F.col(f"_off{wc}")).otherwise(F.lit(0)) - F.col("_lo")).alias("_base"),
+    )
+    out = pos.join(base, [PID, *scan_groups])
+    cols = [c for c in pos.columns if c not in (PID, wc, "_slm_pos")]
+    res = out.select(*cols, (F.col("_slm_pos") + F.col("_base")).alias(cum_col or "_slm_cum"))
+    if total_col:
+        totals = per_group.groupBy(*scan_groups).agg(F.sum(f"_ls{wc}").alias(total_col))
+        res = res.join(totals, scan_groups, "left")
+    return res if cum_col else res.drop("_slm_cum")
+
+
 def ordered_scan(
     df: DataFrame,
     group_cols: Sequence[str] | str | None,
@@ -257,29 +309,14 @@ def ordered_scan(
     ranged = range_checkpoint(base, scan_groups, orders, num_partitions)
     by_name = {f.name: f for f in ranged.schema.fields}
 
-    summary = _summary_jvm(ranged, scan_groups, carry, wcols)
-    by_pid = Window.orderBy(PID)  # one row per partition: bounded by the partition count
-    last_keys = [f"_l_{c}" for c in scan_groups]
-    by_last = Window.partitionBy(*last_keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, 0)
-    s2 = summary
-    for wc in wcols:
-        s2 = s2.withColumn(f"_cl{wc}", F.sum(f"_ls{wc}").over(by_last))
-    continues = F.lit(True)
-    for c in scan_groups:
-        continues = continues & F.lag(f"_l_{c}").over(by_pid).eqNullSafe(F.col(f"_f_{c}"))
-    continues = continues & F.lag(PID).over(by_pid).isNotNull()
-    offsets = s2.select(
-        PID,
-        *[
-            F.when(continues, F.lag(f"_cl{wc}").over(by_pid))
-            .otherwise(F.lit(0))
-            .cast(by_name[wc].dataType)
-            .alias(f"_off{wc}")
-            for wc in wcols
-        ],
-        F.coalesce(continues, F.lit(False)).alias("_has_prev"),
-        *[F.when(continues, F.lag(f"_c_{c}").over(by_pid)).alias(f"_pc_{c}") for c in carry],
-    )
+    count_only = weight is None and not carry
+    pos = _with_pos(ranged)
+    per_group = _per_group(pos, scan_groups, carry, wcols)
+    offsets = _offsets(_ends(per_group, scan_groups, carry, wcols), scan_groups, carry, wcols, by_name)
+    if count_only:
+        out = _count_scan(pos, per_group, offsets, scan_groups, wcols[0], cum_col, total_col)
+        return out.drop(_GROUP) if not groups else out
+    offsets = offsets.drop(*[f"_f_{g}" for g in scan_groups])
 
     prev_names = {c: f"{prev_prefix}{c}" for c in carry}
     out_fields = [f for f in ranged.schema.fields if f.name not in (*wcols, PID)]

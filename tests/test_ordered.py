@@ -39,3 +39,15 @@ def test_multiple_weights_and_null_groups(spark):
     s = ordered_scan(df, ["g"], ["o"], weight={"ca": F.col("a"), "cb": F.col("b")}, num_partitions=3)
     got = sorted((r.g or "", r.o, r.ca, r.cb) for r in s.collect())
     assert got == [("", 1, 0, 0), ("", 2, 2, 3), ("a", 1, 0, 0), ("a", 3, 1, 1)]
+
+
+def test_count_path_matches_row_number_with_hot_group(spark):
+    rnd = random.Random(5)
+    rows = [(i, 0 if rnd.random() < 0.6 else rnd.randint(1, 30), rnd.randint(0, 100)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, g long, o long")
+    s = ordered_scan(df, ["g"], ["o", "id"], total_col="n", num_partitions=11)
+    w = Window.partitionBy("g").orderBy("o", "id")
+    ref = df.select("id", (F.row_number().over(w) - 1).alias("rn"), F.count("*").over(Window.partitionBy("g")).alias("cnt"))
+    j = s.join(ref, "id")
+    assert j.count() == 4000
+    assert j.filter((F.col("cum_before") != F.col("rn")) | (F.col("n") != F.col("cnt"))).count() == 0
