@@ -2,19 +2,20 @@
 
 ``Window.partitionBy(g).orderBy(o)`` sends every row of a group to one task, so a group that
 holds a third of the table is sorted and scanned by a single task. The scans here instead
-range-partition the rows on ``(g, o)``: a hot group is spread over many partitions. Each
-partition is sorted and scanned once in order; what a partition needs from the partitions
-before it (the running total of its first group and that group's previous row) comes from a
-per-partition summary with one row per non-empty partition, so its size is bounded by the
-partition count and it is broadcast.
-
-Two passes read the same range-partitioned rows, so the partitioned data is written once with a
-reliable ``checkpoint()``: partition membership is then fixed even if a task is retried, and the
-lineage is cut.
-
-Groups are contiguous in the range order, so only the first group of a partition can continue
-from earlier partitions, and it can only continue from the last group of the nearest non-empty
-partition before it.
+range-partition the rows on ``(g, o)``: a hot group is spread over many partitions.
+
+1. Range-partition and sort, then a reliable ``checkpoint()``: partition membership and order
+   are then fixed even if a task is retried (and the lineage is cut), so the passes below see
+   the same rows in the same places.
+2. One aggregation per (partition, group) -- map-side, a partition holds a contiguous key
+   range -- reduced to one row per partition: first and last group, the last group's sums and
+   last row. Groups are contiguous in the range order, so only a partition's first group can
+   continue from earlier partitions, and only from the last group of the nearest non-empty
+   partition before it; a window over these P rows gives what each partition carries in
+   (bounded by the partition count, broadcast).
+3. Row numbers: position inside the partition minus the group's first position plus the
+   carried count, all in the JVM. Weighted running sums and previous-row values: one ordered
+   Arrow map per partition (pandas cumulative sums and shifts), seeded with the carried values.
 """
 
 from __future__ import annotations
@@ -87,56 +88,6 @@ def _same_key(a: tuple, b: tuple) -> bool:
     return True
 
 
-def _summary_schema(df: DataFrame, group_cols: list[str], carry: list[str], wcols: list[str]) -> T.StructType:
-    fields = {f.name: f for f in df.schema.fields}
-    out = [T.StructField(PID, T.IntegerType())]
-    out += [T.StructField(f"_f_{c}", fields[c].dataType) for c in group_cols]
-    out += [T.StructField(f"_l_{c}", fields[c].dataType) for c in group_cols]
-    out += [T.StructField(f"_ls{w}", fields[w].dataType) for w in wcols]
-    out += [T.StructField(f"_c_{c}", fields[c].dataType) for c in carry]
-    return T.StructType(out)
-
-
-def _summarize(group_cols: list[str], carry: list[str], wcols: list[str]):
-    """Pass 1: one row per non-empty partition (first key, last key, last group's sums, last row)."""
-
-    def run(batches):
-        first = last = None
-        last_sum = [0] * len(wcols)
-        last_carry = None
-        pid = None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            pid = int(pdf[PID].iat[0])
-            change = _changes(pdf, group_cols, last)
-            if first is None:
-                first = tuple(pdf[c].iat[0] for c in group_cols)
-            starts = np.flatnonzero(change)
-            for i, wc in enumerate(wcols):
-                w = pdf[wc]
-                if len(starts) == 0:  # the whole batch continues the running group
-                    last_sum[i] = last_sum[i] + w.sum()
-                else:
-                    last_sum[i] = w.iloc[starts[-1]:].sum()
-            last = tuple(pdf[c].iat[-1] for c in group_cols)
-            last_carry = tuple(pdf[c].iat[-1] for c in carry)
-        if pid is None:
-            return
-        row = {PID: [pid]}
-        for c, v in zip(group_cols, first):
-            row[f"_f_{c}"] = [v]
-        for c, v in zip(group_cols, last):
-            row[f"_l_{c}"] = [v]
-        for wc, v in zip(wcols, last_sum):
-            row[f"_ls{wc}"] = [v]
-        for c, v in zip(carry, last_carry):
-            row[f"_c_{c}"] = [v]
-        yield pd.DataFrame(row)
-
-    return run
-
-
 def _scan(group_cols: list[str], carry: list[str], cum_cols: dict[str, str], prev_names: dict[str, str]):
     """Pass 2: exclusive running sums and previous row within each group, in partition order."""
 
