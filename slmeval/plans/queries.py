@@ -668,12 +668,10 @@ def q_memory_usage_stream(spark, sf_dir):
 def q_labelled_runs(spark, sf_dir):
     """Three run tables (one per label, one of them with the older ``latency`` header) tagged and
     unioned by name, then averaged."""
-    runs = fx.runs_from_lineitem(spark, sf_dir).drop("label")
-    li = fx.table(spark, sf_dir, "lineitem").select(*fx.RUN_ORDER, "l_returnflag")
-    tagged = runs.join(li, fx.RUN_ORDER)
+    runs = fx.runs_from_lineitem(spark, sf_dir).drop(*fx.RUN_ORDER)
     parts = []
     for label in fx.RUN_LABEL_ORDER:
-        t = tagged.filter(F.col("l_returnflag") == label).drop("l_returnflag", *fx.RUN_ORDER)
+        t = runs.filter(F.col("label") == label).drop("label")  # pushed down to the scan
         if label == "R":
             t = t.withColumnRenamed("inference_time", sr.OLD_TIME_COLUMN)
         parts.append(sr.normalise_time_column(t).withColumn("label", F.lit(label)))
