@@ -117,13 +117,15 @@ def _scan(group_cols: list[str], carry: list[str], cum_cols: dict[str, str], pre
                     out[name] = excl.to_numpy()
             for c in carry:
                 s = pdf[c]
+                if pd.api.types.is_integer_dtype(s.dtype):
+                    s = s.astype("Int64")  # exact integers with NULLs (no float64 detour)
                 prev = s.shift(1)
                 prev = prev.where(~change, None)
                 if not change[0]:
                     prev.iat[0] = last_carry[carry.index(c)]
                 elif not started and bool(pdf["_has_prev"].iat[0]):
                     prev.iat[0] = pdf[f"_pc_{c}"].iat[0]
-                out[prev_names[c]] = prev.to_numpy() if prev.dtype != object else prev.values
+                out[prev_names[c]] = prev  # same index as the batch
             last_carry = tuple(pdf[c].iat[-1] for c in carry)
             prev_key = tuple(pdf[c].iat[-1] for c in group_cols)
             started = True
@@ -252,7 +254,7 @@ def ordered_scan(
     cum_cols: dict[str, str] = {}
     for i, (out, expr) in enumerate(wspec.items()):
         wc = f"{WEIGHT}{i}"
-        base = base.withColumn(wc, expr)
+        base = base.withColumn(wc, F.coalesce(expr, F.lit(0)))  # a NULL weight counts as 0
         if isinstance(base.schema[wc].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.BooleanType)):
             base = base.withColumn(wc, F.col(wc).cast("long"))
         cum_cols[wc] = out

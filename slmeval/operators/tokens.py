@@ -141,19 +141,25 @@ def lookup_words(df: DataFrame, key_cols, text_col: str, vocab: DataFrame, unk_i
 
 
 def decode_words(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, special_ids=(WORD_EOS_ID,),
-                 out_col: str = "text") -> DataFrame:
-    """``(keys..., text)``: ids mapped back through the broadcast vocabulary (ids outside it give
-    ``<|unk|>``), special ids skipped, tokens joined with one space."""
+                 out_col: str = "text", keep_cols=()) -> DataFrame:
+    """``(keys..., keep..., text)``: ids mapped back through the broadcast vocabulary (ids outside
+    it give ``<|unk|>``), special ids skipped, tokens joined with one space.
+
+    ``keep_cols`` are carried through the same grouping (``first``; they are per key), so the
+    input -- e.g. an expensive generation -- is read once and never joined back.
+    """
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    keep = [c for c in keep_cols if c not in keys]
     special = F.array(*[F.lit(int(s)) for s in special_ids])
-    kept = df.select(*keys, F.filter(col(ids_col), lambda x: ~F.array_contains(special, x)).alias("_ids"))
-    exploded = kept.select(*keys, F.posexplode_outer("_ids").alias("_pos", "token_id"))
+    kept = df.select(*keys, *keep, F.filter(col(ids_col), lambda x: ~F.array_contains(special, x)).alias("_ids"))
+    exploded = kept.select(*keys, *keep, F.posexplode_outer("_ids").alias("_pos", "token_id"))
     looked = exploded.join(F.broadcast(vocab), "token_id", "left")
     gathered = looked.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in keep],
         F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
-                                           F.struct("_pos", F.coalesce("token", F.lit(WORD_UNK)).alias("t"))))).alias("_s")
+                                           F.struct("_pos", F.coalesce("token", F.lit(WORD_UNK)).alias("t"))))).alias("_s"),
     )
-    return gathered.select(*keys, F.array_join(F.transform("_s", lambda s: s["t"]), " ").alias(out_col))
+    return gathered.select(*keys, *keep, F.array_join(F.transform("_s", lambda s: s["t"]), " ").alias(out_col))
 
 
 # --------------------------------------------------------------------------------------

@@ -558,10 +558,10 @@ def _generated(spark, sf_dir, variants=None):
 
 
 def _answers(gen, vocab, keys):
-    dec = tk.decode_words(gen, keys, "new_ids", vocab, [tk.WORD_EOS_ID], "decoded")
-    return gen.join(dec, keys, "left").select(
-        *keys, "n_steps", _ids_text("new_ids").alias("new_ids"), tx.clean_answer("decoded").alias("answer")
-    )
+    # one pass over the generation: decoding carries the other columns (no join back, so the
+    # Python generation runs once)
+    dec = tk.decode_words(gen, keys, "new_ids", vocab, [tk.WORD_EOS_ID], "decoded", keep_cols=["n_steps", "new_ids"])
+    return dec.select(*keys, "n_steps", _ids_text("new_ids").alias("new_ids"), tx.clean_answer("decoded").alias("answer"))
 
 
 def _sql_generate(variants: bool) -> str:
