@@ -49,15 +49,15 @@ def range_checkpoint(
     order_cols: Sequence[str | Column],
     num_partitions: int | None = None,
 ) -> DataFrame:
-    """Range-partition on (group, order), sort each partition, tag it with its id, checkpoint."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Range-partition on (group, order), sort each partition, tag it with its id, checkpoint.
+
+    Without ``num_partitions`` the adaptive planner sizes the range partitions (it merges only
+    adjacent ones, so the order is kept): small inputs get few partitions, large ones
+    partitions of the advisory size, whatever the session's shuffle partition count.
+    """
     keys = [*group_cols, *order_cols]
-    ranged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(PID, F.spark_partition_id())
-    )
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
+    ranged = ranged.sortWithinPartitions(*keys).withColumn(PID, F.spark_partition_id())
     return reliable_checkpoint(ranged)
 
 
