@@ -54,7 +54,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
         _TABLES[key] = spark.read.parquet(path)
     df = _TABLES[key]
     if spread:
-        n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        n = spark.sparkContext.defaultParallelism  # the cores of the cluster
         if df.rdd.getNumPartitions() < n:  # a plain scan: planning only, no job
             return df.repartition(n)
     return df

@@ -640,13 +640,20 @@ def _sliced_stream_run(spark, table, build, out_cols, name):
     table.write.mode("overwrite").parquet(staged)
     staged_df = spark.read.parquet(staged)
     top = staged_df.agg(F.max("event_id") + 1).scalar()
-    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_files = max(1, spark.sparkContext.defaultParallelism)
     for k in range(STREAM_SLICES):
         lo, hi = top * F.lit(k) / STREAM_SLICES, top * F.lit(k + 1) / STREAM_SLICES
         part = staged_df.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi))
         part.repartition(n_files, "device_id").write.mode("append").parquet(src)
     stream = spark.readStream.schema(staged_df.schema).option("maxFilesPerTrigger", n_files).parquet(src)
-    _run_available_now(build(stream), out, ck)
+    # state partitions are fixed when a stream first starts: size them to the cluster's cores
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        _run_available_now(build(stream), out, ck)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.parquet(out).select(*out_cols)
 
 
