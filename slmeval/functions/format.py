@@ -15,8 +15,20 @@ def pad_right(c, width: int) -> Column:
 
 
 def fixed(c, digits: int) -> Column:
-    """``f"{x:.{digits}f}"`` (Java formatting: a tie in the shortest decimal text rounds up)."""
-    return F.format_string(f"%.{digits}f", col(c).cast("double"))
+    """``f"{x:.{digits}f}"``: rounded half up on the shortest decimal text of the double (as
+    Java's ``%.Nf``; Python rounds the exact binary value, so the two differ only when that text
+    ends in an exact 5), printed through a DECIMAL so no formatter runs per row. NaN and
+    infinities print as Python does (``nan``, ``inf``, ``-inf``)."""
+    x = col(c).cast("double")
+    txt = F.round(x, digits).try_cast(f"decimal(38,{digits})").cast("string")
+    txt = F.coalesce(txt, F.format_string(f"%.{digits}f", x))  # beyond DECIMAL(38) range
+    inf = float("inf")
+    return (
+        F.when(F.isnan(x), F.lit("nan"))
+        .when(x == F.lit(inf), F.lit("inf"))
+        .when(x == F.lit(-inf), F.lit("-inf"))
+        .otherwise(txt)
+    )
 
 
 def format_run_report(run_no, answer, latency, ram_before, ram_after, cpu_usage) -> Column:

@@ -61,13 +61,19 @@ def percent_of(part, total) -> Column:
 
 def format_memory_used(total_mb, available_mb) -> Column:
     """``%dMB / %dMB (%.1f%%)`` of used, total and used percent."""
+    from .format import fixed
+
     used = memory_used(total_mb, available_mb)
-    return F.format_string("%dMB / %dMB (%.1f%%)", used, col(total_mb).cast("long"), percent_of(used, total_mb))
+    return F.concat(used.cast("string"), F.lit("MB / "), col(total_mb).cast("long").cast("string"), F.lit("MB ("),
+                    fixed(percent_of(used, total_mb), 1), F.lit("%)"))
 
 
 def format_memory_available(total_mb, available_mb) -> Column:
     """``%dMB (%.1f%%)`` of available and available percent."""
-    return F.format_string("%dMB (%.1f%%)", col(available_mb).cast("long"), percent_of(available_mb, total_mb))
+    from .format import fixed
+
+    return F.concat(col(available_mb).cast("long").cast("string"), F.lit("MB ("),
+                    fixed(percent_of(available_mb, total_mb), 1), F.lit("%)"))
 
 
 def relative_score(value, best) -> Column:
