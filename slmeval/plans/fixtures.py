@@ -49,10 +49,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     tasks. A large table already has many splits and is left as it is.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark._jsparkSession), path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    df = _TABLES[key]
+    key = (spark.sparkContext.applicationId, path)
+    df = _TABLES.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _TABLES[key] = spark.read.parquet(path)
     if spread:
         n = spark.sparkContext.defaultParallelism  # the cores of the cluster
         if df.rdd.getNumPartitions() < n:  # a plain scan: planning only, no job

@@ -41,7 +41,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-_shipped: set[int] = set()
+_shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -51,7 +51,7 @@ def ship_package(spark: SparkSession) -> None:
     import the package; on a cluster this is what ``--py-files`` does.
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId  # unique per application, unlike a Python object id
     if key in _shipped:
         return
     import zipfile
