@@ -56,11 +56,25 @@ def range_checkpoint(
     partitions of the advisory size, whatever the session's shuffle partition count.
     """
     keys = [*group_cols, *order_cols]
+    if _runs_python(df):
+        # range partitioning reads its input twice (sample, then shuffle): materialise Python
+        # output (a model, a previous scan) once instead of running it twice
+        df = reliable_checkpoint(df)
     ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     ranged = ranged.sortWithinPartitions(*keys).withColumn(PID, F.spark_partition_id())
     return reliable_checkpoint(ranged)
 
 
+_PYTHON_NODES = ("MapInPandas", "MapInArrow", "EvalPython", "PythonUDF", "FlatMapGroupsInPandas",
+                 "FlatMapCoGroupsInPandas", "FlatMapGroupsInArrow")
+
+
+def _runs_python(df: DataFrame) -> bool:
+    """Whether the optimised plan evaluates Python (planning only, no job)."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(n in plan for n in _PYTHON_NODES)
+
+
 def _changes(pdf: pd.DataFrame, group_cols: list[str], prev_key: tuple | None) -> np.ndarray:
     """Boolean array: row i starts a new group (compared with row i-1, or prev_key for row 0)."""
     n = len(pdf)

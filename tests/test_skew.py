@@ -28,3 +28,19 @@ def test_one_variant_runs_in_many_tasks(spark):
     out = inf.evaluate_variants(items, "ids", ["a", "b"], f, ["k"], eos_id=0, num_partitions=8)
     per_variant = {r.variant: r.n for r in out.groupBy("variant").agg(F.countDistinct("partition_id").alias("n")).collect()}
     assert per_variant["a"] >= 4 and per_variant["b"] >= 4
+
+
+def test_python_input_runs_once(spark):
+    from slmeval.operators.ordered import ordered_scan
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def tag(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf.assign(w=pdf["id"] % 3)
+
+    src = spark.range(0, 3000, 1, 4).mapInPandas(tag, "id long, w long")
+    out = ordered_scan(src, None, ["id"], weight="w", num_partitions=5).collect()
+    assert len(out) == 3000
+    assert seen.value == 3000  # sampled and shuffled from one materialisation, not run twice
