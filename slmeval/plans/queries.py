@@ -755,3 +755,26 @@ def q_recorded_memory(spark, sf_dir):
                            "ts", "total_mb", "available_mb")
     m = tm.memory_usage(parsed)
     return m.select("event_id", "device_id", "used_mb", "used_pct", "available_pct", "used_text", "available_text")
+
+
+# --------------------------------------------------------------------------------------
+# 10. the reference's analytics over its own inference runs (telemetry differs per run:
+#     row counts only). Generation output feeds the skew-safe CDF and the scores directly.
+
+
+def _variant_runs(spark, sf_dir):
+    gen, _, _ = _generated(spark, sf_dir, list(VARIANT_SEEDS))
+    return gen.select(F.col("variant").alias("label"), "ram_before", "ram_after", "cpu_usage", "inference_time")
+
+
+@register("variant_telemetry_cdf")
+def q_variant_telemetry_cdf(spark, sf_dir):
+    """CDF of RAM after, CPU and latency per variant over the generated runs."""
+    return stats.metric_cdfs(_variant_runs(spark, sf_dir))
+
+
+@register("variant_scores")
+def q_variant_scores(spark, sf_dir):
+    """Mean telemetry per variant and relative scores (best = 100); the minima are a scalar
+    subquery that reuses the aggregation's shuffle, so the generation runs once."""
+    return stats.relative_scores(stats.mean_by_label(_variant_runs(spark, sf_dir)))
