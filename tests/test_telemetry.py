@@ -84,3 +84,14 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path, api):
     ref = {r.eid: (r.d_total, r.d_idle, r.cpu_pct)
            for r in tm.counter_delta(spark.createDataFrame(ROWS, schema), tie_cols=["eid"]).collect()}
     assert got == ref  # the late row (eid 99) produced nothing
+
+
+def test_counter_delta_within_one_reading(spark):
+    # two snapshots per reading (the reference samples, sleeps 1 s, samples again); readings are
+    # not compared with each other when pair_col is given
+    rows = [("a", 0, 100, 50, 1, 1), ("a", 1, 200, 80, 1, 2), ("a", 3, 300, 90, 2, 3), ("a", 4, 360, 120, 2, 4)]
+    df = spark.createDataFrame(
+        [(d, T0 + dt.timedelta(seconds=s), [b, 0, 0, i], r, e) for d, s, b, i, r, e in rows],
+        "device_id string, ts timestamp, counters array<bigint>, reading long, eid long")
+    out = {r.eid: r.cpu_pct for r in tm.counter_delta(df, pair_col="reading", tie_cols=["eid"]).collect()}
+    assert out == {1: None, 2: _bash_cpu(150, 50, 280, 80), 3: None, 4: _bash_cpu(390, 90, 480, 120)}
