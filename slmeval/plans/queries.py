@@ -613,7 +613,6 @@ def q_batch_generate_telemetry(spark, sf_dir):
 # 9. streams (driven to completion with availableNow triggers), sources and sinks
 
 from ..session import scratch_path  # noqa: E402
-from ..sources import frames as sf  # noqa: E402
 from ..sources import runs as sr  # noqa: E402
 from ..streaming import cpu as scpu  # noqa: E402
 from ..streaming import memory as smem  # noqa: E402

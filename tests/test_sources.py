@@ -2,7 +2,6 @@ import csv
 import json
 import math
 
-from pyspark.sql import functions as F
 
 from slmeval.operators import frames as opf
 from slmeval.sources import frames as sfr

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from slmeval.functions.metrics import cpu_percent, elapsed_between, format_memory_available, format_memory_used
 from slmeval.operators import telemetry as tm

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from slmeval.functions import arrays as ar
 from slmeval.operators import tokens as tk

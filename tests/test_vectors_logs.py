@@ -1,5 +1,4 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from slmeval.operators import logs as lg
 from slmeval.operators import vectors as vc
