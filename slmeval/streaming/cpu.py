@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,33 +35,56 @@ _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 
 def _advance(pdf: pd.DataFrame, prev, late: int, ts_col: str, tie_col: str | None, out_cols: list[str]):
-    """Apply the stream rules to one device's rows of a micro-batch.
+    """Apply the stream rules to one device's rows of a micro-batch, vectorised.
 
-    ``prev`` is ``(ts_micros, tie, idle, total)`` of the stored snapshot or None. Returns the
-    output rows, the new stored snapshot and the late-row count.
+    ``prev`` is ``(ts_micros, tie, idle, total)`` of the stored snapshot or None. Rows are taken
+    in ``(ts, tie)`` order; a row whose key is not newer than the stored snapshot, or equal to
+    the row before it, is late (dropped, counted). Each kept row is differenced against the kept
+    row before it (the first against the stored snapshot). Returns the output rows (a pandas
+    frame), the new stored snapshot and the late-row count.
     """
     order = [ts_col] + ([tie_col] if tie_col else [])
-    pdf = pdf.sort_values(order, kind="stable")
-    out = []
-    for r in pdf.itertuples(index=False):
-        ts = getattr(r, ts_col)
-        key = (int(pd.Timestamp(ts).value // 1000), int(getattr(r, tie_col)) if tie_col else 0)
-        idle, total = int(r.snap_idle), int(r.snap_total)
-        if prev is not None and key <= (prev[0], prev[1]):
-            late += 1
-            continue
-        d_total = d_idle = cpu = None
-        if prev is not None:
-            dt, di = total - prev[3], idle - prev[2]
-            if dt >= 0 and di >= 0:
-                d_total, d_idle = dt, di
-                if dt > 0:
-                    q = abs(100 * (dt - di)) // dt  # bash: truncate toward zero
-                    cpu = q if 100 * (dt - di) >= 0 else -q
-        row = [getattr(r, c) for c in out_cols] + [d_total, d_idle, cpu]
-        out.append(row)
-        prev = (key[0], key[1], idle, total)
-    return out, prev, late
+    pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
+    ts_us = pd.to_datetime(pdf[ts_col]).to_numpy(dtype="datetime64[us]").astype(np.int64)
+    tie = pdf[tie_col].to_numpy(dtype=np.int64) if tie_col else np.zeros(len(pdf), dtype=np.int64)
+    idle = pdf["snap_idle"].to_numpy(dtype=np.int64)
+    total = pdf["snap_total"].to_numpy(dtype=np.int64)
+    newer = np.ones(len(pdf), dtype=bool)
+    if prev is not None:
+        newer = (ts_us > prev[0]) | ((ts_us == prev[0]) & (tie > prev[1]))
+    if len(pdf) > 1:  # equal keys: only the first counts
+        dup = (ts_us[1:] == ts_us[:-1]) & (tie[1:] == tie[:-1])
+        newer[1:] &= ~dup
+    late += int((~newer).sum())
+    kept = pdf[newer].reset_index(drop=True)
+    k_ts, k_tie, k_idle, k_total = ts_us[newer], tie[newer], idle[newer], total[newer]
+    out = kept[out_cols].copy()
+    n = len(kept)
+    if n == 0:
+        return out.assign(d_total=pd.Series(dtype="Int64"), d_idle=pd.Series(dtype="Int64"),
+                          cpu_pct=pd.Series(dtype="Int64")), prev, late
+    p_idle = np.empty(n, dtype=np.int64)
+    p_total = np.empty(n, dtype=np.int64)
+    p_idle[1:], p_total[1:] = k_idle[:-1], k_total[:-1]
+    has_prev = np.ones(n, dtype=bool)
+    if prev is None:
+        has_prev[0] = False
+        p_idle[0] = p_total[0] = 0
+    else:
+        p_idle[0], p_total[0] = prev[2], prev[3]
+    dt = k_total - p_total
+    di = k_idle - p_idle
+    valid = has_prev & (dt >= 0) & (di >= 0)  # a counter going backwards (reboot) gives NULL
+    busy = 100 * (dt - di)
+    safe = np.where(dt > 0, dt, 1)
+    q = np.abs(busy) // safe * np.sign(busy)  # truncate toward zero, as bash
+    out["d_total"] = pd.array(np.where(valid, dt, 0), dtype="Int64")
+    out["d_idle"] = pd.array(np.where(valid, di, 0), dtype="Int64")
+    out["cpu_pct"] = pd.array(q, dtype="Int64")
+    out.loc[~valid, ["d_total", "d_idle"]] = pd.NA
+    out.loc[~(valid & (dt > 0)), "cpu_pct"] = pd.NA
+    new_prev = (int(k_ts[-1]), int(k_tie[-1]), int(k_idle[-1]), int(k_total[-1]))
+    return out, new_prev, late
 
 
 STATE_SCHEMA = T.StructType([
@@ -81,7 +105,7 @@ def _group_state_update(ts_col: str, tie_col: str | None, out_cols: list[str]):
         out, prev, late = _advance(pdf, prev, late, ts_col, tie_col, out_cols)
         if prev is not None:
             state.update((*prev, late))
-        yield pd.DataFrame(out, columns=[*out_cols, "d_total", "d_idle", "cpu_pct"])
+        yield out
 
     return update
 
@@ -101,8 +125,8 @@ class CounterDeltaProcessor(StatefulProcessor):
         out, prev, late = _advance(pdf, prev, late, self.ts_col, self.tie_col, self.out_cols)
         if prev is not None:
             self.prev.update((*prev, late))
-        if out:
-            yield pd.DataFrame(out, columns=[*self.out_cols, "d_total", "d_idle", "cpu_pct"])
+        if len(out):
+            yield out
 
     def close(self) -> None:
         pass
