@@ -359,13 +359,21 @@ def q_causal_labels(spark, sf_dir):
     return e.select("doc_id", _ids_text(tk.causal_labels("input_ids", tk.WORD_EOS_ID)).alias("labels"))
 
 
-# generated = the first 128 word ids; prompt = first 8; EOS = id 2 (the most frequent word)
+# generated = all word ids of a document; prompt = its first 8; EOS = id 2 (the most frequent word)
 GEN_PROMPT_LEN, GEN_EOS, GEN_MAX_NEW = 8, 2, 50
 
+_SQL_FULL_IDS = f"""
+WITH v AS ({_SQL_VOCAB}),
+t AS (SELECT doc_id, regexp_extract_all(text, '{_PAT}') AS toks FROM documents),
+e AS (SELECT doc_id, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM t),
+g AS (SELECT e.doc_id, list(coalesce(v.token_id, {tk.WORD_UNK_ID}) ORDER BY pos) AS ids FROM e LEFT JOIN v USING (token) GROUP BY e.doc_id),
+enc AS (SELECT t.doc_id, coalesce(g.ids, []::INTEGER[]) AS ids FROM t LEFT JOIN g USING (doc_id))
+"""
+
 
 @register(
     "truncate_at_eos",
-    _SQL_ENCODED + f"""
+    _SQL_FULL_IDS + f"""
 , n AS (SELECT doc_id, CASE WHEN len(ids) > {GEN_PROMPT_LEN} THEN ids[{GEN_PROMPT_LEN + 1}:] ELSE []::INTEGER[] END AS new_ids FROM enc),
 c AS (SELECT doc_id, new_ids, coalesce(list_position(new_ids, {GEN_EOS}), 0) AS pos FROM n)
 SELECT doc_id,
@@ -376,9 +384,10 @@ FROM c
 """,
 )
 def q_truncate_at_eos(spark, sf_dir):
-    e = _encoded(spark, sf_dir)
-    ids = F.slice("input_ids", 1, F.least(F.col("n_tokens"), F.lit(128)))
-    new = ar.new_tokens(ids, GEN_PROMPT_LEN)
+    d = fx.table(spark, sf_dir, "documents", spread=True)
+    vocab = tk.build_vocabulary(d, "text", VOCAB_SIZE)
+    e = tk.lookup_words(d, ["doc_id"], "text", vocab)  # every token of the whole text
+    new = ar.new_tokens("ids", GEN_PROMPT_LEN)
     cut = ar.truncate_at_eos(new, GEN_EOS, GEN_MAX_NEW)
     pos = F.array_position(new, GEN_EOS)
     return e.select(
