@@ -6,7 +6,8 @@ of the training sample). A text's XXH64 picks its slot and its order, so the sam
 depend on the row order or the file layout, and equal texts count once. The sample is found
 with a grouped minimum over (label, slot); only those texts are gathered.
 
-Prediction: the lower-cased text is cut into blocks of ``block_chars`` characters, every block of
+Texts are lower-cased and every run of other characters than letters is one space.
+Prediction: the text is cut into blocks of ``block_chars`` characters, every block of
 the whole text is compressed with each dictionary, and the label with the smallest total wins
 (ties: the first label by name). The score is the margin ``1 - smallest / second smallest``; a
 margin below ``min_margin`` is a rejection (``accepted`` false), also of texts without a letter.
@@ -34,10 +35,15 @@ EXCERPT_CHARS = 1500
 DICT_BYTES = 112_000
 BLOCK_CHARS = 1500
 MIN_MARGIN = 0.002
-LEVEL = 3
+LEVEL = 5  # below 5 zstd's faster parsers find few of the short matches that tell languages apart
 MAX_LABELS = 500  # dictionaries are broadcast: at most MAX_LABELS * DICT_BYTES bytes
 
 LETTER = re.compile(r"[^\W\d_]")
+NO_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def normalise(text: str) -> str:
+    return NO_LETTERS.sub(" ", text.lower())
 
 
 def learn(df: DataFrame, text: str = "text", label: str = "lang", slots: int = SLOTS,
@@ -56,7 +62,7 @@ def learn(df: DataFrame, text: str = "text", label: str = "lang", slots: int = S
     sample = sample.groupBy("label", "h").agg(F.min("text").alias("text"))
     out: dict[str, bytes] = {}
     for r in sorted(sample.collect(), key=lambda r: (r.label, r.h)):
-        out[r.label] = (out.get(r.label, b"") + r.text.lower().encode() + b"\n")[:dict_bytes]
+        out[r.label] = (out.get(r.label, b"") + normalise(r.text).encode() + b"\n")[:dict_bytes]
     return dict(sorted(out.items()))
 
 
@@ -73,7 +79,7 @@ class Classifier:
     def __call__(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.labels or not LETTER.search(text):
             return "und", 0.0
-        text, sizes = text.lower(), np.zeros(len(self.labels), dtype=np.int64)
+        text, sizes = normalise(text), np.zeros(len(self.labels), dtype=np.int64)
         for i in range(0, len(text), self.block):
             block = text[i : i + self.block].encode()
             sizes += [len(f(block)) for f in self.compress]
