@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash, urls
+from . import bpe, cdc, langid, mixing, simhash, urls
 from .common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,17 @@ def op1(spark, sf_dir):
     return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "ids")
 
 
+# -- 2. document fingerprints ----------------------------------------------------------------
+
+
+@register("op2_chunk_fingerprints")
+def op2(spark, sf_dir):
+    """Fingerprint every document, its edited text and its successor."""
+    found = cdc.likeness_to_edits(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+                        "edited_fingerprint", "near_edited", "near_next")
+
+
 # -- 3. URL rules ----------------------------------------------------------------------------
 
 # The rules of the query's contract.
@@ -117,6 +128,16 @@ def op6(spark, sf_dir):
     return found.select("doc_id", (remainder_of("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+# -- 7. mixing -------------------------------------------------------------------------------
+
+
+@register("op7_source_mixing")
+def op7(spark, sf_dir):
+    """Mix all documents by source weights 1, 2, 3 in turn."""
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 # -- 9. SimHash ------------------------------------------------------------------------------
 
 
