@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, langid, mixing, simhash, urls
+from . import bpe, cdc, langid, mixing, simhash, suffix_tree, urls
 from .common import prepare, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +138,18 @@ def op7(spark, sf_dir):
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+# -- 8. language-model scores ----------------------------------------------------------------
+
+
+@register("op8_suffix_tree_lm")
+def op8(spark, sf_dir):
+    """Score every document, learning from those whose remainder modulo 7 is not 2."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = suffix_tree.score_documents(docs, remainder_of("doc_id", 7) != 2)
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 # -- 9. SimHash ------------------------------------------------------------------------------
 
 
