@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, langid, mixing, simhash, suffix_tree, urls
-from .common import prepare, read_table
+from . import bpe, cdc, langid, mixing, simhash, suffix_tree, urls, warc
+from .common import prepare, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -112,6 +112,18 @@ def op3(spark, sf_dir):
     return urls.judge_urls(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+# -- 4. WARC ---------------------------------------------------------------------------------
+
+
+@register("op4_warc_segments")
+def op4(spark, sf_dir):
+    """Write a record per page, read the archives back."""
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select(
+        F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 # -- 6. language ID --------------------------------------------------------------------------
 
 
