@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, langid, mixing, simhash, suffix_tree, urls, warc
+from . import bpe, cdc, langid, mixing, outliers, simhash, suffix_tree, urls, warc
 from .common import prepare, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,14 @@ def op9(spark, sf_dir):
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), "component_id")
+
+
+# -- 10. quality rules -----------------------------------------------------------------------
+
+
+@register("op10_robust_outliers")
+def op10(spark, sf_dir):
+    """Judge every document by the base rules and its robust distance."""
+    found = outliers.judge_documents(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept")
