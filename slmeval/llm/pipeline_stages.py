@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, queries, simhash
+from . import langid, lines, mixing, queries, simhash
 from .common import fresh_names, prepare
 
 
@@ -32,15 +32,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that are near-duplicates of an earlier line go; documents left without any go too."""
-    from . import lines
-
     prepare(spark)
     return lines.drop_duplicate_lines(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes its words."""
-    from . import mixing
-
     prepare(spark)
     return mixing.mixed_documents(docs)

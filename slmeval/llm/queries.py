@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, langid, mixing, outliers, simhash, suffix_tree, urls, warc
+from . import bpe, cdc, langid, lines, mixing, outliers, simhash, suffix_tree, urls, warc
 from .common import prepare, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,17 @@ def op4(spark, sf_dir):
         F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# -- 5. line dedup ---------------------------------------------------------------------------
+
+
+@register("op5_fuzzy_lines")
+def op5(spark, sf_dir):
+    """The class of every line with a word: its first occurrence, and whether it is kept."""
+    found = lines.line_classes(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "line_no", F.col("first_id").alias("class_doc_id"),
+                        F.col("first_line_no").alias("class_line_no"), "kept")
+
+
 # -- 6. language ID --------------------------------------------------------------------------
 
 
