@@ -247,12 +247,9 @@ def near_links(nodes: DataFrame, bits: int = MAX_BITS, block: int = BLOCK, set_s
     return connected_components(links.union(more))
 
 
-def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    bits: int = MAX_BITS) -> DataFrame:
-    """(id, text_hash, fingerprint BIGINT, component_id), one row for each row of ``df``.
-
-    ``text_hash`` (XXH64 of the text) tells rows with a repeated id apart.
-    """
+def _classified(df: DataFrame, id: str, text: str, shingle: int, bits: int) -> DataFrame:
+    """(id, text_hash, fingerprint BIGINT, component, component_id) of each row; ``component`` is the
+    smallest fingerprint of the component, which tells components apart where an id is repeated."""
     marks = reliable_checkpoint(df.select(
         F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"),
         fingerprint_column(F.col(text), shingle).alias("fp")))
@@ -261,20 +258,27 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shing
     named = reliable_checkpoint(prints.join(linked, "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")))
     least = reliable_checkpoint(named.groupBy("component").agg(F.min("first").alias("component_id")))
-    classes = reliable_checkpoint(named.join(least, "component").select("fp", "component_id"))
-    return marks.join(classes, "fp").select("id", "text_hash", F.col("fp").alias("fingerprint"), "component_id")
+    classes = reliable_checkpoint(named.join(least, "component").select("fp", "component", "component_id"))
+    return marks.join(classes, "fp").select("id", "text_hash", F.col("fp").alias("fingerprint"), "component", "component_id")
+
+
+def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
+                    bits: int = MAX_BITS) -> DataFrame:
+    """(id, text_hash, fingerprint BIGINT, component_id), one row for each row of ``df``.
+
+    ``text_hash`` (XXH64 of the text) tells rows with a repeated id apart.
+    """
+    return _classified(df, id, text, shingle, bits).drop("component")
 
 
 def keep_one(df: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
              bits: int = MAX_BITS) -> DataFrame:
     """The rows of ``df`` with one document of each component: that with the smallest id (of equal
     ids, the smallest text hash; of rows equal in both, one). Columns are those of ``df``."""
-    found = near_duplicates(df, id, text, shingle, bits)
+    found = _classified(df, id, text, shingle, bits)
     i, h = fresh_names(df, "id", "hash")
     first = F.min_by(F.struct("id", "text_hash"), F.struct(F.col("id").isNull(), "id", "text_hash"))
-    # a component of null ids only has no id of its own: its fingerprints stay one by one
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint"))]
-    stay = found.groupBy(*[g.alias(f"g{k}") for k, g in enumerate(group)]).agg(first.alias("s"))
+    stay = found.groupBy("component").agg(first.alias("s"))
     stay = reliable_checkpoint(stay.select(F.col("s.id").alias(i), F.col("s.text_hash").alias(h)).distinct())
     keyed = df.withColumn(h, F.xxhash64(F.col(text)))
     kept = keyed.join(stay, (keyed[h] == stay[h]) & keyed[id].eqNullSafe(stay[i]), "left_semi")
