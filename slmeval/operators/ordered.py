@@ -48,31 +48,32 @@ def range_checkpoint(
     group_cols: Sequence[str],
     order_cols: Sequence[str | Column],
     num_partitions: int | None = None,
+    materialise_input: bool = False,
 ) -> DataFrame:
     """Range-partition on (group, order), sort each partition, tag it with its id, checkpoint.
 
-    Without ``num_partitions`` the adaptive planner sizes the range partitions (it merges only
-    adjacent ones, so the order is kept): small inputs get few partitions, large ones
-    partitions of the advisory size, whatever the session's shuffle partition count.
+    Without ``num_partitions`` there are as many ranges as the session's shuffle partitions (or
+    ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``), of which the adaptive planner
+    merges adjacent small ones; it never splits a range, so set that number for large tables.
+    Range partitioning reads its input twice (sample, then shuffle): ``materialise_input`` writes
+    an expensive input (Python, a model) once instead.
     """
     keys = [*group_cols, *order_cols]
-    if _runs_python(df):
-        # range partitioning reads its input twice (sample, then shuffle): materialise Python
-        # output (a model, a previous scan) once instead of running it twice
+    if materialise_input:
         df = reliable_checkpoint(df)
     ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     ranged = ranged.sortWithinPartitions(*keys).withColumn(PID, F.spark_partition_id())
     return reliable_checkpoint(ranged)
 
 
-_PYTHON_NODES = ("MapInPandas", "MapInArrow", "EvalPython", "PythonUDF", "FlatMapGroupsInPandas",
-                 "FlatMapCoGroupsInPandas", "FlatMapGroupsInArrow")
-
-
-def _runs_python(df: DataFrame) -> bool:
-    """Whether the optimised plan evaluates Python (planning only, no job)."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(n in plan for n in _PYTHON_NODES)
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal or both NULL ``keys``; the columns of ``left`` and the others of ``right``."""
+    names = {k: f"_slm_r{i}" for i, k in enumerate(keys)}
+    other = right.select(*[F.col(k).alias(n) for k, n in names.items()], *[c for c in right.columns if c not in names])
+    on = F.lit(True)
+    for k, n in names.items():
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return left.join(other, on, how).drop(*names.values())
 
 
 def _changes(pdf: pd.DataFrame, group_cols: list[str], prev_key: tuple | None) -> np.ndarray:
@@ -223,12 +224,12 @@ def _count_scan(pos, per_group, offsets, scan_groups, wc, cum_col, total_col) ->
         PID, *scan_groups,
         (F.when(is_first, F.col(f"_off{wc}")).otherwise(F.lit(0)) - F.col("_lo")).alias("_base"),
     )
-    out = pos.join(base, [PID, *scan_groups])
+    out = _null_safe(pos, base, [PID, *scan_groups], "inner")
     cols = [c for c in pos.columns if c not in (PID, wc, "_slm_pos")]
     res = out.select(*cols, (F.col("_slm_pos") + F.col("_base")).alias(cum_col or "_slm_cum"))
     if total_col:
         totals = per_group.groupBy(*scan_groups).agg(F.sum(f"_ls{wc}").alias(total_col))
-        res = res.join(totals, scan_groups, "left")
+        res = _null_safe(res, totals, scan_groups, "left")
     return res if cum_col else res.drop("_slm_cum")
 
 
@@ -242,6 +243,7 @@ def ordered_scan(
     prev_prefix: str = "prev_",
     total_col: str | None = None,
     num_partitions: int | None = None,
+    materialise_input: bool = False,
 ) -> DataFrame:
     """Per group, in ``order_cols`` order: the sum of ``weight`` over the rows before each row
     (``cum_col``; weight 1 gives the 0-based row number) and the previous row's ``carry`` values
@@ -273,7 +275,7 @@ def ordered_scan(
             base = base.withColumn(wc, F.col(wc).cast("long"))
         cum_cols[wc] = out
     wcols = list(cum_cols)
-    ranged = range_checkpoint(base, scan_groups, orders, num_partitions)
+    ranged = range_checkpoint(base, scan_groups, orders, num_partitions, materialise_input)
     by_name = {f.name: f for f in ranged.schema.fields}
 
     count_only = weight is None and not carry
@@ -292,13 +294,14 @@ def ordered_scan(
             out_fields.append(T.StructField(name, by_name[wc].dataType))
     for c in carry:
         out_fields.append(T.StructField(prev_names[c], by_name[c].dataType))
-    joined = ranged.join(F.broadcast(offsets), PID, "left").sortWithinPartitions(PID, *scan_groups, *orders)
+    # the broadcast join streams the checkpointed partitions: their order is kept, no second sort
+    joined = ranged.join(F.broadcast(offsets), PID, "left")
     scanned = joined.mapInPandas(_scan(scan_groups, carry, cum_cols, prev_names), T.StructType(out_fields))
     if total_col:
         if len(wcols) != 1:
             raise ValueError("total_col needs a single weight")
         totals = ranged.groupBy(*scan_groups).agg(F.sum(wcols[0]).alias(total_col))
-        scanned = scanned.join(totals, scan_groups, "left")
+        scanned = _null_safe(scanned, totals, scan_groups, "left")
     if not groups:
         scanned = scanned.drop(_GROUP)
     return scanned

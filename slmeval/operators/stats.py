@@ -45,11 +45,11 @@ def mean_by_label(
     runs: DataFrame,
     label_col: str = "label",
     metrics: Mapping[str, str] | None = None,
-    digits: int | None = 6,
+    digits: int | None = None,
 ) -> DataFrame:
     """Mean of each metric per label, NULL and NaN skipped. One partial + final aggregate.
 
-    ``digits`` rounds the means (a mean of doubles depends on the order of addition).
+    ``digits`` rounds the means; scores are meant to be taken from unrounded ones.
     """
     metrics = dict(metrics or DEFAULT_METRICS)
     aggs = []
@@ -63,7 +63,7 @@ def run_summary(
     runs: DataFrame,
     metrics: Mapping[str, str] | None = None,
     skip_missing: bool = False,
-    digits: int | None = 6,
+    digits: int | None = None,
 ) -> DataFrame:
     """Whole-table means (one row). ``np.mean`` on lists propagates NaN: ``skip_missing=False``."""
     metrics = dict(
@@ -87,7 +87,7 @@ def relative_scores(
     averages: DataFrame,
     metrics: Sequence[str] = tuple(DEFAULT_METRICS),
     score_names: Mapping[str, str] | None = None,
-    digits: int | None = 6,
+    digits: int | None = None,
 ) -> DataFrame:
     """Per label and metric: ``min over labels / own mean * 100`` if the mean is > 0, else 0.
 

@@ -51,3 +51,22 @@ def test_count_path_matches_row_number_with_hot_group(spark):
     j = s.join(ref, "id")
     assert j.count() == 4000
     assert j.filter((F.col("cum_before") != F.col("rn")) | (F.col("n") != F.col("cnt"))).count() == 0
+
+
+def test_null_groups_on_the_count_path(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 1), (None, 2), (None, 3)], "g string, o int")
+    for n in (1, 4):
+        s = ordered_scan(df, ["g"], ["o"], total_col="n", num_partitions=n)
+        assert sorted((r.g or "", r.o, r.cum_before, r.n) for r in s.collect()) == [
+            ("", 1, 0, 3), ("", 2, 1, 3), ("", 3, 2, 3), ("a", 1, 0, 2), ("a", 2, 1, 2)]
+
+
+def test_null_groups_keep_their_rows_in_cdf_and_series(spark):
+    from slmeval.operators import logs, stats
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 2.0), (None, 1.0), (None, 1.0)], "k string, v double")
+    assert sorted((r.k or "", r.cdf) for r in stats.empirical_cdf(df, "k", "v").collect()) == [("", 0.5), ("", 1.0), ("a", 0.5), ("a", 1.0)]
+    assert sorted((r.k or "", r.cdf) for r in stats.empirical_cdf(df, "k", "v", points="distinct").collect()) == [
+        ("", 1.0), ("a", 0.5), ("a", 1.0)]
+    records = spark.createDataFrame([(None, 1, {"loss": 1.0}), (None, 2, {"loss": 2.0})], "run_id int, seq int, logs map<string,double>")
+    assert sorted(r.step for r in logs.loss_series(records).collect()) == [1, 2]

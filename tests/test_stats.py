@@ -75,3 +75,10 @@ def test_order_labels_and_radar(spark):
     ang = np.linspace(0, 2 * math.pi, 3, endpoint=False)
     assert [p.value for p in pts] == [1.0, 2.0, 3.0, 1.0]
     assert [p.angle for p in pts] == [float(a) for a in list(ang) + [ang[0]]]
+
+
+def test_scores_come_from_unrounded_means(spark):
+    df = spark.createDataFrame([("a", 2e-7), ("b", 3e-3)], "label string, t double")
+    means = stats.mean_by_label(df, metrics={"avg_t": "t"})
+    scores = {r.label: r.score_avg_t for r in stats.relative_scores(means, ["avg_t"]).collect()}
+    assert scores["a"] == 100.0 and abs(scores["b"] - 0.0066666) < 1e-5
