@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .ordered import ordered_scan
 
 
@@ -25,40 +26,32 @@ def split_exact(
 ) -> DataFrame:
     """Flag exactly ``round(frac * n)`` rows (round half to even, as Python) as the train part.
 
-    The rows with the smallest seeded keys ``(md5(seed:id), id)`` are taken. No global sort:
-    rows are counted per ``prefix_bits`` of the hash (at most 2**prefix_bits groups, so that
-    table is bounded), the group holding the boundary is found from running counts over that
-    small table, and only that one group is ranked. md5 spreads ids evenly over the groups
-    whatever the data, so the boundary group holds about n / 2**prefix_bits rows.
-    All steps are scalar subqueries over aggregates: the rows are read, not shuffled.
-    Size and determinism equal ``df.sample(frac, random_state)``; membership differs.
+    The rows with the smallest seeded keys ``(md5(seed:id), id)`` are taken. Ids must be unique and
+    not NULL (checked by one grouped count of the ids; ``ValueError`` otherwise), else no key
+    order would give an exact size. No global sort: one pass counts the rows per ``prefix_bits`` of
+    the hash (a table of at most 2**prefix_bits rows, written once), the group holding the boundary
+    follows from the running counts over it, and only that group is ordered, about
+    n / 2**prefix_bits rows as md5 spreads unique ids evenly. The result is a filterable flag: one
+    scan of ``df`` with a comparison of literals. Size and determinism equal
+    ``df.sample(frac, random_state)``; membership differs.
     """
     hex_digits = max(1, (prefix_bits + 3) // 4)
-    keyed = df.withColumn("_h", split_key(id_col, seed)).withColumn(
-        "_p", F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("long")
-    )
-    counts = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    target = F.bround(F.lit(float(frac)) * counts.agg(F.sum("_c")).scalar().cast("double"), 0).cast("long")
+    repeated = df.groupBy(F.col(id_col).alias("_i")).count().filter(F.col("_i").isNull() | (F.col("count") > 1)).take(1)
+    if repeated:
+        raise ValueError(f"split_exact needs unique ids that are not NULL; {repeated[0]['_i']!r} is on {repeated[0]['count']} rows")
+    prefix = F.conv(F.substring("_h", 1, hex_digits), 16, 10).cast("long")
+    ids = df.select(F.col(id_col).alias("_i"), split_key(id_col, seed).alias("_h")).withColumn("_p", prefix)
+    counts = reliable_checkpoint(ids.groupBy("_p").agg(F.count(F.lit(1)).alias("_c")))
+    target = round(frac * (counts.agg(F.sum("_c")).first()[0] or 0))
+    if target == 0:
+        return df.withColumn(flag_col, F.lit(False))
     running = counts.withColumn(  # one row per hash prefix: bounded by 2**prefix_bits
         "_ci", F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
     )
-    boundary = (
-        running.filter(F.col("_ci") >= target)
-        .agg(F.min_by(F.struct(F.col("_p").alias("p"), (F.col("_ci") - F.col("_c")).alias("below")), F.col("_p")).alias("b"))
-        .scalar()
-    )
-    b = boundary.getField("p")
-    need = target - boundary.getField("below")
-    key = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("id"))
-    kth = (
-        keyed.filter(F.col("_p") == b)
-        .withColumn("_rn", F.row_number().over(Window.orderBy("_h", id_col)))  # the boundary group only
-        .filter(F.col("_rn") == need)
-        .agg(F.max(key).alias("k"))
-        .scalar()
-    )
-    in_train = (F.col("_p") < b) | ((F.col("_p") == b) & (key <= kth))
-    return keyed.withColumn(flag_col, F.coalesce(in_train, F.lit(False))).drop("_h", "_p")
+    b = running.filter(F.col("_ci") >= target).agg(F.min_by(F.struct("_p", (F.col("_ci") - F.col("_c")).alias("below")), "_p")).first()[0]
+    kth = ids.filter(F.col("_p") == b["_p"]).orderBy("_h", "_i").limit(target - b["below"]).agg(F.max(F.struct("_h", "_i"))).first()[0]
+    h = split_key(id_col, seed)
+    return df.withColumn(flag_col, (h < kth["_h"]) | ((h == kth["_h"]) & (F.col(id_col) <= F.lit(kth["_i"]))))
 
 
 def train_eval(df: DataFrame, id_col: str, frac: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
