@@ -1,28 +1,27 @@
 """Token arrays: vocabularies, fixed-length encoding, attention masks, causal-LM labels.
 
-Two tokenizers:
-
-* a word vocabulary built by Spark from the data (``build_vocabulary``) and applied with native
-  expressions and a broadcast join (``encode_words``) -- no Python in the plan;
-* any sub-word tokenizer object (``ByteBPE`` is the default: a byte-level BPE file with the
-  50,257-id layout of the reference's models) through an Arrow-batched ``pandas_udf``
-  (``encode_ids``); the tokenizer is loaded once per Python worker.
-
-Both tokenise the whole text; ``fixed_length`` then truncates on the right to ``max_length``
-and pads on the right with ``pad_id`` (``truncation=True, padding="max_length"``).
+A word vocabulary is built by Spark from the data (``build_vocabulary``) and applied row by row
+(``encode_words``). The whole text is tokenised; ``fixed_length`` then truncates on the right to
+``max_length`` and pads on the right with ``pad_id`` (``truncation=True, padding="max_length"``).
 """
 
 from __future__ import annotations
 
-import os
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .._util import col
+from ..session import reliable_checkpoint
+from .ordered import ordered_scan
+from .split import split_exact
+
+MAX_BROADCAST_ENTRIES = 1_000_000  # vocabulary rows that are broadcast; more are joined
 
 # Fixed values.
 # Word tokens: runs of letters (with combining marks), runs of digits, or one other
@@ -42,21 +41,20 @@ def word_tokens(text) -> Column:
     return F.regexp_extract_all(col(text), F.lit(WORD_PATTERN), 0)
 
 
-def build_vocabulary(df: DataFrame, text_col: str, size: int = 4096) -> DataFrame:
-    """``(token, token_id)``: ids 0 and 1 are EOS/pad and unknown, then the ``size`` most
-    frequent tokens ranked by count (descending) then token text.
+def build_vocabulary(df: DataFrame, text_col: str, size: int | None = None) -> DataFrame:
+    """``(token, token_id)``: ids 0 and 1 are EOS/pad and unknown, then all distinct tokens (or the
+    ``size`` most frequent, where a model has a fixed vocabulary) ranked by count (descending)
+    then token text. Checkpointed: the ids are made once for all uses.
 
-    Token counting is a partial aggregation; the top ``size`` is a per-partition top-k merged
-    once (``TakeOrderedAndProject``), so the ranking window sees at most ``size`` rows.
+    Token counting is a partial aggregation; the ranking is a range-partitioned ordered scan over
+    the distinct tokens, so no task sees the whole vocabulary.
     """
     counts = df.select(F.explode(word_tokens(text_col)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)
-    ranked = top.select(
-        "token", (F.row_number().over(Window.orderBy(F.col("n").desc(), F.col("token"))) + 1).cast("int").alias("token_id")
-    )
-    spark = df.sparkSession
-    specials = spark.createDataFrame([(WORD_EOS, WORD_EOS_ID), (WORD_UNK, WORD_UNK_ID)], "token string, token_id int")
-    return specials.unionByName(ranked)
+    if size is not None:
+        counts = counts.orderBy(F.col("n").desc(), F.col("token")).limit(size)
+    ranked = ordered_scan(counts, None, [F.col("n").desc(), F.col("token")], cum_col="_before")
+    specials = df.sparkSession.createDataFrame([(WORD_EOS, WORD_EOS_ID), (WORD_UNK, WORD_UNK_ID)], "token string, token_id int")
+    return reliable_checkpoint(specials.unionByName(ranked.select("token", (F.col("_before") + 2).cast("int").alias("token_id"))))
 
 
 def fixed_length(ids, max_length: int = MAX_LENGTH, pad_id: int = BPE_EOS_ID) -> Column:
@@ -90,6 +88,39 @@ def select_model_inputs(df: DataFrame) -> DataFrame:
     return df.select("input_ids", "attention_mask")
 
 
+def _mapped_array(df: DataFrame, array: Column, table: DataFrame, key: str, value: str, default, out_col: str) -> DataFrame:
+    """``df`` with ``out_col``: the elements of ``array`` replaced by the table's values, in order.
+
+    Up to ``MAX_BROADCAST_ENTRIES`` rows (counted) the table is broadcast and every row is mapped by
+    itself, without a shuffle. A larger table is joined: rows get an id of their own (written, so it
+    is fixed), their elements meet the table by key and are gathered again under that id.
+    """
+    kind = table.schema[value].dataType
+    rows = table.select(key, value).limit(MAX_BROADCAST_ENTRIES + 1)
+    if rows.count() <= MAX_BROADCAST_ENTRIES:
+        shared = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows.collect()})
+        arrow = to_arrow_type(kind)
+
+        @F.arrow_udf(T.ArrayType(kind))
+        def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            get = shared.value.get
+            for batch in batches:
+                offsets = pc.subtract(batch.offsets, batch.offsets[0]) if len(batch) else pa.array([0], type=pa.int32())
+                found = [get(x, default) for x in batch.flatten().to_pylist()]
+                lists = pa.ListArray.from_arrays(offsets, pa.array(found, type=arrow))
+                yield pc.if_else(batch.is_valid(), lists, None) if batch.null_count else lists
+
+        return df.withColumn(out_col, look_up(array))
+    keyed = reliable_checkpoint(df.withColumns({"_slm_row": F.monotonically_increasing_id(), "_slm_array": array}))
+    each = keyed.select("_slm_row", F.posexplode("_slm_array").alias("_pos", key))
+    found = each.join(table.select(key, value), key, "left").select(
+        "_slm_row", F.struct("_pos", F.coalesce(F.col(value), F.lit(default).cast(kind)).alias("v")).alias("_s"))
+    lists = found.groupBy("_slm_row").agg(F.transform(F.array_sort(F.collect_list("_s")), lambda x: x["v"]).alias("_slm_list"))
+    joined = keyed.join(lists, "_slm_row", "left")
+    none = F.when(F.col("_slm_array").isNotNull(), F.array().cast(T.ArrayType(kind)))
+    return joined.withColumn(out_col, F.coalesce("_slm_list", none)).drop("_slm_row", "_slm_array", "_slm_list")
+
+
 def encode_words(
     df: DataFrame,
     key_col: str,
@@ -99,166 +130,47 @@ def encode_words(
     pad_id: int = WORD_EOS_ID,
     unk_id: int = WORD_UNK_ID,
 ) -> DataFrame:
-    """``(key, n_tokens, input_ids, attention_mask)`` with the word vocabulary.
-
-    The whole text is tokenised (``n_tokens`` counts all tokens); only the first
-    ``max_length`` are looked up: exploded, joined with the broadcast vocabulary (its size is
-    the ``size`` it was built with) and gathered back per key (at most ``max_length`` per key).
-    """
-    toks = df.select(col(key_col).alias("_k"), word_tokens(text_col).alias("_t"))
-    toks = toks.select("_k", F.size("_t").alias("n_tokens"), F.slice("_t", 1, max_length).alias("_t"))
-    # one row per token (or one empty row for a text without tokens), so the text is tokenised once
-    exploded = toks.select("_k", "n_tokens", F.posexplode_outer("_t").alias("_pos", "token"))
-    looked = exploded.join(F.broadcast(vocab), "token", "left").select(
-        "_k", "n_tokens", "_pos",
-        F.when(F.col("_pos").isNotNull(), F.coalesce(F.col("token_id"), F.lit(unk_id))).cast("int").alias("_id"),
-    )
-    gathered = looked.groupBy("_k").agg(
-        F.first("n_tokens").alias("n_tokens"),
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id")))).alias("_s"),
-    )
-    ids = F.transform("_s", lambda s: s["_id"])
-    return gathered.select(
-        F.col("_k").alias(key_col),
-        "n_tokens",
-        fixed_length(ids, max_length, pad_id).alias("input_ids"),
-        attention_mask("n_tokens", max_length).alias("attention_mask"),
-    )
+    """``(key, n_tokens, input_ids, attention_mask)`` with the word vocabulary, one row per row of
+    ``df`` (keys may repeat). ``n_tokens`` counts the tokens of the whole text; the first
+    ``max_length`` are encoded."""
+    toks = df.select(col(key_col).alias(key_col), word_tokens(text_col).alias("_t"))
+    looked = _mapped_array(toks.select(key_col, F.size("_t").alias("n_tokens"), F.slice("_t", 1, max_length).alias("_t")),
+                           F.col("_t"), vocab, "token", "token_id", unk_id, "_ids")
+    n = F.greatest("n_tokens", F.lit(0))  # a NULL text has no tokens
+    ids = F.coalesce("_ids", F.array().cast("array<int>"))
+    return looked.select(key_col, n.alias("n_tokens"), fixed_length(ids, max_length, pad_id).alias("input_ids"),
+                         attention_mask(n, max_length).alias("attention_mask"))
 
 
 def lookup_words(df: DataFrame, key_cols, text_col: str, vocab: DataFrame, unk_id: int = WORD_UNK_ID,
                  out_col: str = "ids") -> DataFrame:
-    """``(keys..., ids)``: every word token of each whole text mapped through the broadcast
-    vocabulary (unknown tokens -> ``unk_id``), in text order; no truncation (prompts)."""
+    """``(keys..., ids)``: every word token of each whole text mapped through the vocabulary (unknown
+    tokens -> ``unk_id``), in text order; no truncation (prompts)."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     toks = df.select(*keys, word_tokens(text_col).alias("_t"))
-    exploded = toks.select(*keys, F.posexplode_outer("_t").alias("_pos", "token"))
-    looked = exploded.join(F.broadcast(vocab), "token", "left").select(
-        *keys, "_pos", F.coalesce(F.col("token_id"), F.lit(unk_id)).cast("int").alias("_id"))
-    gathered = looked.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_id")))).alias("_s"))
-    return gathered.select(*keys, F.transform("_s", lambda s: s["_id"]).alias(out_col))
+    return _mapped_array(toks, F.col("_t"), vocab, "token", "token_id", unk_id, out_col).drop("_t")
 
 
 def decode_words(df: DataFrame, key_cols, ids_col: str, vocab: DataFrame, special_ids=(WORD_EOS_ID,),
                  out_col: str = "text", keep_cols=()) -> DataFrame:
-    """``(keys..., keep..., text)``: ids mapped back through the broadcast vocabulary (ids outside
-    it give ``<|unk|>``), special ids skipped, tokens joined with one space.
-
-    ``keep_cols`` are carried through the same grouping (``first``; they are per key), so the
-    input -- e.g. an expensive generation -- is read once and never joined back.
-    """
+    """``(keys..., keep..., text)``: ids mapped back through the vocabulary (ids outside it give
+    ``<|unk|>``), special ids skipped, tokens joined with one space."""
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
-    keep = [c for c in keep_cols if c not in keys]
     special = F.array(*[F.lit(int(s)) for s in special_ids])
-    kept = df.select(*keys, *keep, F.filter(col(ids_col), lambda x: ~F.array_contains(special, x)).alias("_ids"))
-    exploded = kept.select(*keys, *keep, F.posexplode_outer("_ids").alias("_pos", "token_id"))
-    looked = exploded.join(F.broadcast(vocab), "token_id", "left")
-    gathered = looked.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in keep],
-        F.array_sort(F.collect_list(F.when(F.col("_pos").isNotNull(),
-                                           F.struct("_pos", F.coalesce("token", F.lit(WORD_UNK)).alias("t"))))).alias("_s"),
-    )
-    return gathered.select(*keys, *keep, F.array_join(F.transform("_s", lambda s: s["t"]), " ").alias(out_col))
-
-
-# --------------------------------------------------------------------------------------
-# pluggable sub-word tokenizers (Arrow-batched)
-
-
-class ByteBPE:
-    """Byte-level BPE from a ``tokenizers`` JSON file; EOS 50256 by default.
-
-    ``path`` must be readable on every worker (ship it with ``SparkContext.addFile`` and pass
-    the file name: it is then looked up with ``SparkFiles.get``).
-    """
-
-    def __init__(self, path: str | None = None, eos_id: int = BPE_EOS_ID):
-        self.path = path
-        self.eos_id = eos_id
-
-    def load(self):
-        from tokenizers import Tokenizer
-
-        path = self.path or _default_bpe_path()
-        if not os.path.exists(path):
-            from pyspark import SparkFiles
-
-            path = SparkFiles.get(os.path.basename(path))
-        tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True  # special strings inside a text are plain text
-        return tok
-
-    def encode(self, tok, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-
-    def decode(self, tok, ids: list[list[int]], skip_special_tokens: bool = True) -> list[str]:
-        return tok.decode_batch(ids, skip_special_tokens=skip_special_tokens)
-
-
-def _default_bpe_path() -> str:
-    try:
-        import public_tokenizers as P  # the container's public tokenizer files
-
-        return P.path("byte_bpe_50k.json")
-    except ImportError:  # pragma: no cover
-        return "byte_bpe_50k.json"
-
-
-_LOADED: dict = {}
-
-
-def _loaded(tokenizer):
-    key = (type(tokenizer).__name__, getattr(tokenizer, "path", None))
-    if key not in _LOADED:
-        _LOADED[key] = tokenizer.load()
-    return _LOADED[key]
-
-
-def encode_ids(text, tokenizer=None) -> Column:
-    """All token ids of each whole text (``ARRAY<INT>``) through a pluggable tokenizer."""
-    tokenizer = tokenizer or ByteBPE()
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _encode(s: pd.Series) -> pd.Series:
-        tok = _loaded(tokenizer)
-        mask = s.isna()
-        texts = s.fillna("").tolist()
-        out = pd.Series(tokenizer.encode(tok, texts), index=s.index, dtype=object)
-        out[mask] = None
-        return out
-
-    return _encode(col(text))
-
-
-def decode_ids(ids, tokenizer=None, skip_special_tokens: bool = True) -> Column:
-    """Text of each id array (``decode(ids, skip_special_tokens=True)``)."""
-    tokenizer = tokenizer or ByteBPE()
-
-    @F.pandas_udf(T.StringType())
-    def _decode(s: pd.Series) -> pd.Series:
-        tok = _loaded(tokenizer)
-        lists = [[int(x) for x in v] if v is not None else [] for v in s]
-        return pd.Series(tokenizer.decode(tok, lists, skip_special_tokens), index=s.index)
-
-    return _decode(col(ids))
-
-
-def encode_fixed(
-    df: DataFrame,
-    text_col: str,
-    tokenizer=None,
-    max_length: int = MAX_LENGTH,
-    pad_id: int = BPE_EOS_ID,
-) -> DataFrame:
-    """Adds ``n_tokens``, ``input_ids`` (exactly ``max_length``) and ``attention_mask``."""
-    with_ids = df.withColumn("_ids", encode_ids(text_col, tokenizer))
-    return with_ids.select(
-        *[c for c in df.columns],
-        F.size("_ids").alias("n_tokens"),
-        fixed_length("_ids", max_length, pad_id).alias("input_ids"),
-        attention_mask(F.size("_ids"), max_length).alias("attention_mask"),
-    )
-
-
-TokenizerFactory = Callable[[], object]
+    kept = df.select(*keys, *[c for c in keep_cols if c not in keys],
+                     F.filter(col(ids_col), lambda x: ~F.array_contains(special, x)).alias("_ids"))
+    words = _mapped_array(kept, F.col("_ids"), vocab, "token_id", "token", WORD_UNK, "_words")
+    return words.withColumn(out_col, F.array_join("_words", " ")).drop("_ids", "_words")
+
+
+def training_table(items: DataFrame, id_col: str, text_col: str, vocab: DataFrame, frac: float = 0.8, seed: int = 42,
+                   max_length: int = MAX_LENGTH) -> DataFrame:
+    """Items to a training table: ``(id, in_train, input_ids, attention_mask, labels)`` with the exact
+    split's flag; the two parts are filters of it (``select_model_inputs`` keeps the model's columns)."""
+    flagged = split_exact(items, id_col, frac, seed, flag_col="in_train")
+    toks = flagged.select(id_col, "in_train", F.slice(word_tokens(text_col), 1, max_length).alias("_t"))
+    looked = _mapped_array(toks, F.col("_t"), vocab, "token", "token_id", WORD_UNK_ID, "_ids")
+    ids = F.coalesce("_ids", F.array().cast("array<int>"))
+    shaped = looked.select(id_col, "in_train", fixed_length(ids, max_length, WORD_EOS_ID).alias("input_ids"),
+                           attention_mask(F.size(ids), max_length).alias("attention_mask"))
+    return shaped.withColumn("labels", causal_labels("input_ids", WORD_EOS_ID))

@@ -1,5 +1,3 @@
-import pytest
-
 from slmeval.functions import arrays as ar
 from slmeval.operators import tokens as tk
 
@@ -31,22 +29,35 @@ def test_vocabulary_ranking(spark):
     assert v == {tk.WORD_EOS: 0, tk.WORD_UNK: 1, "c": 2, "a": 3}
 
 
-def test_bpe_encode_matches_tokenizer(spark):
-    pytest.importorskip("tokenizers")
+def test_repeated_keys_nulls_and_large_vocabulary(spark, monkeypatch):
+    rows = [(1, "a b c"), (1, "d e"), (None, "a"), (2, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = tk.build_vocabulary(df, "text")
+    assert {r.token: r.token_id for r in vocab.collect()} == {tk.WORD_EOS: 0, tk.WORD_UNK: 1, "a": 2, "b": 3, "c": 4, "d": 5, "e": 6}
+    expected = [(1, 2, [5, 6, 0, 0]), (1, 3, [2, 3, 4, 0]), (2, 0, [0] * 4), (3, 0, [0] * 4), (None, 1, [2, 0, 0, 0])]
+    for bound in (tk.MAX_BROADCAST_ENTRIES, 3):  # broadcast, and joined by key
+        monkeypatch.setattr(tk, "MAX_BROADCAST_ENTRIES", bound)
+        got = [(r.doc_id, r.n_tokens, list(r.input_ids)) for r in tk.encode_words(df, "doc_id", "text", vocab, 4).collect()]
+        assert sorted(got, key=str) == expected
+        ids = tk.lookup_words(df.union(spark.createDataFrame([(9, "a zz b")], df.schema)), "doc_id", "text", vocab)
+        assert {r.doc_id: r.ids for r in ids.collect()}[9] == [2, 1, 3]
+        words = tk.decode_words(ids.filter("doc_id = 9").withColumn("ids", ar.append_token("ids", 77)), "doc_id", "ids", vocab)
+        assert words.first().text == f"a {tk.WORD_UNK} b {tk.WORD_UNK}"
+
+
+def test_row_wise_lookup_has_no_shuffle(spark):
     df = _texts(spark)
-    enc = {r.doc_id: r for r in tk.encode_fixed(df, "text").collect()}
-    bpe = tk.ByteBPE()
-    tok = bpe.load()
-    for k, text in enumerate([r.text for r in df.orderBy("doc_id").collect()]):
-        ids = tok.encode(text, add_special_tokens=False).ids
-        r = enc[k]
-        assert r.n_tokens == len(ids)
-        assert list(r.input_ids) == (ids[:128] + [tk.BPE_EOS_ID] * 128)[:128]
-        assert sum(r.attention_mask) == min(len(ids), 128)
-    # the EOS text inside a document is ordinary text, not the special id
-    assert tk.BPE_EOS_ID not in enc[5].input_ids[: enc[5].n_tokens]
-    dec = df.sparkSession.createDataFrame([(tok.encode("hello world").ids + [tk.BPE_EOS_ID],)], "ids array<int>")
-    assert dec.select(tk.decode_ids("ids")).first()[0] == "hello world"
+    plan = tk.encode_words(df, "doc_id", "text", tk.build_vocabulary(df, "text"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_training_table(spark):
+    df = spark.createDataFrame([(i, f"t{i} x") for i in range(10)] + [(10, None)], "doc_id long, text string")
+    t = tk.training_table(df, "doc_id", "text", tk.build_vocabulary(df, "text"), max_length=4)
+    rows = t.collect()
+    assert sum(r.in_train for r in rows) == round(0.8 * 11) and all(len(r.input_ids) == 4 for r in rows)
+    assert all([x if x else -100 for x in r.input_ids] == list(r.labels) for r in rows)
+    assert tk.select_model_inputs(t.filter("in_train")).columns == ["input_ids", "attention_mask"]
 
 
 def test_truncate_at_eos_cases(spark):
