@@ -68,7 +68,7 @@ def drop_prefix_ci(c, prefix: str = ANSWER_PREFIX) -> Column:
     n = len(prefix)
     return F.when(
         F.lower(F.substring(c, 1, n)) == F.lit(prefix.lower()),
-        py_strip(F.substring(c, n + 1, 1 << 30)),
+        py_strip(F.substring(c, F.lit(n + 1), F.length(c))),
     ).otherwise(c)
 
 

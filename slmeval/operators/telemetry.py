@@ -71,12 +71,14 @@ def memory_usage(gauges: DataFrame, total_col: str = "total_mb", available_col:
     )
 
 
-def latest_reading(df: DataFrame, device_col: str, ts_col: str, value_cols: Sequence[str]) -> DataFrame:
+def latest_reading(df: DataFrame, device_col: str, ts_col: str, value_cols: Sequence[str],
+                   tie_cols: Sequence[str] | None = None) -> DataFrame:
     """The newest row per device (the reading that replaces the former one on screen).
 
+    Of rows with the same time the one with the largest ``tie_cols`` (default: the values) is taken,
+    so the result does not depend on the row order; a NULL time is older than any other.
     ``max_by`` is a partial + final aggregate: a device with most rows is combined map-side.
     """
-    picked = df.groupBy(device_col).agg(
-        F.max_by(F.struct(*[F.col(c) for c in [ts_col, *value_cols]]), F.col(ts_col)).alias("_m")
-    )
+    order = F.struct(F.col(ts_col), *[F.col(c) for c in (value_cols if tie_cols is None else tie_cols)])
+    picked = df.groupBy(device_col).agg(F.max_by(F.struct(*[F.col(c) for c in [ts_col, *value_cols]]), order).alias("_m"))
     return picked.select(device_col, *[F.col(f"_m.{c}").alias(c) for c in [ts_col, *value_cols]])

@@ -1,8 +1,7 @@
 """Q&A item sources: a JSON array file (the reference's format) or JSON lines.
 
 A multi-line JSON array is one non-splittable task per file; for scale write JSON lines or
-Parquet and pass ``multi_line=False``. Text fields stay text (no numeric inference), and an
-explicit ``item_id`` replaces the positional index.
+Parquet and pass ``multi_line=False``. Text fields stay text (no numeric inference).
 """
 
 from __future__ import annotations
@@ -28,12 +27,26 @@ def read_items(
     multi_line: bool = True,
     id_col: str = "item_id",
 ) -> DataFrame:
-    """Items with an explicit schema and an ``item_id`` (file order within one array file).
+    """Items with an explicit schema and an ``item_id`` made of their content.
 
-    ``required`` fields must be present: a row missing one fails the job, as a missing key
-    raises in the reference.
+    The id is the hex MD5 of the fields' JSON, so it does not depend on the file layout; equal
+    items share it (number them with ``number_runs`` where each copy needs its own).
+
+    ``required`` fields must be present: a row without the key fails the job whichever columns are
+    selected, as a missing key raises in the reference; a JSON null is a NULL text.
     """
-    df = spark.read.schema(item_schema(fields)).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
-    for r in required:
-        df = df.withColumn(r, F.when(F.col(r).isNull(), F.raise_error(F.lit(f"item without '{r}'"))).otherwise(F.col(r)))
-    return df.withColumn(id_col, F.monotonically_increasing_id()).select(id_col, *fields)
+    options = {"multiLine": multi_line, "mode": "FAILFAST"}
+    df = spark.read.schema(item_schema(fields)).options(**options).json(path)
+    if required:
+        # one string per object keeps the difference between a missing key and a null
+        text = spark.read.options(wholetext=multi_line).text(path)
+        kind = "array<map<string,string>>" if multi_line else "map<string,string>"
+        objects = text.select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("o"))
+        if multi_line:
+            objects = objects.select(F.explode("o").alias("o"))
+        missing = F.filter(F.array(*[F.lit(r) for r in required]), lambda r: ~F.map_contains_key("o", r))
+        checked = objects.filter(F.when(F.size(missing) > 0, F.raise_error(F.concat(
+            F.lit("item without '"), F.array_join(missing, "', '"), F.lit("'")))).otherwise(F.lit(True)).cast("boolean"))
+        df = checked.select(*[F.col("o")[f].alias(f) for f in fields])
+    key = F.md5(F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"}))
+    return df.select(key.alias(id_col), *fields)

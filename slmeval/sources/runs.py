@@ -28,10 +28,13 @@ _CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '
 
 
 def normalise_time_column(df: DataFrame) -> DataFrame:
-    """Use ``inference_time``; a table that has only ``latency`` gets it renamed."""
-    if "inference_time" not in df.columns and OLD_TIME_COLUMN in df.columns:
+    """Use ``inference_time``; the older ``latency`` stands in where a table, or a row of tables
+    that were united by name, has no other time."""
+    if OLD_TIME_COLUMN not in df.columns:
+        return df
+    if "inference_time" not in df.columns:
         return df.withColumnRenamed(OLD_TIME_COLUMN, "inference_time")
-    return df
+    return df.withColumn("inference_time", F.coalesce("inference_time", OLD_TIME_COLUMN)).drop(OLD_TIME_COLUMN)
 
 
 def typed_runs(df: DataFrame) -> DataFrame:
@@ -46,13 +49,41 @@ def typed_runs(df: DataFrame) -> DataFrame:
     return out.select(*cols)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One run-result CSV (or folder of them). The header decides ``inference_time`` vs ``latency``."""
-    raw = spark.read.options(**_CSV_OPTIONS).csv(path)
-    return typed_runs(raw)
+def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Header line -> files. The first line of a file is in its first block, which one task reads in
+    order, so ``first`` is that line. Holds one entry per file, as Spark's own file index does."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    heads = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("head"))
+    found: dict[str, list[str]] = {}
+    for r in heads.collect():
+        found.setdefault(r.head, []).append(r.file_path)
+    return found
+
+
+def _read_by_name(spark: SparkSession, path: str, multi_line: bool, base: str | None = None) -> DataFrame:
+    """All CSV files below ``path`` united by column name: files are read together with those of the
+    same header only, as Spark takes one file's header for all and reads the others by position."""
+    reader = spark.read.options(**_CSV_OPTIONS | {"multiLine": str(multi_line).lower()})
+    if base is not None:
+        reader = reader.option("basePath", base)
+    groups = _files_by_header(spark, path)
+    if len(groups) <= 1:
+        return reader.csv(path)
+    out = None
+    for _, files in sorted(groups.items()):
+        df = reader.csv(sorted(files))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def read_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One run-result CSV (or folder of them), columns by name. ``multi_line=False`` splits large
+    files among tasks; answers must then not contain line breaks."""
+    return typed_runs(_read_by_name(spark, path, multi_line))
 
 
-def read_labelled_runs(spark: SparkSession, paths: Mapping[str, str] | str, label_col: str = "label") -> DataFrame:
+def read_labelled_runs(spark: SparkSession, paths: Mapping[str, str] | str, label_col: str = "label",
+                       multi_line: bool = True) -> DataFrame:
     """Many run tables as one long table with a ``label`` column.
 
     ``paths`` is either ``{label: path}`` (each read, tagged and unioned by name, missing
@@ -60,11 +91,10 @@ def read_labelled_runs(spark: SparkSession, paths: Mapping[str, str] | str, labe
     filter then prunes folders).
     """
     if isinstance(paths, str):
-        raw = spark.read.options(**_CSV_OPTIONS).option("basePath", paths).csv(paths)
-        return typed_runs(raw)
+        return typed_runs(_read_by_name(spark, paths, multi_line, base=paths))
     out = None
     for label, path in paths.items():
-        df = read_runs(spark, path).withColumn(label_col, F.lit(label))
+        df = read_runs(spark, path, multi_line).withColumn(label_col, F.lit(label))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 

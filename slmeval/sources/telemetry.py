@@ -22,7 +22,7 @@ def parse_counter_lines(lines: DataFrame, value_col: str = "value", ts_type: str
     return rows.select(
         F.col("_p").getItem(1).alias("device_id"),
         F.col("_p").getItem(0).cast(ts_type).alias("ts"),
-        F.transform(F.slice("_p", 4, 1 << 20), lambda x: x.cast("long")).alias("counters"),
+        F.transform(F.slice("_p", F.lit(4), F.greatest(F.size("_p") - 3, F.lit(0))), lambda x: x.cast("long")).alias("counters"),
     )
 
 

@@ -2,8 +2,8 @@ import csv
 import json
 import math
 
+import pytest
 
-from slmeval.operators import frames as opf
 from slmeval.sources import frames as sfr
 from slmeval.sources import items as si
 from slmeval.sources import runs as sr
@@ -15,10 +15,34 @@ def test_read_items_json_array(spark, tmp_path):
              {"scenario": "Fog", "question": "Lights?"}]
     p = tmp_path / "items.json"
     p.write_text(json.dumps(items, indent=1))
-    rows = si.read_items(spark, str(p)).orderBy("item_id").collect()
-    assert [r.scenario for r in rows] == ["Rain, heavy", "Fog"]
-    assert rows[0].answer == "007" and rows[1].answer is None  # text stays text
-    assert rows[0].item_id < rows[1].item_id
+    rows = {r.scenario: r for r in si.read_items(spark, str(p)).collect()}
+    assert rows["Rain, heavy"].answer == "007" and rows["Fog"].answer is None  # text stays text
+    (tmp_path / "lines").write_text("\n".join(json.dumps(x) for x in reversed(items)))
+    again = si.read_items(spark, str(tmp_path / "lines"), multi_line=False).collect()
+    assert {r.scenario: r.item_id for r in again} == {k: r.item_id for k, r in rows.items()}  # whatever the layout
+
+
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_required_means_the_key(spark, tmp_path, multi_line):
+    def read(items):
+        p = tmp_path / f"{len(list(tmp_path.iterdir()))}.json"
+        p.write_text(json.dumps(items) if multi_line else "\n".join(map(json.dumps, items)))
+        return si.read_items(spark, str(p), required=("scenario", "question"), multi_line=multi_line)
+
+    ok = read([{"scenario": "s", "question": None, "answer": "a"}, {"scenario": "t", "question": "q", "more": 1}])
+    assert sorted((r.scenario, r.question, r.answer) for r in ok.collect()) == [("s", None, "a"), ("t", "q", None)]
+    with pytest.raises(Exception, match="question"):
+        read([{"scenario": "s"}]).select("scenario").collect()
+
+
+def test_files_with_different_headers_are_read_by_name(spark, tmp_path):
+    for label, head, row in (("A", "answer,ram_before,ram_after,cpu_usage,inference_time", "x,1,2,3,4"),
+                             ("B", "answer,latency,cpu_usage,ram_after,ram_before", "y,4,3,2,1")):
+        (tmp_path / f"label={label}").mkdir()
+        (tmp_path / f"label={label}" / "r.csv").write_text(f"{head}\n{row}\n")
+    rows = sr.read_labelled_runs(spark, str(tmp_path)).collect()
+    assert sorted((r.label, r.answer, r.ram_before, r.ram_after, r.cpu_usage, r.inference_time) for r in rows) == [
+        ("A", "x", 1.0, 2.0, 3.0, 4.0), ("B", "y", 1.0, 2.0, 3.0, 4.0)]
 
 
 def test_csv_written_by_python_reads_back(spark, tmp_path):
@@ -61,10 +85,6 @@ def test_parse_recorded_readings(spark):
 def test_frames_from_files(spark, tmp_path):
     for i, payload in enumerate([b"\x00" * 5000, bytes(range(256)) * 20, b""]):
         (tmp_path / f"f{i}.bin").write_bytes(payload)
-    frames = sfr.read_frames(spark, str(tmp_path), glob="*.bin")
-    det = opf.score_frames(frames, opf.ByteTileDetector(4096)).collect()
-    by_path = {}
-    for d in det:
-        by_path.setdefault(d.path.rsplit("/", 1)[-1], []).append(d)
-    assert len(by_path["f0.bin"]) == 2 and all(d.det_label == "dark" for d in by_path["f0.bin"])
-    assert len(by_path["f1.bin"]) == 2 and "f2.bin" not in by_path
+    # Spark gives no row for an empty file
+    frames = sfr.read_frames(spark, str(tmp_path), glob="*.bin").collect()
+    assert sorted(f.length for f in frames) == [5000, 5120] and all(len(f.content) == f.length for f in frames)
