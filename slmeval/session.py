@@ -2,8 +2,9 @@
 
 Library functions never create a session; they take DataFrames. Operators that must cut
 lineage (two passes over the same range-partitioned data) use ``checkpoint()`` in the folder
-the cluster names in ``spark.checkpoint.dir``; only when that is unset (local tests) is a
-fresh scratch folder set.
+the cluster names in ``spark.checkpoint.dir``; only a local master gets a scratch folder when that
+is unset. Set ``spark.cleaner.referenceTracking.cleanCheckpoints`` so that checkpoints go with the
+DataFrames that use them.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.driver.memory", os.environ.get("SLMEVAL_DRIVER_MEMORY", "8g"))
         .config(
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -72,7 +74,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder; set one only when the session names none (tests)."""
+    """The checkpoint folder that the session names. Where it names none, a local master gets a scratch
+    folder of its own; on a cluster that is an error, as executors share no local folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -80,8 +83,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
         sc.setCheckpointDir(configured)
-    else:
+    elif sc.master.split("[")[0] == "local":
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="slmeval-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    else:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return sc.getCheckpointDir()
 
 

@@ -3,11 +3,16 @@
 ``lag`` is not available on streams, so each device keeps its last snapshot as streaming state
 (``applyInPandasWithState`` by default, or a ``ValueState`` of ``transformWithStateInPandas``),
 fault-tolerant through the checkpoint.
-Rules: rows of a micro-batch are taken in ``(ts, tie)`` order; a row not newer than the
-stored snapshot is late: it is dropped and counted in the state; the first snapshot of a
-device yields NULL deltas; a counter going backwards (reboot) yields NULL and the stored
-snapshot is replaced. With the rows in time order the result equals the batch
-``counter_delta``.
+Rules: rows of a micro-batch are taken in ``(ts, tie)`` order, equal ones in arrival order, each
+against the row before it, as in the batch form. Every row comes out: a row older than the stored
+snapshot has ``late`` true and NULL deltas and leaves the state as it is; a row without a time has
+``late`` NULL. NULL counters give NULL deltas for their row and the next. The first snapshot of a
+device yields NULL deltas; a counter going backwards (reboot) yields NULL and the stored snapshot is
+replaced. With the rows in time order the result equals the batch ``counter_delta``.
+
+A device's rows of one micro-batch are held by one task; the source's trigger limits
+(``maxFilesPerTrigger``, ``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``) bound them. State is one row
+per device.
 """
 
 from __future__ import annotations
@@ -34,57 +39,42 @@ from pyspark import cloudpickle as _cloudpickle  # noqa: E402
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 
-def _advance(pdf: pd.DataFrame, prev, late: int, ts_col: str, tie_col: str | None, out_cols: list[str]):
+def _advance(pdf: pd.DataFrame, prev, ts_col: str, tie_col: str | None, out_cols: list[str]):
     """Apply the stream rules to one device's rows of a micro-batch, vectorised.
 
-    ``prev`` is ``(ts_micros, tie, idle, total)`` of the stored snapshot or None. Rows are taken
-    in ``(ts, tie)`` order; a row whose key is not newer than the stored snapshot, or equal to
-    the row before it, is late (dropped, counted). Each kept row is differenced against the kept
-    row before it (the first against the stored snapshot). Returns the output rows (a pandas
-    frame), the new stored snapshot and the late-row count.
+    ``prev`` is ``(ts_micros, tie, idle, total)`` of the stored snapshot or None; idle and total may be
+    None. Returns the output rows (a pandas frame, as many as came in) and the new stored snapshot.
     """
     order = [ts_col] + ([tie_col] if tie_col else [])
-    pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-    ts_us = pd.to_datetime(pdf[ts_col]).to_numpy(dtype="datetime64[us]").astype(np.int64)
-    tie = pdf[tie_col].to_numpy(dtype=np.int64) if tie_col else np.zeros(len(pdf), dtype=np.int64)
-    idle = pdf["snap_idle"].to_numpy(dtype=np.int64)
-    total = pdf["snap_total"].to_numpy(dtype=np.int64)
-    newer = np.ones(len(pdf), dtype=bool)
+    pdf = pdf.sort_values(order, kind="stable", na_position="first").reset_index(drop=True)
+    ts = pd.to_datetime(pdf[ts_col])
+    timed = ts.notna().to_numpy()
+    ts_us = np.where(timed, ts.to_numpy(dtype="datetime64[us]").astype(np.int64), 0)
+    tie = pdf[tie_col].fillna(0).to_numpy(dtype=np.int64) if tie_col else np.zeros(len(pdf), dtype=np.int64)
+    late = np.zeros(len(pdf), dtype=bool)
     if prev is not None:
-        newer = (ts_us > prev[0]) | ((ts_us == prev[0]) & (tie > prev[1]))
-    if len(pdf) > 1:  # equal keys: only the first counts
-        dup = (ts_us[1:] == ts_us[:-1]) & (tie[1:] == tie[:-1])
-        newer[1:] &= ~dup
-    late += int((~newer).sum())
-    kept = pdf[newer].reset_index(drop=True)
-    k_ts, k_tie, k_idle, k_total = ts_us[newer], tie[newer], idle[newer], total[newer]
-    out = kept[out_cols].copy()
-    n = len(kept)
-    if n == 0:
-        return out.assign(d_total=pd.Series(dtype="Int64"), d_idle=pd.Series(dtype="Int64"),
-                          cpu_pct=pd.Series(dtype="Int64")), prev, late
-    p_idle = np.empty(n, dtype=np.int64)
-    p_total = np.empty(n, dtype=np.int64)
-    p_idle[1:], p_total[1:] = k_idle[:-1], k_total[:-1]
-    has_prev = np.ones(n, dtype=bool)
-    if prev is None:
-        has_prev[0] = False
-        p_idle[0] = p_total[0] = 0
-    else:
-        p_idle[0], p_total[0] = prev[2], prev[3]
-    dt = k_total - p_total
-    di = k_idle - p_idle
-    valid = has_prev & (dt >= 0) & (di >= 0)  # a counter going backwards (reboot) gives NULL
-    busy = 100 * (dt - di)
-    safe = np.where(dt > 0, dt, 1)
-    q = np.abs(busy) // safe * np.sign(busy)  # truncate toward zero, as bash
-    out["d_total"] = pd.array(np.where(valid, dt, 0), dtype="Int64")
-    out["d_idle"] = pd.array(np.where(valid, di, 0), dtype="Int64")
-    out["cpu_pct"] = pd.array(q, dtype="Int64")
-    out.loc[~valid, ["d_total", "d_idle"]] = pd.NA
-    out.loc[~(valid & (dt > 0)), "cpu_pct"] = pd.NA
-    new_prev = (int(k_ts[-1]), int(k_tie[-1]), int(k_idle[-1]), int(k_total[-1]))
-    return out, new_prev, late
+        late = timed & ((ts_us < prev[0]) | ((ts_us == prev[0]) & (tie < prev[1])))
+    used = np.flatnonzero(timed & ~late)
+    idle, total = pdf["snap_idle"].astype("Int64")[used], pdf["snap_total"].astype("Int64")[used]
+    before_idle, before_total = idle.shift(1), total.shift(1)
+    if len(used) and prev is not None:
+        before_idle.iloc[0] = pd.NA if prev[2] is None else prev[2]
+        before_total.iloc[0] = pd.NA if prev[3] is None else prev[3]
+    dt, di = total - before_total, idle - before_idle
+    valid = ((dt >= 0) & (di >= 0)).fillna(False)  # a counter going backwards (reboot) gives NULL
+    dt, di = dt.where(valid), di.where(valid)
+    out = pdf[out_cols].copy()
+    out["d_total"], out["d_idle"] = dt.reindex(out.index), di.reindex(out.index)
+    # dt >= 0 and di >= 0, but di may exceed dt: truncate toward zero, as bash
+    busy = (100 * (dt - di)).where(dt > 0)
+    share = (busy.abs() // dt.where(dt > 0)) * np.sign(busy.fillna(0).to_numpy(dtype=np.int64))
+    out["cpu_pct"] = share.astype("Int64").reindex(out.index)
+    out["late"] = pd.array(late, dtype="boolean")
+    out.loc[~timed, "late"] = pd.NA
+    if len(used):
+        last = lambda s: None if pd.isna(s.iloc[-1]) else int(s.iloc[-1])
+        prev = (int(ts_us[used[-1]]), int(tie[used[-1]]), last(idle), last(total))
+    return out, prev
 
 
 STATE_SCHEMA = T.StructType([
@@ -92,19 +82,15 @@ STATE_SCHEMA = T.StructType([
     T.StructField("tie", T.LongType()),
     T.StructField("idle", T.LongType()),
     T.StructField("total", T.LongType()),
-    T.StructField("late", T.LongType()),
 ])
 
 
 def _group_state_update(ts_col: str, tie_col: str | None, out_cols: list[str]):
     def update(key, pdfs, state):
         pdf = pd.concat(list(pdfs), ignore_index=True)
-        stored = state.get if state.exists else None
-        prev = None if stored is None else tuple(int(x) for x in stored[:4])
-        late = 0 if stored is None else int(stored[4] or 0)
-        out, prev, late = _advance(pdf, prev, late, ts_col, tie_col, out_cols)
+        out, prev = _advance(pdf, tuple(state.get) if state.exists else None, ts_col, tie_col, out_cols)
         if prev is not None:
-            state.update((*prev, late))
+            state.update(prev)
         yield out
 
     return update
@@ -119,12 +105,10 @@ class CounterDeltaProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True)
-        state = self.prev.get() if self.prev.exists() else None
-        prev = None if state is None else tuple(int(x) for x in state[:4])
-        late = 0 if state is None else int(state[4] or 0)
-        out, prev, late = _advance(pdf, prev, late, self.ts_col, self.tie_col, self.out_cols)
+        stored = tuple(self.prev.get()) if self.prev.exists() else None
+        out, prev = _advance(pdf, stored, self.ts_col, self.tie_col, self.out_cols)
         if prev is not None:
-            self.prev.update((*prev, late))
+            self.prev.update(prev)
         if len(out):
             yield out
 
@@ -135,11 +119,11 @@ class CounterDeltaProcessor(StatefulProcessor):
 def cpu_usage_stream(snapshots: DataFrame, device_col: str = "device_id", ts_col: str = "ts",
                      counters_col: str = "counters", tie_col: str | None = None,
                      keep_cols: Sequence[str] = (), api: str = "applyInPandasWithState") -> DataFrame:
-    """Streaming ``(device, ts, [tie], keep..., d_total, d_idle, cpu_pct)``; output mode append.
+    """Streaming ``(device, ts, [tie], keep..., d_total, d_idle, cpu_pct, late)``; output mode append.
 
     ``api='applyInPandasWithState'`` (default, ``GroupState``) or ``'transformWithState'``
-    (``transformWithStateInPandas`` with a ``ValueState``; needs the RocksDB state store, which
-    is then set on the session). Both apply the same rules.
+    (``transformWithStateInPandas`` with a ``ValueState``; the session must use the RocksDB state
+    store). Both apply the same rules.
     """
     spark = snapshots.sparkSession
     idle, total = snapshot_totals(counters_col)
@@ -148,10 +132,12 @@ def cpu_usage_stream(snapshots: DataFrame, device_col: str = "device_id", ts_col
     by_name = {f.name: f for f in src.schema.fields}
     schema = T.StructType([by_name[c] for c in out_cols] + [
         T.StructField("d_total", T.LongType()), T.StructField("d_idle", T.LongType()), T.StructField("cpu_pct", T.LongType()),
+        T.StructField("late", T.BooleanType()),
     ])
     grouped = src.groupBy(device_col)
     if api == "transformWithState":
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+        if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB:
+            raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {ROCKSDB} on the session")
         return grouped.transformWithStateInPandas(
             statefulProcessor=CounterDeltaProcessor(device_col, ts_col, tie_col, out_cols),
             outputStructType=schema, outputMode="Append", timeMode="None",

@@ -1,35 +1,69 @@
 """The latest reading per device, kept current as readings stream in.
 
-A streaming aggregate (``max_by`` per device) in update mode; ``write_latest`` writes each
-micro-batch's changed devices with ``foreachBatch`` as a replaced table (file sinks take only
-append output), which is the on-screen "rewrite the three lines" of the reference.
+A streaming aggregate (``max_by`` per device) in update mode; ``write_latest`` merges each
+micro-batch's changed devices with ``foreachBatch`` (file sinks take only append output), which
+is the on-screen "rewrite the three lines" of the reference.
+
+The table is a folder of versions, one per micro-batch. A version is complete when Spark has
+committed it (its ``_SUCCESS`` file); readers take the newest complete one. A crash in mid-write
+leaves the version before it untouched, and the replayed micro-batch writes its version anew.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.telemetry import latest_reading
 
 
 def latest_reading_stream(readings: DataFrame, device_col: str, ts_col: str, value_cols: Sequence[str]) -> DataFrame:
+    """Newest reading of each device so far (update mode)."""
     return latest_reading(readings, device_col, ts_col, value_cols)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, table_path: str) -> list[int]:
+    """Complete versions, ascending; any error but a missing table folder is raised."""
+    path, fs = _folder(spark, table_path)
+    if not fs.exists(path):
+        return []
+    found = []
+    for status in fs.listStatus(path):
+        m = re.fullmatch(r"v(\d+)", status.getPath().getName())
+        if m and fs.exists(_folder(spark, f"{status.getPath().toString()}/_SUCCESS")[0]):
+            found.append(int(m[1]))
+    return sorted(found)
+
+
+def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
+    """The newest complete version of the table."""
+    versions = _versions(spark, table_path)
+    if not versions:
+        raise FileNotFoundError(f"no complete version below {table_path}")
+    return spark.read.parquet(f"{table_path}/v{versions[-1]}")
+
+
 def write_latest(latest: DataFrame, table_path: str, checkpoint: str, device_col: str, ts_col: str):
-    """Start a query that keeps ``table_path`` equal to the newest reading of each device."""
+    """A writer that keeps ``table_path`` equal to the newest reading of each device."""
+    values = [c for c in latest.columns if c not in (device_col, ts_col)]
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            current = spark.read.parquet(table_path)
-            keep = current.join(batch.select(device_col), device_col, "left_anti")
-            merged = keep.unionByName(batch)
-        except Exception:  # noqa: BLE001  first batch: no table yet
-            merged = batch
-        merged = merged.checkpoint(eager=True)  # the table is read and replaced: cut the lineage
-        merged.write.mode("overwrite").parquet(table_path)
+        versions = [v for v in _versions(spark, table_path) if v < epoch_id]
+        rows = batch.select(device_col, ts_col, *values)
+        if versions:
+            rows = spark.read.parquet(f"{table_path}/v{versions[-1]}").unionByName(rows)
+        # also where a replayed batch brings a reading that the table has already
+        latest_reading(rows, device_col, ts_col, values).write.mode("overwrite").parquet(f"{table_path}/v{epoch_id}")
+        for v in versions[:-1]:  # the version before stays for its readers
+            path, fs = _folder(spark, f"{table_path}/v{v}")
+            fs.delete(path, True)
 
     return latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)

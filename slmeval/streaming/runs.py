@@ -1,26 +1,16 @@
-"""Incremental inference results and loss logs as streams.
+"""Run results and loss logs as streams.
 
-``stream_runs`` is the reference's write-each-row-as-it-is-done: items arrive on a stream, are
-generated with the batch operator (``mapInPandas`` works on streams) and appended to a CSV
-sink with a checkpoint, so a restarted job neither loses nor repeats rows.
+Run rows are appended to a CSV sink as they arrive, with a checkpoint, so a restarted job neither
+loses nor repeats rows (the reference writes each row as it is done).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import DataFrame
 
-from ..operators.infer import MAX_NEW_TOKENS, batch_generate
 from ..operators.logs import loss_records
 
 
-def stream_runs(prompt_ids: DataFrame, ids_col: str, predictor_factory: Callable, keep_cols: Sequence[str] = (),
-                max_new_tokens: int = MAX_NEW_TOKENS, eos_id: int | None = None) -> DataFrame:
-    """Streaming generation (append): one output row per input row."""
-    return batch_generate(prompt_ids, ids_col, predictor_factory, keep_cols, None, max_new_tokens, eos_id)
-
-
 def write_runs_stream(runs: DataFrame, path: str, checkpoint: str):
     """An append CSV sink with a header per file and Python ``csv`` quoting."""
     return (runs.writeStream.format("csv").outputMode("append").option("header", "true").option("escape", '"')

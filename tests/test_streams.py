@@ -1,19 +1,15 @@
 import datetime as dt
-import sys
 
-from pyspark import cloudpickle
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from slmeval.operators import frames as opf
-from slmeval.operators import infer as inf
 from slmeval.operators import logs as lg
-from slmeval.sources import frames as sfr
 from slmeval.sources import runs as sr
+from slmeval.streaming import cpu as scpu
 from slmeval.streaming import latest as sl
 from slmeval.streaming import runs as srun
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 T0 = dt.datetime(2024, 1, 1)
 
 
@@ -32,41 +28,57 @@ def test_latest_reading_table_is_kept_current(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(src)
         latest = sl.latest_reading_stream(stream, "device_id", "ts", ["cpu"])
         _drain(sl.write_latest(latest, table, ck, "device_id", "ts").trigger(availableNow=True).start())
-    got = {r.device_id: r.cpu for r in spark.read.parquet(table).collect()}
+    got = {r.device_id: r.cpu for r in sl.read_latest(spark, table).collect()}
     assert got == {"a": 3.0, "b": 4.0, "c": 5.0}
 
 
-def test_stream_runs_to_csv_equals_batch(spark, tmp_path):
-    schema = "k int, ids array<int>"
+def test_a_crash_while_writing_loses_no_device(spark, tmp_path):
+    schema = "device_id string, ts timestamp, cpu double"
+    src, table, ck = str(tmp_path / "in"), str(tmp_path / "latest"), str(tmp_path / "ck")
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        latest = sl.latest_reading_stream(spark.readStream.schema(schema).parquet(src), "device_id", "ts", ["cpu"])
+        _drain(sl.write_latest(latest, table, ck, "device_id", "ts").trigger(availableNow=True).start())
+        return {r.device_id: r.cpu for r in sl.read_latest(spark, table).collect()}
+
+    step([("a", T0, 1.0), ("b", T0, 2.0), (None, T0, 9.0)])
+    (tmp_path / "latest" / "v7").mkdir()  # a version that was never committed
+    later = T0 + dt.timedelta(seconds=5)
+    assert step([("a", later, 3.0), (None, later, 8.0)]) == {"a": 3.0, "b": 2.0, None: 8.0}
+    with pytest.raises(FileNotFoundError):
+        sl.read_latest(spark, str(tmp_path / "nothing"))
+
+
+def test_runs_to_csv_once_each(spark, tmp_path):
+    schema = "answer string, ram_before double, ram_after double, cpu_usage double, inference_time double"
     src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
-    rows = [(i, [i + 3, 5]) for i in range(12)]
-    f = inf.HashPredictorFactory(40, {}, 0, 6)
+    rows = [(f'say "{i}", then', 1.0 * i, 2.0, 3.0, 4.0) for i in range(12)]
     for part in (rows[:5], rows[5:]):
         spark.createDataFrame(part, schema).write.mode("append").parquet(src)
         stream = spark.readStream.schema(schema).parquet(src)
-        gen = srun.stream_runs(stream, "ids", f, ["k"], eos_id=0)
-        out_df = gen.select("k", F.array_join(F.col("new_ids").cast("array<string>"), " ").alias("answer"),
-                            "ram_before", "ram_after", "cpu_usage", "inference_time")
-        _drain(srun.write_runs_stream(out_df, out, ck).trigger(availableNow=True).start())
-    back = sr.read_runs(spark, out).collect()
-    assert len(back) == 12  # every row once across the two runs
-    batch = {r.k: " ".join(map(str, r.new_ids)) for r in inf.batch_generate(
-        spark.createDataFrame(rows, schema), "ids", f, ["k"], eos_id=0).collect()}
-    assert {int(r.k): (r.answer or "") for r in back} == batch
-
-
-def test_frames_and_logs_on_streams(spark, tmp_path):
-    fdir = tmp_path / "frames"
-    fdir.mkdir()
-    (fdir / "a.bin").write_bytes(b"\xff" * 9000)
-    frames = sfr.read_frames(spark, str(fdir), stream=True)
-    q = (opf.score_frames(frames, opf.ByteTileDetector(4096)).writeStream.format("parquet")
-         .option("path", str(tmp_path / "det")).option("checkpointLocation", str(tmp_path / "ck1"))
-         .trigger(availableNow=True).start())
-    _drain(q)
-    det = spark.read.parquet(str(tmp_path / "det")).collect()
-    assert len(det) == 3 and {d.det_label for d in det} == {"bright"}
+        _drain(srun.write_runs_stream(stream, out, ck).trigger(availableNow=True).start())
+    assert sorted(tuple(r) for r in sr.read_runs(spark, out).collect()) == sorted(rows)  # every row once
+
+
+def _step(rows, prev=None, tie=None):
+    pdf = pd.DataFrame(rows, columns=["d", "ts", "tie", "snap_idle", "snap_total"])
+    out, prev = scpu._advance(pdf, prev, "ts", tie, ["d", "ts", "tie"])
+    take = lambda c: [None if pd.isna(x) else int(x) for x in out[c]]
+    return list(zip(take("tie"), take("d_total"), take("d_idle"), take("cpu_pct"), take("late"))), prev
+
+
+def test_stream_rules():
+    t = [T0 + dt.timedelta(seconds=i) for i in range(6)]
+    rows, prev = _step([("d", t[1], 1, 10, 100), ("d", t[2], 2, None, None), ("d", t[3], 3, 30, 300), ("d", None, 4, 1, 1)])
+    assert rows == [(4, None, None, None, None), (1, None, None, None, 0), (2, None, None, None, 0), (3, None, None, None, 0)]
+    rows, prev = _step([("d", t[4], 6, 40, 400), ("d", t[2], 5, 11, 111), ("d", t[3], 9, 35, 310)], prev)
+    assert rows == [(5, None, None, None, 1), (9, 10, 5, 50, 0), (6, 90, 5, 94, 0)]
+    rows, prev = _step([("d", t[5], 7, 1, 5), ("d", t[5], 8, 2, 9)], prev)  # a reboot, then a tie
+    assert rows == [(7, None, None, None, 0), (8, 4, 1, 75, 0)]
+
 
+def test_logs_on_streams(spark, tmp_path):
     logs = spark.createDataFrame([(1, 1, {"loss": 2.0}), (1, 2, None), (1, 3, {"eval_loss": 1.0, "loss": 0.5})],
                                  "run_id int, seq int, logs map<string,double>")
     logs.write.parquet(str(tmp_path / "logs"))

@@ -67,7 +67,7 @@ def test_latest_reading(spark):
 
 
 @pytest.mark.parametrize("api", ["applyInPandasWithState", "transformWithState"])
-def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path, api):
+def test_stream_equals_batch_and_flags_late_rows(spark, tmp_path, api):
     from slmeval.streaming.cpu import cpu_usage_stream
 
     schema = "device_id string, ts timestamp, counters array<bigint>, eid long"
@@ -79,10 +79,12 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path, api):
         q = (cpu_usage_stream(stream, tie_col="eid", api=api).writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", ck).trigger(availableNow=True).start())
         q.awaitTermination()
-    got = {r.eid: (r.d_total, r.d_idle, r.cpu_pct) for r in spark.read.parquet(out).collect()}
+    rows = spark.read.parquet(out).collect()
+    assert [(r.eid, r.d_total, r.d_idle, r.cpu_pct) for r in rows if r.late] == [(99, None, None, None)]
+    got = {r.eid: (r.d_total, r.d_idle, r.cpu_pct) for r in rows if not r.late}
     ref = {r.eid: (r.d_total, r.d_idle, r.cpu_pct)
            for r in tm.counter_delta(spark.createDataFrame(ROWS, schema), tie_cols=["eid"]).collect()}
-    assert got == ref  # the late row (eid 99) produced nothing
+    assert got == ref
 
 
 def test_counter_delta_within_one_reading(spark):
@@ -94,21 +96,3 @@ def test_counter_delta_within_one_reading(spark):
         "device_id string, ts timestamp, counters array<bigint>, reading long, eid long")
     out = {r.eid: r.cpu_pct for r in tm.counter_delta(df, pair_col="reading", tie_cols=["eid"]).collect()}
     assert out == {1: None, 2: _bash_cpu(150, 50, 280, 80), 3: None, 4: _bash_cpu(390, 90, 480, 120)}
-
-
-def test_stream_update_rule_duplicates_late_and_reset():
-    import pandas as pd
-
-    from slmeval.streaming.cpu import _advance
-
-    ts = pd.to_datetime(["2024-01-01 00:00:01", "2024-01-01 00:00:02", "2024-01-01 00:00:02",
-                         "2024-01-01 00:00:00", "2024-01-01 00:00:03"])
-    pdf = pd.DataFrame({"device_id": ["a"] * 5, "ts": ts, "eid": [1, 2, 2, 0, 3],
-                        "snap_idle": [60, 70, 70, 1, 5], "snap_total": [150, 200, 200, 1, 10]})
-    prev = (int(pd.Timestamp("2024-01-01 00:00:00").value // 1000), 0, 50, 100)
-    out, new_prev, late = _advance(pdf, prev, 0, "ts", "eid", ["device_id", "ts", "eid"])
-    assert late == 2  # the row equal to the stored snapshot and the duplicate of eid 2
-    assert list(out["eid"]) == [1, 2, 3]
-    assert list(out["d_total"].astype(object)) == [50, 50, pd.NA]  # eid 3: counters went backwards
-    assert list(out["cpu_pct"].astype(object)) == [80, 80, pd.NA]
-    assert new_prev[2:] == (5, 10)  # the reset snapshot replaces the stored one
