@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .._util import col
@@ -51,3 +52,20 @@ def format_scoreboard_line(label, values: list, digits: list[int], width: int =
     for v, d in zip(values, digits):
         parts.append(pad_right(fixed(v, d), width))
     return F.concat_ws(" ", *parts)
+
+
+# Title and column titles of the two printed tables.
+SCOREBOARD = (
+    ("===> Averages (lower is better)", ("Model", "Avg Time (s)", "Avg RAM (MB)", "Avg CPU (%)")),
+    ("===> Scores (higher is better, min gets 100)", ("Model", "Time Score", "RAM Score", "CPU Score")),
+)
+
+
+def scoreboard_report(lines: DataFrame, table: int, label_col: str, line_col: str, width: int = 15) -> DataFrame:
+    """``(line_no, line)`` of one printed table: title, padded column titles, then a line per label in
+    label order. A scoreboard has one row per label, so numbering them is a small sort."""
+    title, header = SCOREBOARD[table]
+    top = lines.sparkSession.range(1).select(F.posexplode(F.array(
+        F.lit(title), F.concat_ws(" ", *[pad_right(F.lit(h), width) for h in header]))).alias("line_no", "line"))
+    number = F.row_number().over(Window.orderBy(label_col)) + 1
+    return top.unionByName(lines.select(number.cast("int").alias("line_no"), F.col(line_col).alias("line")))

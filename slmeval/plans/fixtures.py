@@ -8,8 +8,8 @@ table over the whole input table.
 * runs     <- ``lineitem``: label = l_returnflag, inference_time = l_quantity,
               ram_after = l_extendedprice, cpu_usage = l_tax, ram_before = l_discount * 1000
 * items    <- ``conversations``: scenario = role, question = text
-* training <- ``conversations``: a user turn followed by an assistant turn at ``turn + 1``;
-              answer = that assistant text
+* training <- ``conversations``: every user turn; answer = the text of the assistant turn at
+              ``turn + 1`` (NULL without one)
 * answers  <- ``documents.text`` (generated text to clean, split and encode)
 * counters <- ``events``: per user (device) running sums of value cents; idle = 'view' cents
 * memory   <- ``events``: total 8191 MB, available = floor(value * 10) MB
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered_scan
+from ..session import reliable_checkpoint
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -40,23 +41,13 @@ RUN_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _TABLES: dict = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """The parquet table (one file listing and footer read per session and path).
-
-    ``spread=True`` is for tables whose rows are expensive to process (whole texts through a
-    tokenizer or a model): when the scan has fewer splits than the cluster runs tasks at once
-    (a file with one row group is one split), the rows are spread round-robin over that many
-    tasks. A large table already has many splits and is left as it is.
-    """
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The parquet table (one file listing and footer read per session and path)."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path)
     df = _TABLES.get(key)
     if df is None or df.sparkSession is not spark:
         df = _TABLES[key] = spark.read.parquet(path)
-    if spread:
-        n = spark.sparkContext.defaultParallelism  # the cores of the cluster
-        if df.rdd.getNumPartitions() < n:  # a plain scan: planning only, no job
-            return df.repartition(n)
     return df
 
 
@@ -74,12 +65,12 @@ def runs_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_from_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations", spread=True)
+    c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.col("role").alias("scenario"), F.col("text").alias("question"))
 
 
 def training_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns followed by an assistant turn at ``turn + 1``; the answer is that next text.
+    """User turns; the answer is the text of an assistant turn at ``turn + 1``, NULL without one.
 
     An equi-join on ``(conv_id, turn)`` hashes on both keys, so one long conversation is still
     spread over many tasks (a ``lead`` window would put it into one).
@@ -89,7 +80,7 @@ def training_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                    F.col("text").alias("question"))
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return q.join(a, ["conv_id", "turn"], "inner")
+    return q.join(a, ["conv_id", "turn"], "left")
 
 
 def counters_from_events(spark: SparkSession, sf_dir: str, num_partitions: int | None = None) -> DataFrame:
@@ -111,7 +102,8 @@ def counters_from_events(spark: SparkSession, sf_dir: str, num_partitions: int |
     busy = F.col("_busy_before") + F.col("_busy")
     idle = F.col("_idle_before") + F.col("_idle")
     zero = F.lit(0).cast("long")
-    return s.select("device_id", "ts", "event_id", F.array(busy, zero, zero, idle).alias("counters"))
+    snaps = s.select("device_id", "ts", "event_id", F.array(busy, zero, zero, idle).alias("counters"))
+    return reliable_checkpoint(snaps)  # a Python scan that the next scan would run twice
 
 
 def memory_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,9 +42,17 @@ FROM lineitem GROUP BY l_returnflag
 """
 
 
+# Sums of doubles depend on the order of addition: results are rounded here, never in the library.
+_AVERAGES = ("avg_time", "avg_ram_after", "avg_cpu")
+
+
+def _rounded(df, *columns, digits=6):
+    return df.withColumns({c: F.round(c, digits) for c in (columns or [c for c, t in df.dtypes if t == "double"])})
+
+
 @register("mean_by_label", _RUN_AVG_SQL)
 def q_mean_by_label(spark, sf_dir):
-    return stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir))
+    return _rounded(stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir)))
 
 
 @register(
@@ -58,13 +66,14 @@ FROM lineitem
 """,
 )
 def q_run_summary(spark, sf_dir):
-    return stats.run_summary(fx.runs_from_lineitem(spark, sf_dir))
+    return _rounded(stats.run_summary(fx.runs_from_lineitem(spark, sf_dir)))
 
 
-_SCORES_SQL = f"""
-WITH a AS ({_RUN_AVG_SQL}),
+_SCORES_SQL = """
+WITH a AS (SELECT l_returnflag AS label, avg(l_quantity) AS avg_time, avg(l_extendedprice) AS avg_ram_after, avg(l_tax) AS avg_cpu
+           FROM lineitem GROUP BY l_returnflag),
 m AS (SELECT min(avg_time) AS mt, min(avg_ram_after) AS mr, min(avg_cpu) AS mc FROM a)
-SELECT label, avg_time, avg_ram_after, avg_cpu,
+SELECT label, round(avg_time, 6) AS avg_time, round(avg_ram_after, 6) AS avg_ram_after, round(avg_cpu, 6) AS avg_cpu,
        CASE WHEN avg_time > 0 THEN round(mt / avg_time * 100.0, 6) ELSE 0.0 END AS score_time,
        CASE WHEN avg_ram_after > 0 THEN round(mr / avg_ram_after * 100.0, 6) ELSE 0.0 END AS score_ram,
        CASE WHEN avg_cpu > 0 THEN round(mc / avg_cpu * 100.0, 6) ELSE 0.0 END AS score_cpu
@@ -74,7 +83,7 @@ FROM a, m
 
 @register("relative_scores", _SCORES_SQL)
 def q_relative_scores(spark, sf_dir):
-    return stats.relative_scores(stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir)))
+    return _rounded(stats.relative_scores(stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir))))
 
 
 @register(
@@ -86,7 +95,7 @@ FROM ({_RUN_AVG_SQL})
 """,
 )
 def q_order_labels(spark, sf_dir):
-    return stats.order_labels(stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir)), fx.RUN_LABEL_ORDER)
+    return _rounded(stats.order_labels(stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir)), fx.RUN_LABEL_ORDER), *_AVERAGES)
 
 
 @register(
@@ -182,8 +191,8 @@ def q_build_prompt(spark, sf_dir):
     f"""
 SELECT q.conv_id, q.turn, {_SQL_PROMPT.replace('role', 'q.role').replace('text,', 'q.text,')} AS prompt,
        {_SQL_PROMPT.replace('role', 'q.role').replace('text,', 'q.text,')} || ' ' || coalesce(a.text, 'None') AS text
-FROM conversations q JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
-WHERE q.role = 'user' AND a.role = 'assistant'
+FROM conversations q LEFT JOIN conversations a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 AND a.role = 'assistant'
+WHERE q.role = 'user'
 """,
 )
 def q_build_training_text(spark, sf_dir):
@@ -194,7 +203,7 @@ def q_build_training_text(spark, sf_dir):
 
 @register("clean_answer", f"SELECT doc_id, {_sql_clean('text')} AS answer FROM documents")
 def q_clean_answer(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents", spread=True)
+    d = fx.table(spark, sf_dir, "documents")
     return d.select("doc_id", tx.clean_answer("text").alias("answer"))
 
 
@@ -258,8 +267,7 @@ def q_split_exact(spark, sf_dir):
 @register("remainder", _SQL_SPLIT + "SELECT doc_id, lang FROM r JOIN documents USING (doc_id) WHERE rn > round_even(0.8 * n, 0)")
 def q_remainder(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents").select("doc_id", "lang")
-    train, _ = sp.train_eval(d, "doc_id", 0.8, 42)
-    return sp.remainder(d, train, "doc_id")
+    return sp.train_eval(d, "doc_id", 0.8, 42)[1]  # the complement by flag: no anti join
 
 
 @register(
@@ -292,14 +300,13 @@ def q_make_batches(spark, sf_dir):
 from ..functions import arrays as ar  # noqa: E402
 from ..operators import tokens as tk  # noqa: E402
 
-VOCAB_SIZE = 4096
 _PAT = tk.WORD_PATTERN
 
 _SQL_VOCAB = f"""
 SELECT token, token_id FROM (
   SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INTEGER) AS token_id
   FROM (SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_PAT}')) AS token FROM documents) GROUP BY token)
-) WHERE token_id <= {VOCAB_SIZE + 1}
+)
 UNION ALL SELECT '{tk.WORD_EOS}', {tk.WORD_EOS_ID} UNION ALL SELECT '{tk.WORD_UNK}', {tk.WORD_UNK_ID}
 """
 
@@ -323,14 +330,14 @@ def _ids_text(c):
 
 
 def _encoded(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents", spread=True)
-    vocab = tk.build_vocabulary(d, "text", VOCAB_SIZE)
+    d = fx.table(spark, sf_dir, "documents")
+    vocab = tk.build_vocabulary(d, "text")
     return tk.encode_words(d, "doc_id", "text", vocab)
 
 
 @register("word_vocabulary", _SQL_VOCAB)
 def q_word_vocabulary(spark, sf_dir):
-    return tk.build_vocabulary(fx.table(spark, sf_dir, "documents", spread=True), "text", VOCAB_SIZE)
+    return tk.build_vocabulary(fx.table(spark, sf_dir, "documents"), "text")
 
 
 @register(
@@ -359,7 +366,7 @@ def q_causal_labels(spark, sf_dir):
     return e.select("doc_id", _ids_text(tk.causal_labels("input_ids", tk.WORD_EOS_ID)).alias("labels"))
 
 
-# generated = all word ids of a document; prompt = its first 8; EOS = id 2 (the most frequent word)
+# generated = all word ids of a document; prompt = its first 8; EOS = id 2 (the most frequent token)
 GEN_PROMPT_LEN, GEN_EOS, GEN_MAX_NEW = 8, 2, 50
 
 _SQL_FULL_IDS = f"""
@@ -384,8 +391,8 @@ FROM c
 """,
 )
 def q_truncate_at_eos(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents", spread=True)
-    vocab = tk.build_vocabulary(d, "text", VOCAB_SIZE)
+    d = fx.table(spark, sf_dir, "documents")
+    vocab = tk.build_vocabulary(d, "text")
     e = tk.lookup_words(d, ["doc_id"], "text", vocab)  # every token of the whole text
     new = ar.new_tokens("ids", GEN_PROMPT_LEN)
     cut = ar.truncate_at_eos(new, GEN_EOS, GEN_MAX_NEW)
@@ -535,89 +542,6 @@ def q_vector_stats(spark, sf_dir):
     return s.select("vec_id", "label", F.col("argmax").cast("int").alias("argmax"), F.round("mean", 6).alias("mean"))
 
 
-# --------------------------------------------------------------------------------------
-# 8. batch inference over the item table (prompts from conversations)
-
-from ..operators import infer as inf  # noqa: E402
-
-GEN_VOCAB_SIZE = 4096
-GEN_MODULUS = GEN_VOCAB_SIZE + 2  # the stand-in model's id space (EOS/pad 0, unknown 1, words)
-GEN_EOS_EVERY = 23
-# The three variants of the reference's benchmark and the stand-in seeds.
-VARIANT_SEEDS = {"baseline": 0, "onnx_fp32": 1, "onnx_int8": 2}
-
-
-def _prompt_ids(spark, sf_dir):
-    it = fx.items_from_conversations(spark, sf_dir)
-    prompts = it.select("conv_id", "turn", tx.build_prompt("scenario", "question").alias("prompt"))
-    vocab = tk.build_vocabulary(prompts, "prompt", GEN_VOCAB_SIZE)
-    return tk.lookup_words(prompts, ["conv_id", "turn"], "prompt", vocab), vocab
-
-
-def _generated(spark, sf_dir, variants=None):
-    ids, vocab = _prompt_ids(spark, sf_dir)
-    factory = inf.HashPredictorFactory(GEN_MODULUS, VARIANT_SEEDS, tk.WORD_EOS_ID, GEN_EOS_EVERY)
-    if variants:
-        gen = inf.evaluate_variants(ids, "ids", variants, factory, ["conv_id", "turn"], inf.MAX_NEW_TOKENS, tk.WORD_EOS_ID)
-        keys = ["variant", "conv_id", "turn"]
-    else:
-        gen = inf.batch_generate(ids, "ids", factory, ["conv_id", "turn"], None, inf.MAX_NEW_TOKENS, tk.WORD_EOS_ID)
-        keys = ["conv_id", "turn"]
-    return gen, vocab, keys
-
-
-def _answers(gen, vocab, keys):
-    # one pass over the generation: decoding carries the other columns (no join back, so the
-    # Python generation runs once)
-    dec = tk.decode_words(gen, keys, "new_ids", vocab, [tk.WORD_EOS_ID], "decoded", keep_cols=["n_steps", "new_ids"])
-    return dec.select(*keys, "n_steps", _ids_text("new_ids").alias("new_ids"), tx.clean_answer("decoded").alias("answer"))
-
-
-def _sql_generate(variants: bool) -> str:
-    nxt = f"CASE WHEN (31 * last_id + 7 * s + 13 * n + seed) % {GEN_MODULUS} % {GEN_EOS_EVERY} = 0 THEN 0 ELSE (31 * last_id + 7 * s + 13 * n + seed) % {GEN_MODULUS} END"
-    seeds = ", ".join(f"('{k}', {v})" for k, v in VARIANT_SEEDS.items())
-    var_src = f"(VALUES {seeds}) vs(variant, seed)" if variants else "(VALUES ('baseline', 0)) vs(variant, seed)"
-    vocab = _SQL_VOCAB.replace("documents", "pr").replace("regexp_extract_all(text,", "regexp_extract_all(prompt,")
-    return f"""
-WITH RECURSIVE pr AS (SELECT conv_id, turn, {_SQL_PROMPT} AS prompt FROM conversations),
-v AS ({vocab}),
-tk AS (SELECT conv_id, turn, regexp_extract_all(prompt, '{_PAT}') AS toks FROM pr),
-ex AS (SELECT conv_id, turn, unnest(toks) AS token, unnest(generate_series(1, len(toks))) AS pos FROM tk),
-ids AS (SELECT ex.conv_id, ex.turn, list(coalesce(v.token_id, 1) ORDER BY pos) AS ids FROM ex LEFT JOIN v USING (token) GROUP BY ex.conv_id, ex.turn),
-g(variant, seed, conv_id, turn, step, last_id, s, n, done, out) AS (
-  SELECT variant, seed, conv_id, turn, 0, CAST(ids[len(ids)] AS BIGINT), CAST(list_sum(ids) AS BIGINT), CAST(len(ids) AS BIGINT), false, []::INTEGER[]
-  FROM ids, {var_src}
-  UNION ALL
-  SELECT variant, seed, conv_id, turn, step + 1, {nxt}, s + ({nxt}), n + 1, ({nxt}) = 0, list_append(out, CAST({nxt} AS INTEGER))
-  FROM g WHERE NOT done AND step < {inf.MAX_NEW_TOKENS}
-),
-fin AS (SELECT variant, conv_id, turn, arg_max(out, step) AS out, CAST(max(step) AS INTEGER) AS n_steps FROM g GROUP BY variant, conv_id, turn),
-kept AS (SELECT variant, conv_id, turn, list_filter(out, lambda x: x <> 0) AS k FROM fin),
-dx AS (SELECT variant, conv_id, turn, unnest(k) AS token_id, unnest(generate_series(1, len(k))) AS pos FROM kept),
-dec AS (SELECT variant, conv_id, turn, string_agg(coalesce(v.token, '{tk.WORD_UNK}'), ' ' ORDER BY pos) AS text
-        FROM dx LEFT JOIN v USING (token_id) GROUP BY variant, conv_id, turn)
-SELECT {'fin.variant, ' if variants else ''}fin.conv_id, fin.turn, fin.n_steps, array_to_string(fin.out, ',') AS new_ids,
-       {_sql_clean("coalesce(dec.text, '')")} AS answer
-FROM fin LEFT JOIN dec USING (variant, conv_id, turn)
-"""
-
-
-@register("batch_generate", _sql_generate(False))
-def q_batch_generate(spark, sf_dir):
-    return _answers(*_generated(spark, sf_dir))
-
-
-@register("evaluate_variants", _sql_generate(True))
-def q_evaluate_variants(spark, sf_dir):
-    return _answers(*_generated(spark, sf_dir, list(VARIANT_SEEDS)))
-
-
-@register("batch_generate_telemetry")  # wall time, RSS and CPU differ per run: rows-only check
-def q_batch_generate_telemetry(spark, sf_dir):
-    gen, _, keys = _generated(spark, sf_dir)
-    return gen.select(*keys, "n_steps", "inference_time", "ram_before", "ram_after", "cpu_usage", "worker_pid", "partition_id")
-
-
 # --------------------------------------------------------------------------------------
 # 9. streams (driven to completion with availableNow triggers), sources and sinks
 
@@ -625,7 +549,6 @@ from ..session import scratch_path  # noqa: E402
 from ..sources import runs as sr  # noqa: E402
 from ..streaming import cpu as scpu  # noqa: E402
 from ..streaming import memory as smem  # noqa: E402
-from ..operators import frames as opf  # noqa: E402
 
 STREAM_SLICES = 2
 
@@ -641,27 +564,20 @@ def _run_available_now(df, out_path, ck_path, output_mode="append"):
 def _sliced_stream_run(spark, table, build, out_cols, name):
     """Stage ``table`` as event-id (time) order slices written one after another, each slice
     hash-partitioned by device so one device's rows of a slice are in one file; one
-    ``availableNow`` run then reads them in file order, several files per micro-batch, so state
-    is carried across micro-batches. Returns the sink table."""
+    ``availableNow`` run then reads them in file order, a slice per micro-batch, so state
+    is carried across micro-batches. Returns the sink table. Rows without an event id are in the
+    first slice."""
     base = scratch_path(spark, name)
     staged, src, out, ck = f"{base}/staged", f"{base}/in", f"{base}/out", f"{base}/ck"
-    table.write.mode("overwrite").parquet(staged)
+    table.write.parquet(staged)
     staged_df = spark.read.parquet(staged)
-    top = staged_df.agg(F.max("event_id") + 1).scalar()
-    n_files = max(1, spark.sparkContext.defaultParallelism)
+    low, high = staged_df.agg(F.min("event_id"), F.max("event_id")).first()
+    number = F.coalesce(F.floor((F.col("event_id") - F.lit(low)) * STREAM_SLICES / F.lit((high or 0) - (low or 0) + 1)), F.lit(0))
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for k in range(STREAM_SLICES):
-        lo, hi = top * F.lit(k) / STREAM_SLICES, top * F.lit(k + 1) / STREAM_SLICES
-        part = staged_df.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi))
-        part.repartition(n_files, "device_id").write.mode("append").parquet(src)
+        staged_df.filter(number == k).repartition(n_files, "device_id").write.mode("append").parquet(src)
     stream = spark.readStream.schema(staged_df.schema).option("maxFilesPerTrigger", n_files).parquet(src)
-    # state partitions are fixed when a stream first starts: size them to the cluster's cores
-    key = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
-    try:
-        _run_available_now(build(stream), out, ck)
-    finally:
-        spark.conf.set(key, before)
+    _run_available_now(build(stream), out, ck)
     return spark.read.parquet(out).select(*out_cols)
 
 
@@ -681,19 +597,13 @@ def q_memory_usage_stream(spark, sf_dir):
 
 @register("labelled_runs", _RUN_AVG_SQL)
 def q_labelled_runs(spark, sf_dir):
-    """Three run tables (one per label, one of them with the older ``latency`` header) tagged and
-    unioned by name, then averaged."""
-    runs = fx.runs_from_lineitem(spark, sf_dir).drop(*fx.RUN_ORDER)
-    parts = []
-    for label in fx.RUN_LABEL_ORDER:
-        t = runs.filter(F.col("label") == label).drop("label")  # pushed down to the scan
-        if label == "R":
-            t = t.withColumnRenamed("inference_time", sr.OLD_TIME_COLUMN)
-        parts.append(sr.normalise_time_column(t).withColumn("label", F.lit(label)))
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p, allowMissingColumns=True)
-    return stats.mean_by_label(u)
+    """Run tables of all labels, those of label R with the older ``latency`` header, united by name and
+    averaged: one tagged scan, whatever the labels."""
+    runs = fx.runs_from_lineitem(spark, sf_dir)
+    old = F.col("label") == "R"
+    united = runs.withColumns({sr.OLD_TIME_COLUMN: F.when(old, F.col("inference_time")),
+                               "inference_time": F.when(~F.coalesce(old, F.lit(False)), F.col("inference_time"))})
+    return _rounded(stats.mean_by_label(sr.normalise_time_column(united)))
 
 
 @register("runs_csv_roundtrip", _RUN_AVG_SQL)
@@ -701,22 +611,7 @@ def q_runs_csv_roundtrip(spark, sf_dir):
     """Run rows written as CSV (one folder per label) and read back through partition discovery."""
     path = scratch_path(spark, "runs-csv")
     sr.write_runs(fx.runs_from_lineitem(spark, sf_dir).select("label", *sr.RUN_COLUMNS), path)
-    return stats.mean_by_label(sr.read_labelled_runs(spark, path))
-
-
-@register("score_frames")  # stand-in detector over page bytes: rows-only check
-def q_score_frames(spark, sf_dir):
-    pages = fx.table(spark, sf_dir, "pages", spread=True)
-    frames = pages.select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return opf.score_frames(frames, opf.ByteTileDetector(4096))
-
-
-@register("encode_bpe")  # byte-level BPE through an Arrow UDF: rows-only (SQL has no BPE)
-def q_encode_bpe(spark, sf_dir):
-    d = fx.table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
-    e = tk.encode_fixed(d, "text", tk.ByteBPE(), tk.MAX_LENGTH, tk.BPE_EOS_ID)
-    return e.select("doc_id", "n_tokens", _ids_text("input_ids").alias("input_ids"),
-                    ar.array_sum_long("attention_mask").cast("int").alias("mask_sum"))
+    return _rounded(stats.mean_by_label(sr.read_labelled_runs(spark, path)))
 
 
 from ..sources import items as si  # noqa: E402
@@ -766,23 +661,193 @@ def q_recorded_memory(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------------------
-# 10. the reference's analytics over its own inference runs (telemetry differs per run:
-#     row counts only). Generation output feeds the skew-safe CDF and the scores directly.
+# 10. whole chains and forms with NULLs (made in SQL from the tables, which hold none)
+
+from ..functions import metrics as mt  # noqa: E402
+from ..streaming import latest as sla  # noqa: E402
+from ..streaming import runs as sru  # noqa: E402
+
+
+@register("runs_csv_mixed_headers", _RUN_AVG_SQL)
+def q_runs_csv_mixed_headers(spark, sf_dir):
+    """Run rows in CSV files with two headers (older time name, other column order), read by name."""
+    path = scratch_path(spark, "runs-mixed")
+    runs = fx.runs_from_lineitem(spark, sf_dir).select("label", *sr.RUN_COLUMNS)
+    old = F.col("label") == "R"
+    sr.write_runs(runs.filter(~F.coalesce(old, F.lit(False))), path)
+    back = runs.filter(old).withColumnRenamed("inference_time", sr.OLD_TIME_COLUMN)
+    sr.write_runs(back.select("label", "cpu_usage", sr.OLD_TIME_COLUMN, "answer", "ram_after", "ram_before"), path, mode="append")
+    return _rounded(stats.mean_by_label(sr.read_labelled_runs(spark, path)))
 
 
-def _variant_runs(spark, sf_dir):
-    gen, _, _ = _generated(spark, sf_dir, list(VARIANT_SEEDS))
-    return gen.select(F.col("variant").alias("label"), "ram_before", "ram_after", "cpu_usage", "inference_time")
+_SQL_NULL_EVENTS = """
+WITH e AS (SELECT nullif(event_type, 'view') AS kind, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS value FROM events)
+"""
+
+
+def _events_with_nulls(spark, sf_dir):
+    ev = fx.table(spark, sf_dir, "events")
+    return ev.select(F.nullif("event_type", F.lit("view")).alias("kind"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+
+
+@register("cdf_null_groups", _SQL_NULL_EVENTS + """
+SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY value) AS rank,
+       row_number() OVER (PARTITION BY kind ORDER BY value) / count(*) OVER (PARTITION BY kind) AS cdf
+FROM e WHERE value IS NOT NULL
+""")
+def q_cdf_null_groups(spark, sf_dir):
+    return stats.empirical_cdf(_events_with_nulls(spark, sf_dir), "kind", "value")
+
+
+@register("cdf_distinct_null_groups", _SQL_NULL_EVENTS + """
+SELECT kind, value, count(*) AS n_rows, max(cd) AS cdf FROM (
+  SELECT kind, value, cume_dist() OVER (PARTITION BY kind ORDER BY value) AS cd FROM e WHERE value IS NOT NULL) GROUP BY kind, value
+""")
+def q_cdf_distinct_null_groups(spark, sf_dir):
+    return stats.empirical_cdf(_events_with_nulls(spark, sf_dir), "kind", "value", points="distinct")
+
+
+@register("mean_with_nulls", _SQL_NULL_EVENTS + "SELECT kind AS label, round(avg(value), 6) AS avg_value FROM e GROUP BY kind")
+def q_mean_with_nulls(spark, sf_dir):
+    ev = _events_with_nulls(spark, sf_dir).withColumnRenamed("kind", "label")
+    return _rounded(stats.mean_by_label(ev, metrics={"avg_value": "value"}))
+
+
+@register("loss_series_null_run", """
+WITH r AS (SELECT nullif(user_id, (SELECT min(user_id) FROM events)) AS run_id, event_id AS seq, event_type, value FROM events),
+rec AS (
+  SELECT run_id, seq, 'loss' AS kind, value AS loss FROM r WHERE event_type IN ('click', 'purchase')
+  UNION ALL
+  SELECT run_id, seq, 'eval_loss', CASE WHEN event_type = 'purchase' THEN value / 2 ELSE value END FROM r
+  WHERE event_type IN ('view', 'purchase'))
+SELECT run_id, kind, row_number() OVER (PARTITION BY run_id, kind ORDER BY seq) AS step, seq, loss FROM rec
+""")
+def q_loss_series_null_run(spark, sf_dir):
+    logs = fx.logs_from_events(spark, sf_dir)
+    least = logs.agg(F.min("run_id")).scalar()
+    return lg.loss_series(logs.withColumn("run_id", F.nullif("run_id", least)))
+
+
+_SQL_SCOREBOARD = ORACLE_SQL["format_scoreboard"]
+
+
+def _sql_report(section: int, line: str) -> str:
+    title, header = fmt.SCOREBOARD[section]
+    titles = ", ".join(_sql_pad("'" + h + "'") for h in header)
+    return f"""
+  SELECT {section} AS section, 0 AS line_no, '{title}' AS line
+  UNION ALL SELECT {section}, 1, concat_ws(' ', {titles})
+  UNION ALL SELECT {section}, CAST(1 + row_number() OVER (ORDER BY label) AS INTEGER), {line} FROM ({_SQL_SCOREBOARD})"""
+
+
+@register("scoreboard_report", f"SELECT * FROM ({_sql_report(0, 'averages_line')} UNION ALL {_sql_report(1, 'scores_line')})")
+def q_scoreboard_report(spark, sf_dir):
+    """Both printed tables with their titles."""
+    s = q_format_scoreboard(spark, sf_dir)
+    parts = [fmt.scoreboard_report(s, k, "label", line).withColumn("section", F.lit(k))
+             for k, line in enumerate(("averages_line", "scores_line"))]
+    return parts[0].unionByName(parts[1]).select("section", "line_no", "line")
 
 
-@register("variant_telemetry_cdf")
-def q_variant_telemetry_cdf(spark, sf_dir):
-    """CDF of RAM after, CPU and latency per variant over the generated runs."""
-    return stats.metric_cdfs(_variant_runs(spark, sf_dir))
+@register("metric_units", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CAST(floor(l_extendedprice * 1000 + 0.5) AS BIGINT) / 1048576.0 AS ram_mib,
+       round(CAST(l_linenumber AS DOUBLE) * 0.25 + 1.5 - 1.5, 3) AS seconds
+FROM lineitem
+""")
+def q_metric_units(spark, sf_dir):
+    """Resident bytes in MiB and the seconds between two clock readings."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    size = F.floor(F.col("l_extendedprice") * 1000 + 0.5).cast("long")
+    end = F.col("l_linenumber").cast("double") * 0.25 + 1.5
+    return li.select(*fx.RUN_ORDER, mt.bytes_to_mib(size).alias("ram_mib"), mt.elapsed_seconds(F.lit(1.5), end).alias("seconds"))
+
+
+@register("append_token", _SQL_FULL_IDS + "SELECT doc_id, array_to_string(list_append(ids, len(ids)::INTEGER), ',') AS ids FROM enc")
+def q_append_token(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    e = tk.lookup_words(d, ["doc_id"], "text", tk.build_vocabulary(d, "text"))
+    return e.select("doc_id", _ids_text(ar.append_token("ids", F.size("ids"))).alias("ids"))
+
+
+@register("training_table", _SQL_ENCODED.replace("WITH v", "WITH k AS (SELECT doc_id, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents), "
+          "r AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS rn, count(*) OVER () AS n FROM k), v", 1) + f"""
+SELECT doc_id, rn <= round_even(0.8 * n, 0) AS in_train, array_to_string(input_ids, ',') AS input_ids,
+       array_to_string(attention_mask, ',') AS attention_mask,
+       array_to_string(list_transform(input_ids, lambda x: CASE WHEN x = {tk.WORD_EOS_ID} THEN {tk.LABEL_IGNORE} ELSE x END), ',') AS labels
+FROM enc JOIN r USING (doc_id)
+""")
+def q_training_table(spark, sf_dir):
+    """Texts -> exact split -> encoded ids, mask and labels of both parts."""
+    d = fx.table(spark, sf_dir, "documents")
+    t = tk.training_table(d, "doc_id", "text", tk.build_vocabulary(d, "text"))
+    return t.select("doc_id", "in_train", *[_ids_text(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@register("items_json_array", ORACLE_SQL["build_prompt"])
+def q_items_json_array(spark, sf_dir):
+    """Items written as JSON arrays (one per conversation bucket) and read back in that form."""
+    path = scratch_path(spark, "items-array")
+    it = fx.items_from_conversations(spark, sf_dir)
+    fields = ("conv_id", "turn", "scenario", "question")
+    one = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in fields]), {"ignoreNullFields": "false"})
+    arrays = it.groupBy((F.col("conv_id") % 64).alias("b")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file holds one array
+    back = si.read_items(spark, path, fields=fields, required=("scenario", "question"))
+    return back.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+                       tx.build_prompt("scenario", "question").alias("prompt"))
 
 
-@register("variant_scores")
-def q_variant_scores(spark, sf_dir):
-    """Mean telemetry per variant and relative scores (best = 100); the minima are a scalar
-    subquery that reuses the aggregation's shuffle, so the generation runs once."""
-    return stats.relative_scores(stats.mean_by_label(_variant_runs(spark, sf_dir)))
+@register("read_frames", """
+SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5 FROM pages
+""")
+def q_read_frames(spark, sf_dir):
+    """Binary files read as frames: each page's bytes in a file of its own folder."""
+    from ..sources import frames as sfr
+
+    path = scratch_path(spark, "frames")
+    pages = fx.table(spark, sf_dir, "pages").select("page_id", "html")
+    pages.select("page_id", F.col("html").alias("value")).write.option(
+        "lineSep", "\x00").option("maxRecordsPerFile", 1).partitionBy("page_id").text(path)
+    frames = sfr.read_frames(spark, path)
+    return frames.select(F.col("page_id").cast("long").alias("page_id"), (F.col("length") - 1).alias("length"),
+                         F.md5(F.expr("substring(content, 1, length - 1)")).alias("md5"))
+
+
+@register("latest_reading_stream", ORACLE_SQL["latest_reading"])
+def q_latest_reading_stream(spark, sf_dir):
+    """The latest reading per device kept by a stream over two micro-batches."""
+    base = scratch_path(spark, "latest")
+    ev = fx.table(spark, sf_dir, "events").withColumnRenamed("user_id", "device_id")
+    for k in range(2):
+        ev.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
+        latest = sla.latest_reading_stream(stream, "device_id", "ts", ["event_type", "value"])
+        sla.write_latest(latest, f"{base}/table", f"{base}/ck", "device_id", "ts").trigger(availableNow=True).start().awaitTermination()
+    return sla.read_latest(spark, f"{base}/table")
+
+
+@register("loss_records_stream", """
+WITH r AS (SELECT user_id AS run_id, event_id AS seq, event_type, value FROM events)
+SELECT run_id, seq, 'loss' AS kind, value AS loss FROM r WHERE event_type IN ('click', 'purchase')
+UNION ALL
+SELECT run_id, seq, 'eval_loss', CASE WHEN event_type = 'purchase' THEN value / 2 ELSE value END FROM r
+WHERE event_type IN ('view', 'purchase')
+""")
+def q_loss_records_stream(spark, sf_dir):
+    base = scratch_path(spark, "loss-stream")
+    fx.logs_from_events(spark, sf_dir).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("run_id bigint, seq bigint, logs map<string,double>").parquet(f"{base}/in")
+    _run_available_now(sru.loss_records_stream(stream), f"{base}/out", f"{base}/ck")
+    return spark.read.parquet(f"{base}/out").select("run_id", "seq", "kind", "loss")
+
+
+@register("runs_csv_stream", _RUN_AVG_SQL)
+def q_runs_csv_stream(spark, sf_dir):
+    """Run rows appended to a CSV sink as they arrive, read back and averaged."""
+    base = scratch_path(spark, "runs-stream")
+    runs = fx.runs_from_lineitem(spark, sf_dir).select("label", *sr.RUN_COLUMNS)
+    runs.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(runs.schema).parquet(f"{base}/in")
+    sru.write_runs_stream(stream, f"{base}/out", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
+    return _rounded(stats.mean_by_label(sr.read_runs(spark, f"{base}/out")))

@@ -23,7 +23,8 @@ def test_queries_match_oracle_on_small_data(spark):
 
     con = C.duck(SF_SMALL)
     names = ["mean_by_label", "relative_scores", "empirical_cdf", "clean_answer", "split_exact", "counter_delta",
-             "encode_fixed", "batch_generate", "quantize_int8", "loss_series"]
+             "encode_fixed", "quantize_int8", "loss_series", "cdf_null_groups", "loss_series_null_run", "training_table",
+             "runs_csv_mixed_headers", "latest_reading_stream", "cpu_usage_stream", "items_json_array", "read_frames"]
     for name in names:
         df = E.queries()[name](spark, SF_SMALL)
         rel = con.execute(E.oracle_sql()[name])
