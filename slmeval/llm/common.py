@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, reliable_checkpoint, scratch_path, ship_package
 
 __all__ = ["prepare", "fresh_names", "put", "read_table", "word_count", "WORD", "SPACES", "HAS_WORD",
-           "reliable_checkpoint", "scratch_path", "slices_by_size", "partitions"]
+           "reliable_checkpoint", "scratch_path", "slices_by_size", "arrow_slices", "partitions"]
 
 # A word is a run of characters other than the six ASCII white-space characters.
 SPACES = " \t\n\x0b\x0c\r"
@@ -58,6 +61,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def arrow_slices(column: pa.Array, limit: int) -> Iterable[tuple[int, int]]:
+    """(start, end) ranges of an Arrow text or binary column of about ``limit`` bytes each, so that
+    a task's memory does not follow the size of the batches it is sent; a longer value stands alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield start, end
+        start = end
+
+
 def slices_by_size(texts: list, limit: int) -> Iterable[tuple[int, int]]:
     """(start, end) ranges of ``texts`` of about ``limit`` characters; a longer text stands alone."""
     start, size = 0, 0

@@ -33,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import reliable_checkpoint
+from .common import arrow_slices, reliable_checkpoint
 
 DEPTH = 5
 P_MIN = 2e-6
 MIN_DIVERGENCE = 0.005
-BLOCK_CHARS = 16_000_000
-COUNT_BYTES = 8_000_000
+BLOCK_CHARS = 12_000_000
+SMALL_SLICE = 400_000  # arrays of a slice stay in the processor caches
 MERGE_ROWS = 3_000_000
+ASK_WORDS = 1_500_000
 # Bytes that occur in no UTF-8 text: the end symbol, and what stands before the first symbol.
 END, START = 0xFE, 0xFF
 ALPHABET = 257  # the uniform distribution below the tree: all byte values and the end
@@ -70,29 +71,25 @@ def _counted(codes: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.n
 
 
 def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, counts = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
-    texts, size = [], 0
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        codes = np.concatenate([np.empty(0, dtype=np.uint64), *[p[0] for p in parts]])
+        return _counted(codes, np.concatenate([np.empty(0), *[p[1] for p in parts]]))
 
     def out() -> pa.RecordBatch:
+        codes, counts = merged()
+        parts.clear()
         return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
 
-    def merge() -> None:
-        nonlocal codes, counts, texts, size
-        c, n = _counted(windows(symbols(texts)[0])[0])
-        codes, counts = _counted(np.concatenate([codes, c]), np.concatenate([counts, n]).astype(np.float64))
-        texts, size = [], 0
-
     for batch in batches:
-        for t in batch.column(0):
-            texts.append(t.as_py())
-            size += len(texts[-1] or "")
-            if size >= COUNT_BYTES:
-                merge()
-                if len(codes) > MERGE_ROWS:
+        column = batch.column(0)
+        for a, b in arrow_slices(column, SMALL_SLICE):
+            parts.append(_counted(windows(symbols(column.slice(a, b - a).to_pylist())[0])[0]))
+            if sum(len(p[0]) for p in parts) > MERGE_ROWS:
+                parts[:] = [merged()]
+                if len(parts[0][0]) > MERGE_ROWS // 2:
                     yield out()
-                    codes, counts = codes[:0], counts[:0]
-    if texts:
-        merge()
     yield out()
 
 
@@ -200,6 +197,21 @@ _UPPER_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SALT = np.random.RandomState(11).randint(0, 2**63, 256).astype(np.uint64)
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers, kept for slices of the usual size."""
+    table = _tables.get(int(base))
+    if table is None or len(table) < n:
+        table = np.full(max(n, 2 * SMALL_SLICE), base)
+        table[0] = 1
+        np.multiply.accumulate(table, out=table)
+        if n <= 2 * SMALL_SLICE:
+            _tables[int(base)] = table
+    return table[:n]
+
+
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the lower-cased words of all texts, number of words of each text)."""
     parts = [t.encode() if t else b"" for t in texts]
@@ -208,15 +220,8 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = ~space
     starts = np.flatnonzero(inside & np.concatenate([[True], space[:-1]]))
     ends = np.flatnonzero(space & np.concatenate([[False], inside[:-1]]))
-    n = len(raw)
-    power = np.full(n, _POWER)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_SALT[raw] * power, dtype=np.uint64)])
-    inverse = np.full(n, _INVERSE)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    h = (sums[ends] - sums[starts]) * inverse[starts]
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_SALT[raw] * _powers(_POWER, len(raw)), dtype=np.uint64)])
+    h = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(raw))[starts]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + (ends - starts).astype(np.uint64)
     text_ends = np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1)
     before = np.searchsorted(starts, text_ends)
@@ -224,18 +229,24 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block partition (block, text, train) -> (block, word, n): n in training texts."""
+    """Rows of a block partition (block, text, train) -> (block, word, n): n in training texts. A word
+    comes once for each block in a run of about ``ASK_WORDS`` words."""
     for batch in batches:
         blocks, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-        texts = batch.column(1).to_pylist()
-        h, n = word_hashes(texts)
-        of = np.repeat(np.arange(len(texts)), n)
-        for b in np.unique(blocks).tolist():
-            here = blocks[of] == b
-            words, counts = _counted(h[here], train[of[here]].astype(np.float64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), b)), pa.array(words.view(np.int64)), pa.array(counts)],
-                names=["block", "word", "n"])
+        column, parts, first = batch.column(1), [], 0
+        for a, b in arrow_slices(column, SMALL_SLICE):
+            parts.append(word_hashes(column.slice(a, b - a).to_pylist()))
+            if b < len(column) and sum(len(p[0]) for p in parts) < ASK_WORDS:
+                continue
+            h = np.concatenate([p[0] for p in parts])
+            of = np.repeat(np.arange(first, b), np.concatenate([p[1] for p in parts]))
+            for k in np.unique(blocks[first:b]).tolist():
+                here = blocks[of] == k
+                words, counts = _counted(h[here], train[of[here]].astype(np.float64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(words), k)), pa.array(words.view(np.int64)), pa.array(counts)],
+                    names=["block", "word", "n"])
+            parts, first = [], b
 
 
 ANSWER = "id bigint, train boolean, block bigint, n_words bigint, n_known bigint, log_sum double, score double, new_words bigint"
@@ -252,7 +263,10 @@ def _answer_block(tree):
         counts = np.append(words.column("c").to_numpy(), 0)
         new = int(np.sum(words.column("first").to_numpy().astype(bool) & (counts[:-1] > 0)))
         out = []
-        for batch in docs.to_batches(max_chunksize=500):
+        docs = docs.combine_chunks()
+        column = docs.column("text").chunk(0) if len(docs) else pa.array([], type=pa.string())
+        for start, end in arrow_slices(column, SMALL_SLICE):
+            batch = docs.slice(start, end - start)
             texts = batch.column("text").to_pylist()
             h, n = word_hashes(texts)
             c = counts[known.get_indexer(h.view(np.int64))]
