@@ -124,11 +124,11 @@ def _by_trie(df: DataFrame, rules: Sequence[Rule], host: Column, path: Column) -
 
 def _by_join(df: DataFrame, rules: DataFrame, host: str, path: str, hit: str) -> DataFrame:
     """Join each url's host suffixes with the rules' hosts; the longest fitting rule per row."""
-    row, suffix, labels = fresh_names(df, "row", "suffix", "labels")
+    suffix, labels = fresh_names(df, "suffix", "labels")
     urls = df.select(host, path).distinct()
     parts = F.split(F.col(host), r"\.")
     suffixes = urls.withColumn(labels, parts).withColumn(suffix, F.explode(F.concat(
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, 1 << 20), ".")),
+        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")),
         F.array(F.lit("")))))
     suffixes = suffixes.select(host, path, suffix).distinct()
     r = rules.select(F.translate("host", ASCII_UPPER, ASCII_LOWER).alias("r_host"), F.col("path").alias("r_path"), "verdict")
