@@ -23,23 +23,27 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import put, slices_by_size
+from .common import arrow_slices
 
 MAX_RANKS = 1_000_000
 MAX_WIDTH = 192
-MATRIX_CELLS = 2_000_000
-SLICE_CHARS = 2_000_000
-CACHE_ENTRIES = 600_000
-CACHE_CHARS = 16_000_000
+MATRIX_CELLS = 500_000
+SLICE_BYTES = 1_000_000
+DECODE_ROWS = 200
+CACHE_ENTRIES = 200_000
+CACHE_CHARS = 8_000_000
 NO_PAIR = np.int32(2**31 - 1)
 
 # The code points with the Unicode property White_Space.
@@ -285,59 +289,81 @@ class Decoder:
 _workers: dict = {}
 
 
-def _worker(kind, ranks, *args):
-    """One encoder or decoder for each broadcast table in a Python worker."""
-    key = (kind.__name__, ranks.id if hasattr(ranks, "id") else id(ranks), *args)
-    found = _workers.get(key)
+def _worker(call: str, kind, ranks, *args):
+    """One encoder or decoder for each call of an operator, kept by a Python worker over its tasks."""
+    found = _workers.get((call, kind))
     if found is None:
-        _workers.clear() if len(_workers) > 8 else None
-        found = _workers[key] = kind(ranks.value, *args)
+        if len(_workers) > 4:
+            _workers.clear()
+        found = _workers[call, kind] = kind(ranks.value, *args)
     return found
 
 
-def encode_column(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
-    """``text`` -> ARRAY<INT> of token ids."""
-    shared = spark.sparkContext.broadcast(ranks)
+def _mapped(df: DataFrame, column: str, keep: Sequence[str] | None, new: dict[str, str], rows) -> DataFrame:
+    """Append the columns ``new`` (name -> type), made by ``rows()`` from slices of ``column``, to the
+    columns ``keep`` of ``df`` (all), in one Arrow pass that never holds more than a slice's results."""
+    names = {k.lower() for k in new}
+    kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
+    carried = T.StructType([df.schema[c] for c in kept])
+    schema = T.StructType([*carried.fields, *[T.StructField(k, T._parse_datatype_string(v)) for k, v in new.items()]])
 
-    @F.arrow_udf("array<int>")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _worker(Encoder, shared, pattern)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = rows()
         for batch in batches:
-            values, counts = [np.empty(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
-            texts = batch.to_pylist()
-            for a, b in slices_by_size(texts, SLICE_CHARS):
-                ids, n = encoder.encode(texts[a:b])
-                values.append(ids.astype(np.int32))
-                counts.append(n)
-            offsets = np.cumsum(np.concatenate(counts)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values), type=pa.int32()))
+            for part, made in make(batch.column(len(kept)), lambda a, b, x=batch: x.slice(a, b - a)):
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], *made], names=schema.names)
 
-    return encode(text)
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{column}`").alias("_llm_input")).mapInArrow(run, schema)
 
 
-def decode_column(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
-    """ARRAY<INT> of token ids -> BINARY."""
-    shared = spark.sparkContext.broadcast(ranks)
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32()))
+
+
+def _decode_rows(decoder: Decoder, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    ends = np.cumsum(counts)
+    return pa.array([decoder.decode(ids[a:b]) for a, b in zip((ends - counts).tolist(), ends.tolist())], type=pa.binary())
+
+
+def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids",
+                     decoded: str | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """Append ``out``: the token ids (ARRAY<INT>) of every whole text; with ``decoded`` also the bytes
+    that the ids decode to (BINARY), in the same pass. ``keep``: the columns of ``df`` to carry."""
+    shared, call = df.sparkSession.sparkContext.broadcast(ranks), uuid4().hex
+
+    def rows():
+        encoder = _worker(call, Encoder, shared, pattern)
+        decoder = _worker(call, Decoder, shared) if decoded else None
+
+        def make(column, part):
+            for a, b in arrow_slices(column, SLICE_BYTES):
+                ids, counts = encoder.encode(column.slice(a, b - a).to_pylist())
+                made = [_lists(ids, counts)]
+                if decoder:
+                    made.append(_decode_rows(decoder, ids.astype(np.int64), counts))
+                yield part(a, b), made
+
+        return make
+
+    return _mapped(df, text, keep, {out: "array<int>"} | ({decoded: "binary"} if decoded else {}), rows)
 
-    @F.arrow_udf("binary")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decoder = _worker(Decoder, shared)
-        for batch in batches:
-            out = []
-            for i in range(len(batch)):
-                row = batch[i].values
-                out.append(b"" if row is None else decoder.decode(row.to_numpy(zero_copy_only=False).astype(np.int64)))
-            yield pa.array(out, type=pa.binary())
 
-    return decode(ids)
+def decode_documents(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded",
+                     keep: Sequence[str] | None = None) -> DataFrame:
+    """Append ``out``: the bytes of the token ids (BINARY)."""
+    shared, call = df.sparkSession.sparkContext.broadcast(ranks), uuid4().hex
 
+    def rows():
+        decoder = _worker(call, Decoder, shared)
 
-def encode_documents(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text",
-                     out: str = "ids") -> DataFrame:
-    """Append ``out``: the token ids of every whole text."""
-    return put(df, **{out: encode_column(df.sparkSession, F.col(text), ranks, pattern)})
+        def make(column, part):
+            for a in range(0, len(column), DECODE_ROWS):
+                lists = column.slice(a, DECODE_ROWS)
+                counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = pc.list_flatten(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield part(a, a + len(lists)), [_decode_rows(decoder, values, counts)]
 
+        return make
 
-def decode_documents(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Append ``out``: the bytes of the token ids."""
-    return put(df, **{out: decode_column(df.sparkSession, F.col(ids), ranks)})
+    return _mapped(df, ids, keep, {out: "binary"}, rows)

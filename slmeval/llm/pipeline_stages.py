@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and the digests of ids and decoded bytes."""
     prepare(spark)
-    return queries.encoded(docs.select("doc_id", "text", "lang", "source")).drop("text")
+    return queries.encoded(docs, ["doc_id", "lang", "source"])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

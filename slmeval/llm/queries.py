@@ -48,20 +48,20 @@ def bpe_files() -> tuple[dict[bytes, int], str]:
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """``docs`` with ids, decoded bytes and their digests."""
+def encoded(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` columns of ``docs`` with the ids of its texts and the digests of ids and decoded bytes."""
     ranks, pattern = bpe_files()
-    out = bpe.decode_documents(bpe.encode_documents(docs, ranks, pattern), ranks)
+    out = bpe.encode_documents(docs, ranks, pattern, decoded="decoded", keep=keep)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select(
-        *docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids",
+        *keep, F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register("op1_byte_bpe")
 def op1(spark, sf_dir):
     """Encode every document by the rank file, decode the ids again."""
-    return encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "ids")
+    return encoded(read_table(spark, sf_dir, "documents"), ["doc_id"]).drop("ids")
 
 
 # -- 2. document fingerprints ----------------------------------------------------------------

@@ -2,7 +2,6 @@ import hashlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from slmeval.llm import bpe, queries
 
@@ -48,6 +47,9 @@ def test_round_trip_nulls_and_clashing_names(spark, files):
     assert out.columns == ["doc_id", "text", "ids", "decoded"]
     for r in out.collect():
         assert bytes(r.decoded) == (r.text or "").encode()
+    both = bpe.encode_documents(df, ranks, pattern, decoded="decoded", keep=["doc_id"])
+    assert both.columns == ["doc_id", "ids", "decoded"]
+    assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in both.collect()} == {r.doc_id: (r.ids, bytes(r.decoded)) for r in out.collect()}
     null = out.filter("text is null").first()
     assert null.ids == [] and bytes(null.decoded) == b""
 
@@ -74,7 +76,7 @@ def test_query_equals_the_library(spark, library):
 
 def test_empty_table(spark, files):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert queries.encoded(df).count() == 0
+    assert queries.encoded(df, ["doc_id"]).count() == 0
 
 
 def test_rank_bound(monkeypatch):
