@@ -28,14 +28,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_names, partitions, put
+from .common import arrow_slices, partitions, put
 
 MIN, NORMAL, MAX = 32, 64, 256  # MIN covers the gear hash's window, so a chunk decides alone
 STRICT_BITS, LOOSE_BITS = 7, 5
+SLICE_BYTES = 1_000_000
+LIKENESS = ["id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 GEAR = np.array([random.Random(f"gear {i}").getrandbits(32) for i in range(256)], dtype=np.uint32)
 
 
-
 def gear_hashes(raw: np.ndarray) -> np.ndarray:
     """Gear hash after each byte: the sum of ``GEAR[byte] << age`` over the last 32 bytes."""
     h = GEAR[raw]
@@ -130,33 +131,49 @@ def _range_number(id: Column, cuts: list[int]) -> Column:
     return F.when(id.isNull(), F.lit(len(cuts))).otherwise(block + rest)
 
 
-def _pair_up(columns: list[str], text_at: int, borrowed_at: int):
-    """Stream of sorted rows (a range's own, then the borrowed one) -> rows with the next text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, whose successor may be in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """Sorted rows (range, id, text, borrowed), a range's own before the borrowed ones -> ids, texts and
+    next texts of the own rows, in slices."""
+    held = None  # the last row, whose successor may be in the next slice
+    for whole in batches:
+        for a, b in arrow_slices(whole.column(2), SLICE_BYTES):
+            batch = whole.slice(a, b - a)
             batch = pa.concat_batches([held, batch]) if held is not None else batch
-            ranges = batch.column(0).to_numpy()
-            borrowed = batch.column(borrowed_at).to_numpy(zero_copy_only=False)
-            # a borrowed row has no successor; the last row waits for the next batch
+            ranges, borrowed = batch.column(0).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
             own = np.flatnonzero(~borrowed[:-1] & (ranges[:-1] == ranges[1:]))
+            at, after = pa.array(own), pa.array(own + 1)
             if len(own):
-                after = batch.column(text_at).take(pa.array(own + 1))
-                rows = batch.take(pa.array(own))
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(i) for i in range(1, borrowed_at)] + [after], names=[*columns, "next_text"])
-            held = batch.slice(batch.num_rows - 1)
+                yield batch.column(1).take(at), batch.column(2).take(at), batch.column(2).take(after)
+            held = pa.concat_batches([batch.slice(batch.num_rows - 1)])  # a copy: the slice goes
 
-    return run
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for columns in _pair_up(batches):
+        yield pa.RecordBatch.from_arrays(list(columns), names=["id", "text", "next_text"])
 
-def with_next(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text, next_text): each row with the text of the next one in descending id order, the last
-    with that of the first (a single row with its own). Null texts are empty. Rows with equal ids
-    follow each other in the order of their texts, null ids come last."""
+
+def edited(text: str, following: str) -> str:
+    """The text with its last half of code points (rounded down) replaced by the first as many, or
+    all, of the following text."""
+    half = len(text) // 2
+    return text[: len(text) - half] + following[:half]
+
+
+def _likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, texts, following in _pair_up(batches):
+        rows = []
+        for x, y in zip(texts.to_pylist(), following.to_pylist()):
+            changed = edited(x, y)
+            own, of_edited = chunks(x), chunks(changed)
+            rows.append((len(x), changed, to_string(own), to_string(of_edited), containment_of(own, of_edited),
+                         containment_of(own, chunks(y))))
+        columns = [pa.array(c, type=t) for c, t in zip(zip(*rows), (
+            pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))]
+        yield pa.RecordBatch.from_arrays([ids, *columns], names=LIKENESS)
+
+
+def _in_ranges(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(range, id, text, borrowed), dealt by range and sorted: descending ids, then the borrowed rows."""
     rows = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = partitions(df.sparkSession)
     found = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)] or [0.5], 100 * n).alias("cuts"),
@@ -174,17 +191,16 @@ def with_next(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFram
     copies = F.concat(F.array(F.struct(number.alias("range"), F.lit(False).alias("borrowed"))),
                       F.transform(lent, lambda r: F.struct(r.alias("range"), F.lit(True).alias("borrowed"))))
     dealt = rows.select("id", "text", F.explode(copies).alias("to")).select("to.range", "id", "text", "to.borrowed")
-    dealt = dealt.repartitionByRange(n, "range").sortWithinPartitions(
+    return dealt.repartitionByRange(n, "range").sortWithinPartitions(
         "range", "borrowed", F.col("id").desc_nulls_last(), "text")
-    out = dealt.mapInArrow(_pair_up(["id", "text"], 2, 3), "id bigint, text string, next_text string")
-    return out.withColumnRenamed("id", id).withColumnRenamed("text", text)
 
 
-def edited(text: Column, following: Column) -> Column:
-    """The text with its last half of code points (rounded down) replaced by the first as many, or
-    all, of the following text."""
-    half = F.floor(F.length(text) / 2).cast("int")
-    return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(following, F.lit(1), half))
+def with_next(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text, next_text): each row with the text of the next one in descending id order, the last
+    with that of the first (a single row with its own). Null texts are empty. Rows with equal ids
+    follow each other in the order of their texts, null ids come last."""
+    out = _in_ranges(df, id, text).mapInArrow(_pairs, "id bigint, text string, next_text string")
+    return out.withColumnRenamed("id", id).withColumnRenamed("text", text)
 
 
 def fingerprint_documents(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
@@ -195,14 +211,9 @@ def fingerprint_documents(df: DataFrame, text: str = "text", out: str = "fingerp
 
 
 def likeness_to_edits(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Each document's fingerprint and those of its edited text and its successor, with the
-    containment of the first in the other two."""
-    pairs = with_next(df, id, text)
-    e, f, g, h = fresh_names(pairs, "edited", "own", "of_edited", "of_next")
-    # decode and edit once, then fingerprint the three texts in one Python pass
-    texts = pairs.withColumn(e, edited(F.col(text), F.col("next_text")))
-    prints = texts.withColumns({f: fingerprint(F.col(text)), g: fingerprint(F.col(e)), h: fingerprint(F.col("next_text"))})
-    return prints.select(
-        id, F.length(text).cast("long").alias("n_chars"), F.col(e).alias("edited"), F.col(f).alias("fingerprint"),
-        F.col(g).alias("edited_fingerprint"), containment(F.col(f), F.col(g)).alias("near_edited"),
-        containment(F.col(f), F.col(h)).alias("near_next"))
+    """(id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next): each document's
+    fingerprint and that of its edited text, with the containment of the first in the second and in its
+    successor's. One Python pass over the rows as ``with_next`` pairs them."""
+    types = ["bigint", "bigint", "string", "string", "string", "double", "double"]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(LIKENESS, types))
+    return _in_ranges(df, id, text).mapInArrow(_likeness, schema).withColumnRenamed("id", id)
