@@ -13,11 +13,13 @@ of each component is kept: the first by document id and line number.
    of documents and salted; the sample only places the salt and has no influence on the result.
 3. Verification: exact Jaccard of the two texts of every candidate pair.
 4. Components by distributed union-find. Bands whose lines still lie in more than one component
-   are searched for links between those components (all pairs across components that were not
-   compared before), and the components are joined.
+   are searched for links between those components: the lines of a band are compared by one task in
+   blocks of about ``BLOCK`` (intersections of all pairs by one matrix product over the shingles that
+   lines of the block share), which writes only links that join two components. For bands of several
+   blocks, the lines outside the band's largest component are then compared with every block.
 
-Only (band, line) rows, the lines that share a band, and their pairs are shuffled; the result is
-brought back to the documents by one join on the document.
+Only (band, line) rows, the lines that share a band, and linear numbers of pairs are shuffled; the
+result is brought back to the documents by one join on the document.
 
 Results: null text has no lines. A line repeated in a document or across documents counts once; its
 first occurrence is kept. Rows equal in id and text are one document (their lines are kept or
@@ -30,20 +32,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import ragged
-from .common import HAS_WORD, fresh_names, reliable_checkpoint, slices_by_size
+from .common import HAS_WORD, SPACES, fresh_names, partitions, reliable_checkpoint, slices_by_size
 from .components import connected_components
 
 SHINGLE = 8
 BANDS, ROWS = 12, 4
 THRESHOLD = 0.8
-SLICE_CHARS = 2_000_000
-SEEN = 300_000  # lines a task remembers so as not to sign a copy again
+SLICE_CHARS = 400_000  # arrays of a slice stay in the processor caches
+SEEN = 200_000  # lines a task remembers so as not to sign a copy again
 HOT_SAMPLE, HOT_COUNT, SALTS = 64, 64, 64
+BLOCK = 256
+COLUMNS = 4096
 MAX_BROADCAST = 1_000_000  # line ids, 8 bytes each
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
@@ -119,7 +124,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(ids[a:b], type=pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(keys))], names=["line", "keys"])
 
 
-@lru_cache(maxsize=2048)
+@lru_cache(maxsize=64)  # pairs come sorted by their second line
 def _shingles(text: str, size: int) -> frozenset[str]:
     return frozenset(text[i : i + size] for i in range(max(1, len(text) - size + 1)))
 
@@ -135,15 +140,97 @@ def _similar(a: Column, b: Column, threshold: float) -> Column:
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
             yield pa.array([jaccard(x.as_py(), y.as_py()) >= threshold for x, y in zip(left, right)], type=pa.bool_())
+            _shingles.cache_clear()
 
     return similar(a, b)
 
 
+def _overlaps(lines: list[str], threshold: float) -> np.ndarray:
+    """Matrix of pairs with a Jaccard similarity of at least the threshold."""
+    h, counts = shingle_hashes(lines)
+    number, distinct = pd.factorize(h)
+    pairs = np.unique(np.repeat(np.arange(len(lines)), counts) * len(distinct) + number)
+    row, column = np.divmod(pairs, len(distinct))
+    sizes = np.bincount(row, minlength=len(lines))
+    shared = np.bincount(column, minlength=len(distinct)) > 1  # others are in no intersection
+    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column, common = row[order], column[order], np.zeros((len(lines), len(lines)), dtype=np.float32)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        x = np.zeros((len(lines), COLUMNS), dtype=np.float32)
+        x[row[a:b], column[a:b] - start] = 1
+        common += x @ x.T
+    return common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-6
+
+
+def _joining(component: np.ndarray, line: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Links (by index) that join components, a spanning forest of them."""
+    parent: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in parent:
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(near & (component[:, None] != component[None, :]), 1)))):
+        a, b = find(int(component[i])), find(int(component[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(line[i]), int(line[j])))
+    return out
+
+
+def _link_blocks(threshold: float):
+    """Rows sorted by (key, salt, probe): key, salt, line, component, probe, text -> links (a, b) between
+    components, of a block's own lines and of its own lines with its probes."""
+
+    def links(own: list[tuple], probes: list[tuple]) -> list[tuple[int, int]]:
+        rows = own + probes
+        component = np.array([r[1] for r in rows], dtype=np.int64)
+        if (component == component[0]).all():
+            return []
+        near = _overlaps([r[2] for r in rows], threshold)
+        if probes:  # own lines were compared with one another before
+            near[: len(own), : len(own)] = False
+        return _joining(component, np.array([r[0] for r in rows], dtype=np.int64), near)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, own, probes, out, any_probe = None, [], [], [], False
+
+        def close() -> None:
+            if own and (probes or not any_probe):
+                out.extend(links(own, probes))
+
+        for batch in batches:
+            for key, salt, line, component, probe, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if block != (key, salt):
+                    close()
+                    block, own, probes, any_probe = (key, salt), [], [], False
+                if probe:
+                    any_probe = True
+                    probes.append((line, component, text))
+                    if len(probes) == BLOCK:
+                        close()
+                        probes = []
+                else:
+                    own.append((line, component, text))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in out], type=pa.int64()), pa.array([x[1] for x in out], type=pa.int64())], names=["a", "b"])
+            out.clear()
+        close()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x[0] for x in out], type=pa.int64()), pa.array([x[1] for x in out], type=pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _exploded(df: DataFrame, id: str, text: str) -> DataFrame:
     """(id, text_hash, line_no, line, text) of every line with a word."""
     rows = df.select(F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"),
                      F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "text"))
-    return rows.filter(F.col("text").rlike(HAS_WORD)).withColumn("line", F.xxhash64("text"))
+    return rows.filter(F.length(F.btrim("text", F.lit(SPACES))) > 0).withColumn("line", F.xxhash64("text"))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
@@ -190,19 +277,41 @@ def line_components(df: DataFrame, id: str = "doc_id", text: str = "text", thres
     texts = reliable_checkpoint(found.groupBy("line").agg(F.first("text").alias("text")))
     compared = reliable_checkpoint(shared.filter("line <> rep").select(F.col("line").alias("a"), F.col("rep").alias("b")).distinct())
     links = reliable_checkpoint(_verified(compared, texts, threshold))
-    classes = reliable_checkpoint(connected_components(links))
-    # bands that still hold lines of several components
-    members = reliable_checkpoint(shared.select("key", "line").join(classes.withColumnRenamed("node", "line"), "line", "left").select(
+    members = shared.select("key", "line")
+    for probing in (False, True):
+        classes = reliable_checkpoint(connected_components(links))
+        more = _links_between(members, classes, texts, threshold, probing)
+        if more is not None:
+            links = reliable_checkpoint(links.union(more))
+    return connected_components(links)
+
+
+def _links_between(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, probing: bool) -> DataFrame | None:
+    """Links between components of the lines of a band: inside its blocks, or (``probing``) of the lines
+    outside its largest component with all its blocks, for bands of several blocks."""
+    labelled = reliable_checkpoint(members.join(classes.withColumnRenamed("node", "line"), "line", "left").select(
         "key", "line", F.coalesce("component", "line").alias("component")))
-    split = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    open_keys = reliable_checkpoint(split.filter("low <> high and n > 2").select("key"))
-    rest = reliable_checkpoint(members.join(open_keys, "key"))
-    x = rest.select("key", F.col("line").alias("a"), F.col("component").alias("ca"))
-    y = rest.select("key", F.col("line").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "key").filter("ca > cb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    across = across.join(compared, ["a", "b"], "left_anti")
-    more = reliable_checkpoint(_verified(across, texts, threshold))
-    return classes if more.isEmpty() else connected_components(links.union(more))
+    # bands with the same lines are one; a pair was compared before
+    bands = labelled.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("line")).alias("x"), F.sum(F.xxhash64("line") % (1 << 40)).alias("y"))
+    open_ = bands.filter((F.col("low") != F.col("high")) & (F.col("n") > (BLOCK if probing else 2)))
+    open_ = open_.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select(
+        "key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    open_ = reliable_checkpoint(open_)
+    if open_.isEmpty():
+        return None
+    rows = reliable_checkpoint(labelled.join(open_, "key").withColumn("salt", F.pmod(F.xxhash64("line"), F.col("blocks"))))
+    own = rows.select("key", "salt", "line", "component", F.lit(0).alias("probe"))
+    if probing:
+        sizes = rows.groupBy("key", "component").agg(F.count("*").alias("size"))
+        main = reliable_checkpoint(sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main")))
+        probes = rows.join(main, "key").filter("component <> main").select(
+            "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("salt"), "line", "component", F.lit(1).alias("probe"))
+        own = own.union(probes)
+    dealt = own.join(texts, "line").select("key", "salt", "line", "component", "probe", "text").repartition(
+        partitions(members.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "probe")
+    return dealt.mapInArrow(_link_blocks(threshold), "a bigint, b bigint").distinct()
 
 
 def line_classes(df: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

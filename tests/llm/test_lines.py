@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from slmeval.llm import lines
 
 RND = random.Random(8)
@@ -73,6 +75,28 @@ def test_hot_bands_are_salted_without_a_change(spark, monkeypatch):
     assert {(r[0], r[2]): (r[3], r[4], r[5]) for r in plain} == classes(docs)
 
 
+def test_large_bands_in_blocks(spark, monkeypatch):
+    base = sentence(50)
+    docs = [(i, edit(edit(edit(edit(base)))) + "\n" + sentence(8)) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = classes(docs)
+    assert 10 < len({v[:2] for k, v in expected.items() if k[1] == 0}) < 119  # several components in a band
+    for block in (256, 7):
+        monkeypatch.setattr(lines, "BLOCK", block)
+        got = {(r.id, r.line_no): (r.first_id, r.first_line_no, r.kept) for r in lines.line_classes(df).collect()}
+        assert got == expected
+
+
+def test_overlap_matrix_equals_sets(monkeypatch):
+    base = sentence(40)
+    texts = ["a", "a b", base, base + " more", edit(base), edit(edit(edit(base))), sentence(40), base, "x" * 50]
+    for columns in (4096, 3):
+        monkeypatch.setattr(lines, "COLUMNS", columns)
+        near = lines._overlaps(texts, 0.8)
+        np.fill_diagonal(near, True)  # a line with itself is never asked for
+        assert near.tolist() == [[lines.jaccard(a, b) >= 0.8 for b in texts] for a in texts]
+
+
 def test_documents_keep_their_columns(spark):
     docs = [(2, "keep this line of text\nshared line of the text", 1, "k"), (1, "shared line of the text\n\n", 2, None),
             (3, "shared line of the text", 3, "k"), (4, None, 4, "k"), (5, "", 5, "k"), (3, "shared line of the text", 3, "k")]
