@@ -2,9 +2,10 @@
 
 Each step is a grouped minimum and an equi-join on the node, so a node with many neighbours is
 combined on the map side and the joins are left to the adaptive planner (broadcast when small,
-split when skewed). Every round is checkpointed, in the folder the session names; no task or
-driver ever holds a component. A round at least halves the longest chain, so the rounds grow
-with the logarithm of a component's diameter.
+split when skewed). Every round is checkpointed, in the folder the session names, in partitions of
+about ``ROWS`` links, so few links do not leave many small files; no task or driver ever holds a
+component. A round at least halves the longest chain, so the rounds grow with the logarithm of a
+component's diameter.
 """
 
 from __future__ import annotations
@@ -14,20 +15,22 @@ from pyspark.sql import functions as F
 
 from .common import reliable_checkpoint
 
+ROWS = 100_000  # links of a partition
 
-def _star(edges: DataFrame) -> DataFrame:
+
+def _star(edges: DataFrame, width: int) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour or itself."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     linked = both.filter("b > a").join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.distinct()
+    return linked.coalesce(width).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, width: int) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them (a > b in ``edges``)."""
     low = edges.groupBy("a").agg(F.min("b").alias("m"))
     moved = edges.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
+    return moved.union(low.select("a", F.col("m").alias("b"))).coalesce(width).distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -41,7 +44,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        now = reliable_checkpoint(_small_star(_star(now)))
+        width = int(state[0] // ROWS) + 1
+        now = reliable_checkpoint(_small_star(_star(now.coalesce(width), width).coalesce(width), width).coalesce(width))
     else:
         raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
