@@ -229,10 +229,10 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block partition (block, text, train) -> (block, word, n): n in training texts. A word
-    comes once for each block in a run of about ``ASK_WORDS`` words."""
+    """Rows of a block partition (id, text, train, block) -> (block, word, n): n in training texts. A
+    word comes once for each block in a run of about ``ASK_WORDS`` words."""
     for batch in batches:
-        blocks, train = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+        blocks, train = batch.column(3).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
         column, parts, first = batch.column(1), [], 0
         for a, b in arrow_slices(column, SMALL_SLICE):
             parts.append(word_hashes(column.slice(a, b - a).to_pylist()))
@@ -296,7 +296,8 @@ def score_documents(df: DataFrame, train: Column, id: str = "doc_id", text: str
     blocks = int(chars // block_chars) + 1
     dealt = rows.select("id", "text", "train", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")) \
         .repartition(blocks, "block")
-    asked = dealt.select("block", "text", "train").mapInArrow(_ask, "block bigint, word bigint, n bigint")
+    # all columns, so that asking and answering read the same exchange of the texts
+    asked = dealt.mapInArrow(_ask, "block bigint, word bigint, n bigint")
     asked = asked.groupBy("word", "block").agg(F.sum("n").alias("n"))
     by_word = Window.partitionBy("word")
     answers = asked.select("block", "word", F.sum("n").over(by_word).alias("c"),
