@@ -2,16 +2,18 @@
 
 A text is its words (A-Z lower-cased) joined by one space and closed by an end symbol; symbols are
 UTF-8 bytes and the end. The tree's contexts are the last 0 to ``DEPTH`` symbols. A context is a
-candidate when at least the share ``P_MIN`` of all training symbols stands in it, which bounds the
-tree by ``1 / P_MIN`` contexts for each length whatever the corpus. A candidate is retained when
-its next-symbol distribution diverges from that of its retained parent (Kullback-Leibler
+candidate when it was seen at least ``MIN_COUNT`` times, a fixed number, so that the tree grows with
+the corpus. A candidate is retained when its next-symbol distribution diverges from that of its retained parent (Kullback-Leibler
 divergence of at least ``MIN_DIVERGENCE`` nats), or when a longer retained context ends in it, so
 the tree is closed under suffixes. Distributions are smoothed by Witten-Bell interpolation with the
 parent's, down to the uniform one. A symbol is scored by the longest retained suffix of its past.
 
 Counting covers the whole training corpus: each task counts the windows of ``DEPTH + 1`` symbols
 of its texts (numpy and a hash table, merged before they leave the task), Spark adds them up, and
-the counts of shorter contexts follow from those. Only the bounded tree is gathered and broadcast.
+the counts of shorter contexts follow from those. Contexts of up to ``TOP`` symbols, whose number the
+alphabet bounds, are gathered and broadcast. The longer ones are a checkpointed table, dealt into
+buckets by their last ``TOP + 1`` symbols, so that a bucket holds what smoothing, pruning and looking up
+its contexts need. As for words, a block asks each bucket once for its distinct windows.
 
 Word counts (``base_score``) need the exact count of every word of every document, and the
 vocabulary grows with the corpus, so it is never gathered: documents are dealt into blocks of
@@ -25,18 +27,22 @@ Results: null text is empty (only the end symbol). Without training rows N and V
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_slices, reliable_checkpoint
 
 DEPTH = 5
-P_MIN = 2e-6
+MIN_COUNT = 2
+TOP = 2
 MIN_DIVERGENCE = 0.005
 BLOCK_CHARS = 12_000_000
 SMALL_SLICE = 400_000  # arrays of a slice stay in the processor caches
@@ -93,18 +99,19 @@ def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield out()
 
 
-def context_counts(texts: DataFrame, p_min: float = P_MIN) -> DataFrame:
-    """(length, code, n, total) of the candidate contexts: ``code`` holds the context and the next
-    symbol, ``n`` its count, ``total`` that of the context. ``texts`` has one text column."""
+def context_counts(texts: DataFrame, p_min: float = 0.0, min_count: int = 1) -> DataFrame:
+    """(length, code, n, total) of the candidate contexts, those seen ``min_count`` times and in the share
+    ``p_min`` of all symbols: ``code`` holds the context and the next symbol, ``n`` its count, ``total``
+    that of the context. ``texts`` has one text column."""
     counted = texts.mapInArrow(_count_windows, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     counted = reliable_checkpoint(counted)
-    symbols_seen = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(min_count, p_min * (counted.agg(F.sum("n")).first()[0] or 0) if p_min else 0)
     masks = F.array(*[F.struct(F.lit(k).alias("length"),
                                F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code"))
                       for k in range(DEPTH + 1)])
     each = counted.select(F.explode(masks).alias("c"), "n").groupBy("c.length", "c.code").agg(F.sum("n").alias("n"))
     context = Window.partitionBy("length", F.shiftrightunsigned("code", 8))
-    return each.withColumn("total", F.sum("n").over(context)).filter(F.col("total") >= max(1.0, p_min * symbols_seen))
+    return each.withColumn("total", F.sum("n").over(context)).filter(F.col("total") >= float(least))
 
 
 class Tree:
@@ -134,10 +141,11 @@ class Tree:
         return out
 
 
-def fit_tree(rows: pd.DataFrame, min_divergence: float = MIN_DIVERGENCE) -> Tree:
-    """Smooth and prune the candidate contexts (length, code, n, total)."""
-    codes, probs, levels, passed = {}, {}, {}, {}
-    for k in range(DEPTH + 1):
+def _smoothed(rows: pd.DataFrame, lengths: range, above: tuple[np.ndarray, np.ndarray], min_divergence: float) -> dict:
+    """length -> (codes, p, contexts, their first code, number of symbols and total, contexts that diverge)
+    of the candidates; ``above`` is (codes, p) of the length before the first."""
+    out = {}
+    for k in lengths:
         r = rows[rows["length"] == k]
         code = r["code"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(code)
@@ -147,28 +155,178 @@ def fit_tree(rows: pd.DataFrame, min_divergence: float = MIN_DIVERGENCE) -> Tree
         if k == 0:
             parent = np.full(len(code), 1.0 / ALPHABET)
         else:  # a symbol seen in a context was seen in its parent, and the parent is a candidate
-            parent = probs[k - 1][np.searchsorted(codes[k - 1], code & np.uint64((1 << 8 * k) - 1))]
+            parent = above[1][np.searchsorted(above[0], code & np.uint64((1 << 8 * k) - 1))]
         p = (n + kinds_of * parent) / (total + kinds_of)
-        codes[k], probs[k] = code, p
         share = n / total
         divergence = np.add.reduceat(share * np.log(share / parent), first) if len(code) else np.empty(0)
-        passed[k] = context[(divergence >= min_divergence) | (k == 0)]
-        levels[k] = (context, first, kinds, total[first] if len(code) else total)
-    kept, out = np.empty(0, dtype=np.uint64), []
-    for k in range(DEPTH, -1, -1):  # a retained context retains its suffixes
-        kept = np.union1d(passed[k], kept & np.uint64((1 << 8 * k) - 1)) if k else passed[0]
-        context, first, kinds, total = levels[k]
+        out[k] = (code, p, context, kinds, total[first] if len(code) else total, context[(divergence >= min_divergence) | (k == 0)])
+        above = code, p
+    return out
+
+
+def _retained(smoothed: dict, kept: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The levels of a tree; ``kept`` are the retained contexts one longer than the last."""
+    out = []
+    for k in sorted(smoothed, reverse=True):  # a retained context retains its suffixes
+        code, p, context, kinds, total, passed = smoothed[k]
+        kept = np.union1d(passed, kept & np.uint64((1 << 8 * k) - 1)) if k else passed
         stay = np.isin(context, kept)
         rows_stay = np.repeat(stay, kinds)
-        out.append((codes[k][rows_stay], np.log10(probs[k][rows_stay]), context[stay],
-                    np.log10(kinds[stay] / (total[stay] + kinds[stay]))))
-    return Tree(out[::-1])
+        out.append((code[rows_stay], np.log10(p[rows_stay]), context[stay], np.log10(kinds[stay] / (total[stay] + kinds[stay]))))
+    return out[::-1]
+
+
+_NONE = np.empty(0, dtype=np.uint64)
+
+
+def fit_tree(rows: pd.DataFrame, min_divergence: float = MIN_DIVERGENCE) -> Tree:
+    """Smooth and prune the candidate contexts (length, code, n, total)."""
+    return Tree(_retained(_smoothed(rows, range(DEPTH + 1), (_NONE, np.empty(0)), min_divergence), _NONE))
+
+
+_DEAL = 2654435761
+_SUFFIX = (1 << 8 * (TOP + 1)) - 1
+
+
+def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of the last TOP + 1 symbols of the contexts."""
+    key = (codes >> np.uint64(8)) & np.uint64(_SUFFIX)
+    return ((key * np.uint64(_DEAL) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _bucket_column(buckets: int) -> Column:
+    key = F.shiftright("code", 8).bitwiseAND(F.lit(_SUFFIX))
+    return F.shiftright(key * F.lit(_DEAL), 16) % F.lit(buckets).cast("long")
+
+
+def _fit_bucket(above, min_divergence: float):
+    def run(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        levels = _retained(_smoothed(rows.to_pandas(), range(TOP + 1, DEPTH + 1), above.value, min_divergence), _NONE)
+        out = []
+        for k, (codes, logp, contexts, backoff) in enumerate(levels, TOP + 1):
+            left = backoff[np.searchsorted(contexts, codes >> np.uint64(8))]
+            out.append(pa.table({"bucket": np.full(len(codes), bucket), "length": np.full(len(codes), k, dtype=np.int32),
+                                 "code": codes.view(np.int64), "logp": logp, "backoff": left}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def fit_table(candidates: DataFrame, buckets: int, min_divergence: float = MIN_DIVERGENCE) -> tuple[Tree, DataFrame]:
+    """The tree of the candidates: contexts of up to TOP symbols, and a table (bucket, length, code, logp,
+    backoff) of the longer ones."""
+    spark = candidates.sparkSession
+    short = candidates.filter(F.col("length") <= TOP).toArrow().to_pandas()
+    smoothed = _smoothed(short, range(TOP + 1), (_NONE, np.empty(0)), min_divergence)
+    above = spark.sparkContext.broadcast(smoothed[TOP][:2])
+    longer = candidates.filter(F.col("length") > TOP).withColumn("bucket", _bucket_column(buckets))
+    longer = longer.groupBy("bucket").applyInArrow(
+        _fit_bucket(above, min_divergence), "bucket bigint, length int, code bigint, logp double, backoff double")
+    longer = reliable_checkpoint(longer)
+    suffix = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1))
+    kept = longer.filter(F.col("length") == TOP + 1).select(suffix.alias("c")).distinct().toArrow()
+    return Tree(_retained(smoothed, kept.column("c").to_numpy().astype(np.uint64))), longer
+
+
+# The bytes of a code in the order in which packed codes are sorted, the first counts least: context
+# symbols before the last TOP + 1, the next symbol, the last context symbols.
+_PACKED = [*range(DEPTH, TOP + 1, -1), 0, *range(TOP + 1, 0, -1)]
+
+
+def pack(codes: np.ndarray) -> bytes:
+    """Sorted by their last symbols, a bucket's codes take about one byte each."""
+    moved = np.zeros((len(codes), 8), dtype=np.uint8)
+    moved[:, : DEPTH + 1] = codes.view(np.uint8).reshape(-1, 8)[:, _PACKED]
+    moved = np.sort(moved.view(np.uint64).ravel()).view(np.uint8).reshape(-1, 8)[:, : DEPTH + 1]
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(moved.T).tobytes())
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    moved = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(DEPTH + 1, -1)
+    codes = np.zeros((moved.shape[1], 8), dtype=np.uint8)
+    codes[:, _PACKED] = moved.T
+    return codes.view(np.uint64).ravel()
+
+
+def _look_up(top):
+    def run(asked: pa.Table, longer: pa.Table) -> pa.Table:
+        length, code = longer.column("length").to_numpy(), longer.column("code").to_numpy().view(np.uint64)
+        logp, backoff = longer.column("logp").to_numpy(), longer.column("backoff").to_numpy()
+        levels = list(top.value)
+        for k in range(TOP + 1, DEPTH + 1):
+            at = np.flatnonzero(length == k)
+            at = at[np.argsort(code[at])]
+            contexts, first = np.unique(code[at] >> np.uint64(8), return_index=True)
+            levels.append((code[at], logp[at], contexts, backoff[at][first]))
+        tree = Tree(levels)
+        codes = asked.column("codes").to_pylist()
+        scores = [tree.score(unpack(c)).tobytes() for c in codes]
+        return pa.table({"block": asked.column("block"), "codes": pa.array(codes, pa.binary()),
+                         "scores": pa.array(scores, pa.binary())})
+
+    return run
+
+
+def _ask_windows(buckets: int):
+    """Rows of a block partition (id, text, train, block) -> (block, bucket, codes): a block's distinct
+    windows, once in a run of about ``MERGE_ROWS`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[np.ndarray]] = {}
+        held = 0
+
+        def merge() -> int:
+            for k, p in parts.items():
+                parts[k] = [pd.unique(np.concatenate(p))]
+            return sum(len(p[0]) for p in parts.values())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, p in parts.items():
+                codes = p[0]
+                bucket = bucket_of(codes, buckets)
+                order = np.argsort(bucket, kind="stable")
+                asked, first = np.unique(bucket[order], return_index=True)
+                blobs = [pack(c) for c in np.split(codes[order], first[1:])] if len(codes) else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), k)), pa.array(asked), pa.array(blobs, pa.binary())],
+                                                 names=["block", "bucket", "codes"])
+            parts.clear()
+
+        for batch in batches:
+            column, blocks = batch.column(1), batch.column(3).to_numpy()
+            for a, b in arrow_slices(column, SMALL_SLICE):
+                texts, of = column.slice(a, b - a).to_pylist(), blocks[a:b]
+                for k in np.unique(of).tolist():
+                    codes = pd.unique(windows(symbols([texts[i] for i in np.flatnonzero(of == k)])[0])[0])
+                    parts.setdefault(k, []).append(codes)
+                    held += len(codes)
+                if held > MERGE_ROWS:
+                    held = merge()
+                    if held > MERGE_ROWS // 2:
+                        yield from out()
+                        held = 0
+        merge()
+        yield from out()
+
+    return run
+
+
+class Answers:
+    """The scores of a block's windows, as its buckets answered."""
+
+    def __init__(self, codes: list[bytes], scores: list[bytes]):
+        known = np.concatenate([_NONE, *map(unpack, codes)])
+        self.known, at = np.unique(known, return_index=True)
+        self.scores = np.frombuffer(b"".join(scores))[at]
+
+    def score(self, codes: np.ndarray) -> np.ndarray:
+        return self.scores[np.searchsorted(self.known, codes)]
 
 
 class Scorer:
     """Scores texts; windows repeat, so scores are kept in a direct-mapped table of fixed size."""
 
-    def __init__(self, tree: Tree):
+    def __init__(self, tree: Tree | Answers):
         self.tree = tree
         self.keys = np.full(1 << CACHE_BITS, np.uint64(2**64 - 1))
         self.values = np.zeros(1 << CACHE_BITS)
@@ -252,12 +410,12 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 ANSWER = "id bigint, train boolean, block bigint, n_words bigint, n_known bigint, log_sum double, score double, new_words bigint"
 
 
-def _answer_block(tree):
-    scorers: list[Scorer] = []
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        if not scorers:
-            scorers.append(Scorer(tree.value))
+def _answer_block():
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        of_window = pc.is_valid(answers.column("codes"))
+        looked_up = answers.select(["codes", "scores"]).filter(of_window)
+        scorer = Scorer(Answers(looked_up.column("codes").to_pylist(), looked_up.column("scores").to_pylist()))
+        words = answers.select(["word", "c", "first"]).filter(pc.invert(of_window))
         keys = words.column("word").to_numpy()
         known = pd.Index(keys)
         counts = np.append(words.column("c").to_numpy(), 0)
@@ -275,7 +433,7 @@ def _answer_block(tree):
             out.append(pa.table({
                 "id": batch.column("id"), "train": batch.column("train"), "block": batch.column("block"),
                 "n_words": n, "n_known": total(c > 0).astype(np.int64), "log_sum": total(np.log10(c + 1.0)),
-                "score": scorers[0](texts), "new_words": np.full(len(texts), new)}))
+                "score": scorer(texts), "new_words": np.full(len(texts), new)}))
         schema = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("block", pa.int64()), ("n_words", pa.int64()),
                             ("n_known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64()), ("new_words", pa.int64())])
         return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
@@ -283,17 +441,19 @@ def _answer_block(tree):
     return run
 
 
-def score_documents(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text", p_min: float = P_MIN,
+def score_documents(df: DataFrame, train: Column, id: str = "doc_id", text: str = "text", min_count: int = MIN_COUNT,
                     min_divergence: float = MIN_DIVERGENCE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score): learns from the rows where
     ``train`` holds (null: does not) and scores all."""
     spark = df.sparkSession
     rows = df.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                      F.coalesce(train, F.lit(False)).alias("train"))
-    candidates = context_counts(rows.filter("train").select("text"), p_min)
-    tree = spark.sparkContext.broadcast(fit_tree(candidates.toArrow().to_pandas(), min_divergence))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // block_chars) + 1
+    buckets = 8 * math.ceil(math.sqrt(blocks))  # a block has a row a bucket
+    candidates = context_counts(rows.filter("train").select("text"), min_count=min_count)
+    tree, longer = fit_table(candidates, buckets, min_divergence)
+    top = spark.sparkContext.broadcast(tree.levels)
     dealt = rows.select("id", "text", "train", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")) \
         .repartition(blocks, "block")
     # all columns, so that asking and answering read the same exchange of the texts
@@ -302,7 +462,11 @@ def score_documents(df: DataFrame, train: Column, id: str = "doc_id", text: str
     by_word = Window.partitionBy("word")
     answers = asked.select("block", "word", F.sum("n").over(by_word).alias("c"),
                            (F.col("block") == F.min("block").over(by_word)).cast("long").alias("first"))
-    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer_block(tree), ANSWER)
+    asked_windows = dealt.mapInArrow(_ask_windows(buckets), "block bigint, bucket bigint, codes binary")
+    looked_up = asked_windows.groupBy("bucket").cogroup(longer.groupBy("bucket")).applyInArrow(
+        _look_up(top), "block bigint, codes binary, scores binary")
+    answers = answers.unionByName(looked_up, allowMissingColumns=True)
+    found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer_block(), ANSWER)
     found = reliable_checkpoint(found)
     # distinct words, each counted in the first block that asked for it
     v = found.groupBy("block").agg(F.max("new_words").alias("v")).agg(F.sum("v")).first()[0] or 0

@@ -126,3 +126,32 @@ def test_query_equals_brute_force_and_beats_the_base(spark):
     check(got, rows, train)
     assert all(r.held_out != train(r.id) for r in got)
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_contexts_are_not_cut_by_a_share_of_the_corpus(spark):
+    texts = ["the then " * 80000] * 3 + ["quartz vex"] * 2  # 2e-6 of the symbols is more than 4
+    total = sum(len(windows_of(t)) for t in set(texts[:3])) * 3 + 22
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9, "a quartz vex")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score, kept = plain_tree(texts, 2 / total, st.MIN_DIVERGENCE)
+    assert tuple(b"quart") in kept
+    for blocks in (10**9, 300_000):
+        got = {r.id: r.score for r in st.score_documents(df, F.col("doc_id") < 9, block_chars=blocks).collect()}
+        assert got == pytest.approx({i: score(t) for i, t in rows}, abs=1e-6)
+
+
+def test_table_and_blocks_score_as_the_gathered_tree(spark):
+    texts = [" ".join(RND.choices(["the", "then", "these", "été", "漢字", "x"], k=RND.randint(0, 30))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train = [(t,) for i, t in enumerate(texts) if i % 4]
+    tree = st.fit_tree(st.context_counts(spark.createDataFrame(train, "text string"), min_count=st.MIN_COUNT).toPandas())
+    expected = st.Scorer(tree)(texts)
+    for blocks in (10**9, 500):
+        got = {r.id: r.score for r in st.score_documents(df, F.col("doc_id") % 4 != 0, block_chars=blocks).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(list(expected))
+
+
+def test_packed_codes():
+    codes = np.unique(np.array([RND.getrandbits(48) for _ in range(3000)], dtype=np.uint64))
+    for some in (codes, codes[:1], codes[:0]):
+        assert np.array_equal(np.sort(st.unpack(st.pack(some))), some)
