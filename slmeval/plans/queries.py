@@ -784,14 +784,20 @@ def q_training_table(spark, sf_dir):
     return t.select("doc_id", "in_train", *[_ids_text(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+ARRAY_BITS = 10
+
+
 @register("items_json_array", ORACLE_SQL["build_prompt"])
 def q_items_json_array(spark, sf_dir):
-    """Items written as JSON arrays (one per conversation bucket) and read back in that form."""
+    """Items written as JSON arrays of at most 2^ARRAY_BITS items, a file each, and read back in that
+    form: an array takes neighbouring rows of an input split, so that its length is bounded whatever a
+    conversation's, and the number of files grows with the table."""
     path = scratch_path(spark, "items-array")
     it = fx.items_from_conversations(spark, sf_dir)
     fields = ("conv_id", "turn", "scenario", "question")
     one = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in fields]), {"ignoreNullFields": "false"})
-    arrays = it.groupBy((F.col("conv_id") % 64).alias("b")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
+    numbered = it.withColumn("b", F.shiftright(F.monotonically_increasing_id(), ARRAY_BITS))
+    arrays = numbered.groupBy("b").agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file holds one array
     back = si.read_items(spark, path, fields=fields, required=("scenario", "question"))
     return back.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),

@@ -88,3 +88,17 @@ def test_frames_from_files(spark, tmp_path):
     # Spark gives no row for an empty file
     frames = sfr.read_frames(spark, str(tmp_path), glob="*.bin").collect()
     assert sorted(f.length for f in frames) == [5000, 5120] and all(len(f.content) == f.length for f in frames)
+
+
+def test_item_arrays_are_bounded_whatever_a_conversation(spark, tmp_path, monkeypatch):
+    from slmeval.plans import queries as q
+
+    rows = [(7 if i % 3 else i, i, "user", f"question {i}") for i in range(5000)] + [(None, None, None, None)] * 3000
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(
+        str(tmp_path / "sf" / "conversations.parquet"))
+    monkeypatch.setattr(q, "scratch_path", lambda spark, name: str(tmp_path / name))
+    got = q.QUERIES["items_json_array"](spark, str(tmp_path / "sf")).collect()
+    lengths = [len(json.loads(p.read_text())) for p in (tmp_path / "items-array").glob("part-*")]
+    assert sum(lengths) == 8000 and max(lengths) <= 1024
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(key((r.conv_id, r.turn)) for r in got) == sorted(key(r[:2]) for r in rows)
