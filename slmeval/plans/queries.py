@@ -545,6 +545,7 @@ def q_vector_stats(spark, sf_dir):
 # --------------------------------------------------------------------------------------
 # 9. streams (driven to completion with availableNow triggers), sources and sinks
 
+from ..operators.ordered import ordered_scan  # noqa: E402
 from ..session import scratch_path  # noqa: E402
 from ..sources import runs as sr  # noqa: E402
 from ..streaming import cpu as scpu  # noqa: E402
@@ -581,11 +582,35 @@ def _sliced_stream_run(spark, table, build, out_cols, name):
     return spark.read.parquet(out).select(*out_cols)
 
 
+DEVICE_ROWS = 100_000
+
+
+def _device_stream_run(spark, table, build, out_cols, name):
+    """Stage ``table`` in slices of at most ``DEVICE_ROWS`` rows a device, numbered in (time, event id)
+    order without one task per device, and run the stream to the end of each slice, so that state is
+    carried across at least ``STREAM_SLICES`` micro-batches and their number grows with the longest
+    device. Returns the sink table."""
+    base = scratch_path(spark, name)
+    staged, src, out, ck = f"{base}/staged", f"{base}/in", f"{base}/out", f"{base}/ck"
+    numbered = ordered_scan(table, ["device_id"], ["ts", "event_id"], cum_col="slice_row")
+    last = numbered.agg(F.max("slice_row")).first()[0]
+    empty, longest = last is None, int(last or 0) + 1
+    rows = min(DEVICE_ROWS, -(-longest // STREAM_SLICES))
+    sliced = numbered.select(*table.columns, F.floor(F.col("slice_row") / F.lit(rows)).cast("int").alias("slice"))
+    sliced.write.partitionBy("slice").parquet(staged)
+    n_files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(-(-longest // rows)):
+        part = spark.read.schema(table.schema).parquet(f"{staged}/slice={k}") if not empty else table
+        part.repartition(n_files, "device_id").write.mode("append").parquet(src)
+        _run_available_now(build(spark.readStream.schema(table.schema).parquet(src)), out, ck)
+    return spark.read.parquet(out).select(*out_cols)
+
+
 @register("cpu_usage_stream", ORACLE_SQL["counter_delta"])
 def q_cpu_usage_stream(spark, sf_dir):
     snaps = fx.counters_from_events(spark, sf_dir)
     build = lambda s: scpu.cpu_usage_stream(s, "device_id", "ts", "counters", tie_col="event_id")
-    return _sliced_stream_run(spark, snaps, build, ["device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct"], "cpu-stream")
+    return _device_stream_run(spark, snaps, build, ["device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct"], "cpu-stream")
 
 
 @register("memory_usage_stream", ORACLE_SQL["memory_usage"])

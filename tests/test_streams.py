@@ -91,3 +91,27 @@ def test_logs_on_streams(spark, tmp_path):
     series = sorted(tuple(r) for r in lg.loss_series(spark.read.parquet(str(tmp_path / "rec")).select(
         "run_id", "seq", F.create_map(F.col("kind"), F.col("loss")).alias("logs"))).collect())
     assert series == [(1, "eval_loss", 1, 3, 1.0), (1, "loss", 1, 1, 2.0), (1, "loss", 2, 3, 0.5)]
+
+
+def test_rows_of_a_device_in_a_micro_batch_are_bounded(spark, tmp_path, monkeypatch):
+    import json
+    from collections import Counter
+
+    from slmeval.plans import queries as q
+
+    rows = [(i, 1 if i % 3 == 0 else i % 40, T0 + dt.timedelta(seconds=i // 2), "view" if i % 4 else "click", float(i % 7))
+            for i in range(600)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double").write.parquet(
+        str(tmp_path / "sf" / "events.parquet"))
+    monkeypatch.setattr(q, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(q, "DEVICE_ROWS", 60, raising=False)
+    got = q.QUERIES["cpu_usage_stream"](spark, str(tmp_path / "sf"))
+    batch = q.QUERIES["counter_delta"](spark, str(tmp_path / "sf")).select(*got.columns)
+    text = lambda df: sorted(map(str, df.collect()))
+    assert got.count() == 600 and text(got) == text(batch)
+    logs = [p for p in (tmp_path / "cpu-stream" / "out" / "_spark_metadata").iterdir() if p.name.isdigit()]
+    for log in logs:
+        files = [json.loads(line)["path"] for line in log.read_text().splitlines()[1:]]
+        held = Counter(r.device_id for f in files for r in spark.read.parquet(f).collect())
+        assert max(held.values()) <= 60
+    assert len(logs) >= 4
