@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, langid, lines, mixing, outliers, simhash, suffix_tree, urls, warc
+from . import bpe, cdc, langid, lines, mixing, outliers, sharding, simhash, suffix_tree, urls, warc
 from .common import prepare, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,16 @@ def op10(spark, sf_dir):
     found = outliers.judge_documents(read_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
                         "n_repeat_words", "base_failed", "kept")
+
+
+# -- 13. sharding ----------------------------------------------------------------------------
+
+SHARDS = 16
+
+
+@register("op13_virtual_slots")
+def op13(spark, sf_dir):
+    """Put every document into one of 16 shards by its virtual slot and the edited map."""
+    found = sharding.shard_documents(read_table(spark, sf_dir, "documents"), scratch_path(spark, "slot-map"), SHARDS)
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
