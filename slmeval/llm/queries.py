@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, langid, lines, mixing, outliers, sharding, simhash, suffix_tree, urls, warc
+from . import bpe, cdc, conversations, langid, lines, mixing, outliers, sharding, simhash, suffix_tree, urls, warc
 from .common import prepare, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +195,37 @@ def op10(spark, sf_dir):
                         "n_repeat_words", "base_failed", "kept")
 
 
+# -- 11. conversation structure repair -------------------------------------------------------
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage, by the crc32 of ``conv_id:turn`` modulo 20; nulls are one space."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    told = rows.select("conv_id", "turn", text["role"].alias("role"), text["text"].alias("text"), kind.alias("kind"))
+    body = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.when(F.col("kind") == 3, 2).otherwise(1)
+    return told.filter("kind <> 0").select(
+        "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), body.alias("text"),
+        F.explode(F.sequence(F.lit(1), copies)).alias("copy")).drop("copy")
+
+
+@register("op11_glr_repair")
+def op11(spark, sf_dir):
+    """Repair the role structure of every damaged conversation at the lowest cost."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repaired_summaries(rows, damaged(rows))
+
+
+def repaired_summaries(rows: DataFrame, left: DataFrame, num_partitions: int | None = None) -> DataFrame:
+    """The summary of every conversation of ``rows``, of which ``left`` are the turns after damage."""
+    _, found = conversations.repair_conversations(left, num_partitions=num_partitions)
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 # -- 13. sharding ----------------------------------------------------------------------------
 
 SHARDS = 16
