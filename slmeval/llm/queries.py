@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cdc, conversations, langid, lines, mixing, outliers, sharding, simhash, suffix_tree, urls, warc
+from . import bpe, cdc, collocations, conversations, langid, lines, mixing, outliers, sharding, simhash, suffix_tree, urls, warc
 from .common import prepare, read_table, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -226,6 +226,46 @@ def repaired_summaries(rows: DataFrame, left: DataFrame, num_partitions: int | N
                         F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
 
 
+# -- 12. collocations ------------------------------------------------------------------------
+
+_PHRASE_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                               '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT lang, row_number() OVER () AS nr, piece FROM (SELECT lang, unnest(pieces) AS piece FROM t)),
+w AS (SELECT lang, nr, unnest(words) AS w1, generate_subscripts(words, 1) AS i
+      FROM (SELECT lang, nr, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p)),
+o AS (SELECT lang, w1, lead(w1) OVER x AS w2, lead(w1, 2) OVER x AS w3, lead(w1, 3) OVER x AS w4
+      FROM w WINDOW x AS (PARTITION BY nr ORDER BY i)),
+g AS MATERIALIZED (SELECT lang, w1 AS phrase, 1 AS size, count(*) AS f FROM o GROUP BY ALL
+      UNION ALL SELECT lang, w1 || ' ' || w2, 2, count(*) FROM o WHERE w2 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, 3, count(*) FROM o WHERE w3 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4, 4, count(*) FROM o WHERE w4 IS NOT NULL GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS words FROM g WHERE size > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, size, a, k, array_to_string(words[1 : k], ' ') AS head, array_to_string(words[k + 1 :], ' ') AS rest
+         FROM c, (VALUES (1), (2), (3)) s(k) WHERE k < size),
+heads AS MATERIALIZED (SELECT cuts.*, g.f AS l FROM cuts JOIN g ON g.lang = cuts.lang AND g.phrase = head),
+scored AS (SELECT heads.lang, heads.phrase, heads.size, a, k, l, g.f AS r, ((2000000::HUGEINT * a) // (l + g.f))::BIGINT AS score
+           FROM heads JOIN g ON g.lang = heads.lang AND g.phrase = rest),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nr FROM scored) WHERE nr = 1),
+kept AS (
+  SELECT * FROM lowest b WHERE NOT EXISTS (
+    SELECT 1 FROM c d WHERE d.lang = b.lang AND d.size > b.size AND 100 * d.a >= 80 * b.a
+                        AND contains(' ' || d.phrase || ' ', ' ' || b.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@register("op12_collocations", _PHRASE_SQL)
+def op12(spark, sf_dir):
+    """The first 2000 phrases of each language by their lowest cut."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents")).drop("words")
+
+
 # -- 13. sharding ----------------------------------------------------------------------------
 
 SHARDS = 16
