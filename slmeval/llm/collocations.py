@@ -7,11 +7,13 @@ gives l = f(first part), r = f(rest) and the score floor(``SCALE`` * a / (l + r)
 A candidate goes if a longer one that holds it has at least ``covered`` percent of its count.
 
 1. Count streams, shortest phrases first. Every slice of text is counted by sorting codes of its words
-   (numpy), the slices are added up by a grouped sum. Only phrases with ``min_count`` occurrences are
-   kept: no other can be part of a candidate. So a pass over longer phrases skips places whose
-   shorter parts are too rare, which it sees in a bitmap of the hashes of those that are kept. The
-   bitmap has at most ``MAX_BITS`` bits at any size of the corpus and only ever lets too much through;
-   counts come from the words themselves.
+   (numpy); words are added up by a grouped sum. The longer phrases of a slice are dealt by hash to
+   bins, sorted, and packed, a compressed block for each bin; one task adds up the blocks of a bin. There is
+   a bin for ``BIN_WORDS`` words of text, so a bin does not grow with the corpus, and a hot phrase is one
+   row of a slice. Only phrases with ``min_count`` occurrences are kept: no other can be part of a
+   candidate. So a pass over longer phrases skips places whose shorter parts are too rare, which it
+   sees in a bitmap of the hashes of those that are kept. The bitmap has at most 2^``MAX_BITS`` bits at
+   any size of the corpus and only ever lets too much through; counts come from the words themselves.
 2. Prefix order: the streams of all lengths, range-partitioned and sorted by (language, words), so a
    phrase comes after its first parts. One lockstep walk holds the counts of the current phrase's
    first parts (at most ``max_words``) and gives every l without a lookup; a partition starts with
@@ -37,12 +39,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordered import PID, range_checkpoint
-from .common import reliable_checkpoint
+from .common import partitions, reliable_checkpoint
 
 MIN_COUNT = 30
 MAX_WORDS = 4
@@ -50,6 +54,7 @@ COVERED = 80
 TOP = 2000
 SCALE = 2_000_000
 SLICE_BYTES = 4_000_000
+BIN_WORDS = 4_000_000
 MIN_BITS, MAX_BITS = 16, 26  # powers of two; 2^26 bits are 8 MB
 BITS_EACH = 16
 
@@ -121,6 +126,8 @@ class Slice:
         letters = _LOWER[raw[inside]]
         words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
         self.words, self.codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        self.rank = np.empty(len(self.words), dtype=np.int64)  # of each word in byte order
+        self.rank[pc.sort_indices(self.words).to_numpy()] = np.arange(len(self.words))
         piece = np.searchsorted(np.flatnonzero(kind == 2), start)
         self.joined = np.append(piece[1:] == piece[:-1], False)[: len(start)]
 
@@ -173,23 +180,40 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(lang, [pa.array([None], type=pa.string())], np.array([len(s.codes)]))
 
 
-def _count_pairs(frequent: Bitmap):
+def _packed(lang: str, s: Slice, codes: np.ndarray, f: np.ndarray, h: np.ndarray, bins: int) -> pa.RecordBatch:
+    """(lang, bin, phrases, counts): the phrases (rows of ``codes``) of each bin in word order, compressed."""
+    bin_of = (h % np.uint64(bins)).astype(np.int64)
+    order = np.lexsort((*s.rank[codes].T[::-1], bin_of))
+    codes, f, bin_of = codes[order], f[order], bin_of[order]
+    bin_ids, start = np.unique(bin_of, return_index=True)
+    ends = np.append(start, len(f)).astype(np.int32)
+    phrases = pc.binary_join_element_wise(*[s.take(c) for c in codes.T], " ")
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), phrases), "\n")
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(bin_ids)), pa.array(bin_ids), pa.array([pack(x.as_buffer()) for x in texts], type=pa.binary()),
+         pa.array([pack(f[i:j].astype("<u4").tobytes()) for i, j in zip(ends[:-1], ends[1:])], type=pa.binary())],
+        names=["lang", "bin", "phrases", "counts"])
+
+
+def _count_pairs(frequent: Bitmap, bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, s in _slices(batches):
             if len(s.codes) < 2:
                 continue
-            ok = frequent.has(word_hashes(s.words, lang))[s.codes]
+            h = word_hashes(s.words, lang)
+            ok = frequent.has(h)[s.codes]
             at = np.flatnonzero(s.joined[:-1] & ok[:-1] & ok[1:])
             pairs, f = np.unique(s.codes[at] * len(s.words) + s.codes[at + 1], return_counts=True)
             if len(pairs):
-                first, second = np.divmod(pairs, len(s.words))
-                yield _rows(lang, [s.take(first), s.take(second)], f)
+                codes = np.stack(np.divmod(pairs, len(s.words)), axis=1)
+                yield _packed(lang, s, codes, f, pair_hashes(h[codes[:, 0]], h[codes[:, 1]]), bins)
 
     return run
 
 
-def _count_longer(frequent: Bitmap, max_words: int):
-    """(lang, words ARRAY, f) of the phrases of 3 to ``max_words`` words all of whose pairs are in ``frequent``."""
+def _count_longer(frequent: Bitmap, bins: int, max_words: int):
+    """Blocks of the phrases of 3 to ``max_words`` words all of whose pairs are in ``frequent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, s in _slices(batches):
@@ -208,12 +232,37 @@ def _count_longer(frequent: Bitmap, max_words: int):
                 if not len(start):
                     break
                 # a phrase is told by the number of its first words and its last word
-                keys, where, number, f = np.unique(number * n + s.codes[start + size - 1], return_index=True, return_inverse=True, return_counts=True)
-                first = start[where]
-                flat = s.take(s.codes[(first[:, None] + np.arange(size)).ravel()])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), flat)
-                batch = _rows(lang, [lists], f)
-                yield pa.RecordBatch.from_arrays(batch.columns, names=["lang", "words", "f"])
+                _, where, number, f = np.unique(number * n + s.codes[start + size - 1], return_index=True, return_inverse=True, return_counts=True)
+                codes = s.codes[start[where][:, None] + np.arange(size)]
+                hashed = h[codes[:, 0]]
+                for k in range(1, size):
+                    hashed = pair_hashes(hashed, h[codes[:, k]])
+                yield _packed(lang, s, codes, f, hashed, bins)
+
+    return run
+
+
+def _add_up(min_count: int):
+    """The blocks of a bin -> (lang, words ARRAY, f) of the phrases that are frequent."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        by_lang: dict[str, list[pa.Table]] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for lang, phrases, counts in zip(*(blocks.column(c) for c in ("lang", "phrases", "counts"))):
+            raw = np.frombuffer(unpack(phrases.as_buffer()) + b"\n", dtype=np.uint8)
+            f = np.frombuffer(unpack(counts.as_buffer()), dtype="<u4").astype(np.int64)
+            ends = np.flatnonzero(raw == 10)  # no word holds a line end: drop them, the others stay in place
+            offsets = np.append(0, ends + 1).astype(np.int32)
+            offsets -= np.arange(len(offsets), dtype=np.int32)
+            column = pa.StringArray.from_buffers(len(f), pa.py_buffer(offsets), pa.py_buffer(raw[raw != 10]))
+            by_lang.setdefault(lang.as_py(), []).append(pa.table([column, f], names=["phrase", "f"]))
+        out = [pa.table({"lang": pa.array([], pa.string()), "words": pa.array([], pa.list_(pa.string())), "f": pa.array([], pa.int64())})]
+        for lang, parts in by_lang.items():
+            total = pa.concat_tables(parts).group_by("phrase", use_threads=False).aggregate([("f", "sum")])
+            total = total.filter(pc.greater_equal(total.column("f_sum"), min_count))
+            words = pc.split_pattern(total.column("phrase"), " ")
+            out.append(pa.table({"lang": pa.array([lang] * len(total), pa.string()), "words": words, "f": total.column("f_sum")}))
+        return pa.concat_tables(out)
 
     return run
 
@@ -225,7 +274,7 @@ def _mark(bits: int, width: int):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for lang in table.column("lang").unique().to_pylist():
-                rows = table.filter(pa.compute.equal(table.column("lang"), lang)).combine_chunks()
+                rows = table.filter(pc.equal(table.column("lang"), lang)).combine_chunks()
                 h = [word_hashes(rows.column(f"w{i + 1}").chunk(0).cast(pa.string()), lang) for i in range(width)]
                 at = Bitmap(bits).place(h[0] if width == 1 else pair_hashes(h[0], h[1]))
                 cells, where = np.unique(at >> 6, return_inverse=True)
@@ -254,21 +303,22 @@ def count_streams(df: DataFrame, text: str = "text", lang: str = "lang", min_cou
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def summed(counts: DataFrame, *keys: str) -> DataFrame:
-        return counts.groupBy("lang", *keys).agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
-
     counts = texts.mapInArrow(_count_words, "lang string, w1 string, f long").groupBy("lang", "w1").agg(F.sum("f").alias("f"))
     counts = reliable_checkpoint(counts.filter(F.col("w1").isNull() | (F.col("f") >= min_count)))
-    one = counts.filter("w1 is not null")
-    known = spark.sparkContext.broadcast(bitmap(one, 1))
-    two = texts.mapInArrow(_with(known, _count_pairs), "lang string, w1 string, w2 string, f long")
-    two = reliable_checkpoint(summed(two, "w1", "w2"))
-    streams = one.select("lang", F.array("w1").alias("words"), "f").union(two.select("lang", F.array("w1", "w2").alias("words"), "f"))
+    one, totals = counts.filter("w1 is not null"), counts.filter("w1 is null").select("lang", F.col("f").alias("n"))
+    bins = max(partitions(spark), -(-(totals.agg(F.sum("n")).first()[0] or 0) // BIN_WORDS))
+
+    def added(count, kept: Bitmap, *more) -> DataFrame:
+        blocks = texts.mapInArrow(_with(spark.sparkContext.broadcast(kept), count, bins, *more), "lang string, bin long, phrases binary, counts binary")
+        return reliable_checkpoint(blocks.groupBy("bin").applyInArrow(_add_up(min_count), "lang string, words array<string>, f long"))
+
+    streams = one.select("lang", F.array("w1").alias("words"), "f")
+    two = added(_count_pairs, bitmap(one, 1))
+    streams = streams.union(two)
     if max_words > 2:
-        pairs = spark.sparkContext.broadcast(bitmap(two, 2))
-        more = texts.mapInArrow(_with(pairs, _count_longer, max_words), "lang string, words array<string>, f long")
-        streams = streams.union(reliable_checkpoint(summed(more, "words")))
-    return streams, counts.filter("w1 is null").select("lang", F.col("f").alias("n"))
+        pairs = two.select("lang", F.col("words")[0].alias("w1"), F.col("words")[1].alias("w2"))
+        streams = streams.union(added(_count_longer, bitmap(pairs, 2), max_words))
+    return streams, totals
 
 
 def _with(shared, make, *more):
