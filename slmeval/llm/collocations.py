@@ -17,7 +17,7 @@ A candidate goes if a longer one that holds it has at least ``covered`` percent
 2. Prefix order: the streams of all lengths, range-partitioned and sorted by (language, words), so a
    phrase comes after its first parts. One lockstep walk holds the counts of the current phrase's
    first parts (at most ``max_words``) and gives every l without a lookup; a partition starts with
-   the counts of the first parts of its first phrase, three numbers that are joined to it.
+   the counts of the first parts of its first phrase, three numbers for each partition.
 3. Suffix order: the same walk over reversed words gives every r, and the scores.
 4. Extension counts: in either order a phrase meets the phrase it extends by one word, and marks it if
    it has ``covered`` percent of its count. A longer candidate that covers a phrase also makes one of
@@ -328,10 +328,10 @@ def _with(shared, make, *more):
     return run
 
 
-def _walk(covered: int):
-    """Rows sorted by (lang, words), (lang, words, f, ..., first ARRAY): the counts of the first 1, 2, ... words
-    of each phrase, and whether it covers the phrase without its last word. ``first`` holds the counts
-    of the first parts of a partition's first phrase."""
+def _walk(covered: int, carried):
+    """Rows sorted by (lang, words), (lang, words, f, ..., partition): the counts of the first 1, 2, ... words
+    of each phrase, and whether it covers the phrase without its last word. ``carried`` holds, for each
+    partition, the counts of the first parts of its first phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, counts, lang_now, begun = [], [], None, False
@@ -340,7 +340,8 @@ def _walk(covered: int):
                 continue
             if not begun:
                 lang_now, begun = batch.column(0)[0].as_py(), True
-                path, counts = list(batch.column(1)[0].as_py())[:-1], batch.column(batch.num_columns - 1)[0].as_py() or []
+                path = list(batch.column(1)[0].as_py())[:-1]
+                counts = carried.value.get(batch.column(batch.num_columns - 1)[0].as_py(), [])
             parts, covers = [], []
             for lang, words, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if lang != lang_now:
@@ -371,12 +372,10 @@ def walk(streams: DataFrame, covered: int = COVERED, num_partitions: int | None
     heads = heads.select("pid", "lang", "size", F.slice("words", 1, F.col("size")).alias("words"))
     # fewer rows than max_words for each partition
     found = ranged.select("lang", "words", "f").join(F.broadcast(heads), ["lang", "words"])
-    carried = found.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("size", "f"))).alias("c"))
-    carried = reliable_checkpoint(carried.select(F.col("pid").alias(PID), F.col("c.f").alias("first")))
-    # the broadcast join keeps the order
-    rows = ranged.join(F.broadcast(carried), PID, "left").select(*names, "first")
+    carried = found.groupBy("pid").agg(F.sort_array(F.collect_list(F.struct("size", "f"))).alias("c")).select("pid", "c.f")
+    shared = streams.sparkSession.sparkContext.broadcast({r.pid: r.f for r in carried.collect()})
     out = T.StructType([*streams.schema.fields, T.StructField("parts", T.ArrayType(T.LongType())), T.StructField("covers", T.BooleanType())])
-    return rows.mapInArrow(_walk(covered), out)
+    return ranged.select(*names, PID).mapInArrow(_walk(covered, shared), out)
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
