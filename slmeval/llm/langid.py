@@ -19,11 +19,11 @@ columns are kept and columns named like the outputs are replaced.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +36,10 @@ DICT_BYTES = 112_000
 BLOCK_CHARS = 1500
 MIN_MARGIN = 0.002
 LEVEL = 5  # below 5 zstd's faster parsers find few of the short matches that tell languages apart
-MAX_LABELS = 500  # dictionaries are broadcast: at most MAX_LABELS * DICT_BYTES bytes
+MAX_LABELS = 500  # dictionaries are broadcast: at most max_labels * dict_bytes bytes
 
-LETTER = re.compile(r"[^\W\d_]")
-NO_LETTERS = re.compile(r"[\W\d_]+")
+LETTER = regex.compile(r"\p{L}")  # learning and prediction agree on what a letter is: Unicode category L
+NO_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normalise(text: str) -> str:
@@ -47,16 +47,17 @@ def normalise(text: str) -> str:
 
 
 def learn(df: DataFrame, text: str = "text", label: str = "lang", slots: int = SLOTS,
-          excerpt_chars: int = EXCERPT_CHARS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Label -> raw dictionary content, from the rows with a label and a text."""
+          excerpt_chars: int = EXCERPT_CHARS, dict_bytes: int = DICT_BYTES, max_labels: int = MAX_LABELS) -> dict[str, bytes]:
+    """Label -> raw dictionary content, from the rows with a label and a text. More than ``max_labels`` labels
+    are an error, as the dictionaries are broadcast."""
     rows = df.select(F.col(label).alias("label"), F.col(text).alias("text")).filter(
         F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = rows.withColumn("h", F.xxhash64("text"))
     slot = F.pmod(F.col("h"), F.lit(slots))
     picked = reliable_checkpoint(hashed.groupBy("label", slot.alias("slot")).agg(F.min("h").alias("h")).select("label", "h"))
-    labels = picked.select("label").distinct().limit(MAX_LABELS + 1).count()
-    if labels > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    labels = picked.select("label").distinct().limit(max_labels + 1).count()
+    if labels > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     sample = hashed.join(F.broadcast(picked), ["label", "h"]).select(
         "label", "h", F.substring("text", 1, excerpt_chars).alias("text"))
     sample = sample.groupBy("label", "h").agg(F.min("text").alias("text"))

@@ -5,7 +5,10 @@
 2. Quotas. Sources are cut into shards of about ``SHARD_WORDS`` words (documents are dealt by a
    seeded hash, so a source with a third of all words has a third of the shards). The total is
    ``floor(words / BLOCK_WORDS)`` blocks; they go to the shards by the highest quotients
-   target / (2 * blocks + 1), the target of a shard being its part of its source's target.
+   target / (2 * blocks + 1), the target of a shard being its part of its source's target, as far
+   as the shard's target has room for whole blocks. The words that blocks leave (parts of blocks, small
+   sources) are given in the same way in blocks of one word, by what is missing to the targets.
+   Words that a shard cannot take go round again among those with room.
 3. Selection. Within a shard the documents stand in seeded order and their words form one ring;
    the shard's blocks are taken from its start, going round again while the quota asks for it.
 
@@ -18,7 +21,9 @@ are numbered by the ordered scan of the library (no single-task window), joined
 a hot source is split by its shards.
 
 Results: null texts have size 0 and take 0; a null source is a source of its own, the last.
-``taken`` never exceeds ``CAP`` times the document's size. Equal (id, source, text) rows tie and
+Each source's words are within a word for each
+of its shards of its target, rounded. ``taken`` never exceeds ``CAP`` times the document's size; documents
+without words stay out of the rings. Equal (id, source, text) rows tie and
 may swap their shares, which gives the same rows. Reruns agree: all sums are whole numbers, all
 orders are total up to equal rows. An empty table gives an empty result.
 """
@@ -100,6 +105,25 @@ def apportion(cells: DataFrame, seats: int, target: str, limit: str, order: list
     return rounded.withColumn("quota", F.least("quota", F.col(limit)))
 
 
+def shard_quotas(cells: DataFrame, words: int, cap: int = CAP, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(source, shard, cell, words): the words that each shard gives, ``words`` in all where there is room.
+    ``cells`` are (source, shard, cell, aim); ``words`` never exceeds ``cap`` times the shard's words."""
+    order, aim = ["source", "shard"], F.col("aim")
+    blocks = apportion(cells.withColumn("most", F.floor(aim / block_words).cast("long")), words // block_words, "aim", "most", order)
+    now = reliable_checkpoint(blocks.select(*order, "cell", "aim", (F.col("quota") * block_words).alias("words")))
+    for turn in range(64):
+        left = words - (now.agg(F.sum("words")).first()[0] or 0)
+        room = F.col("cell") * cap - F.col("words")
+        # first what is missing to the targets; what shards without room leave goes by the targets
+        missing = F.greatest(aim - F.col("words"), F.lit(0.0)) if turn == 0 else aim
+        wanted = now.withColumn("room", room).withColumn("wanted", F.when(F.col("room") > 0, missing).otherwise(0.0))
+        if left <= 0 or not wanted.agg(F.sum("wanted")).first()[0]:
+            break
+        given = apportion(wanted, left, "wanted", "room", order)
+        now = reliable_checkpoint(given.select(*order, "cell", "aim", (F.col("words") + F.col("quota")).alias("words")))
+    return now.drop("aim")
+
+
 def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
         weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP, block_words: int = BLOCK_WORDS,
         shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
@@ -119,22 +143,21 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     dealt = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("place", place)
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("place"), F.col("shards"))).drop("shards")
     dealt = reliable_checkpoint(dealt)
+    empty, dealt = dealt.filter("size = 0"), dealt.filter("size > 0")
     cells = dealt.groupBy("source", "shard").agg(
         F.sum("size").alias("cell"), F.first("target").alias("target"), F.first("source_size").alias("source_size"))
     share = F.when(F.col("source_size") > 0, F.col("target") * F.col("cell") / F.col("source_size")).otherwise(0.0)
-    cells = cells.select("source", "shard", "cell", share.alias("aim"),
-                         F.floor(F.col("cell") * cap / block_words).cast("long").alias("most"))
-    quotas = reliable_checkpoint(apportion(cells, words // block_words, "aim", "most", ["source", "shard"]))
-    quotas = quotas.select(F.col("source").alias("s"), F.col("shard").alias("k"), "cell",
-                           (F.col("quota") * block_words).alias("words"))
+    cells = cells.select("source", "shard", "cell", share.alias("aim"))
+    quotas = shard_quotas(cells, words, cap, block_words).select(
+        F.col("source").alias("s"), F.col("shard").alias("k"), "cell", "words")
     ring = Window.partitionBy("source", "shard").orderBy("place", "id", "text_hash")
     before = F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, -1))
     placed = dealt.withColumn("before", F.coalesce(before, F.lit(0)))
     joined = placed.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")))
     rounds, rest = F.expr("words div cell"), F.expr("words % cell")
-    taken = F.when(F.col("cell") > 0, rounds * F.col("size") + F.greatest(
-        F.lit(0), F.least(rest - F.col("before"), F.col("size")))).otherwise(F.lit(0))
-    return joined.select("id", "text_hash", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(rest - F.col("before"), F.col("size")))
+    names = ["id", "text_hash", "source", "size", "source_size", "target"]
+    return joined.select(*names, taken.cast("long").alias("taken")).union(empty.select(*names, F.lit(0).cast("long").alias("taken")))
 
 
 def mixed_documents(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:

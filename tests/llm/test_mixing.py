@@ -59,7 +59,7 @@ def check(rows, got, near):
 def test_targets_and_words_taken(spark):
     rows = rows_of({"a": 300, "b": 40, "c": 2, "é": 30, "z": 25, None: 30, "Z": 1})
     got = mixing.mix(frame(spark, rows), shard_words=10**9).collect()
-    check(rows, got, mixing.BLOCK_WORDS)
+    check(rows, got, 1)
     again = mixing.mix(frame(spark, rows).repartition(7), shard_words=10**9).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
@@ -67,8 +67,9 @@ def test_targets_and_words_taken(spark):
 def test_shards(spark):
     rows = rows_of({"a": 400, "b": 60, "c": 90})
     got = mixing.mix(frame(spark, rows), shard_words=500).collect()
-    check(rows, got, 60 * mixing.BLOCK_WORDS)
-    check(rows, mixing.mix(frame(spark, rows), shard_words=500, block_words=1).collect(), 60)
+    shards = max(-(-sum(len(WORD.findall(t)) for _, t, x in rows if x == s) // 500) for s in "abc")
+    check(rows, got, shards)
+    check(rows, mixing.mix(frame(spark, rows), shard_words=500, block_words=1).collect(), shards)
 
 
 def plain_sainte_lague(aims, seats):
@@ -100,7 +101,32 @@ def test_edges(spark):
     assert {(r.size, r.target, r.taken) for r in mixing.mix(frame(spark, rows)).collect()} == {(0, 0.0, 0)}
     rows = [(1, "one word more", "a"), (1, "one word more", "a"), (None, "x " * 50000, "a")]
     got = mixing.mix(frame(spark, rows)).collect()
-    assert len(got) == 3 and sum(r.taken for r in got) == 50006 // 16 * 16
+    assert len(got) == 3 and sum(r.taken for r in got) == 50006
+
+
+def test_small_sources_take_their_words(spark):
+    rows = [(i, "one two three four five", f"s{i:03}") for i in range(200)]
+    got = mixing.mix(frame(spark, rows)).collect()
+    check(rows, got, 1)
+    assert sum(r.taken for r in got) == 1000
+    kept = mixing.mixed_documents(frame(spark, rows))
+    assert 150 <= kept.count() <= 250 and len({r.source for r in kept.collect()}) >= 130
+    rows = [(1, "w " * 10, "a")]
+    (r,) = mixing.mix(frame(spark, rows)).collect()
+    assert (r.target, r.taken) == (10.0, 10) and mixing.mixed_documents(frame(spark, rows)).count() == 1
+
+
+def test_words_of_full_shards_are_passed_on(spark):
+    cells = spark.createDataFrame([("a", 0, 10, 90.0), ("b", 0, 200, 100.0), ("c", 0, 3, 23.0)], "source string, shard long, cell long, aim double")
+    got = {r.source: r.words for r in mixing.shard_quotas(cells, 213).collect()}
+    assert got["a"] == 30 and got["c"] == 9 and sum(got.values()) == 213
+
+
+def test_documents_without_words_stay_out_of_the_rings(spark):
+    rows = [(i, "" if i % 3 else " \n", "a") for i in range(500)] + [(i, "w " * (i % 40), "b") for i in range(500, 600)]
+    got = mixing.mix(frame(spark, rows), shard_words=300).collect()
+    assert len(got) == 600 and all(r.taken == 0 for r in got if r.size == 0)
+    assert sum(r.taken for r in got) == sum(r.size for r in got)
 
 
 def test_mixed_documents_keep_columns(spark):
@@ -119,4 +145,4 @@ def test_native_plan_and_query(spark):
     rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     found = QUERIES["op7_source_mixing"](spark, sf)
     assert not re.search("Python|Arrow|Pandas", found._jdf.queryExecution().executedPlan().toString())
-    check(rows, found.withColumnRenamed("doc_id", "id").collect(), mixing.BLOCK_WORDS)
+    check(rows, found.withColumnRenamed("doc_id", "id").collect(), 1)

@@ -85,7 +85,7 @@ def test_run_and_registration(spark, stages):
 
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(r.doc_id for r in stages["encode"][1])
     names = entry.queries()
-    assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert "pipeline" in names and [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
 def test_stages_on_awkward_documents(spark):
@@ -96,4 +96,6 @@ def test_stages_on_awkward_documents(spark):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == df.columns and out.count() <= 3 * len(rows)
+            if docs is df:  # no stage drops the plain document, or all copies of it
+                assert "the text of a document that stays" in {r.text for r in out.collect()}
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
