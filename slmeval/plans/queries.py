@@ -829,6 +829,35 @@ def q_items_json_array(spark, sf_dir):
                        tx.build_prompt("scenario", "question").alias("prompt"))
 
 
+@register("csv_quoted_breaks", """
+SELECT doc_id, coalesce(nullif(lang, ''), '-') AS lang, md5(text) AS md5, CAST(length(text) AS BIGINT) AS n_chars FROM documents
+""")
+def q_csv_quoted_breaks(spark, sf_dir):
+    """Texts with line breaks, quotes and commas as CSV, a file for each input split, read back by as many tasks
+    as the files have splits."""
+    from ..sources import split_csv
+
+    path = scratch_path(spark, "quoted-csv")
+    docs = fx.table(spark, sf_dir, "documents")
+    sr.write_runs(docs.select("text", "doc_id", "lang"), path)
+    back = split_csv.read_csv(spark, path)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("-")).alias("lang"),
+                       F.md5("text").alias("md5"), F.length("text").cast("long").alias("n_chars"))
+
+
+@register("items_split_array", """
+SELECT doc_id, md5('Scenario: ' || lang || chr(10) || 'Question: ' || text || chr(10) || 'Answer:') AS prompt_md5 FROM documents
+""")
+def q_items_split_array(spark, sf_dir):
+    """One JSON array for each input split, read back by as many tasks as the files have splits."""
+    path = scratch_path(spark, "items-split")
+    docs = fx.table(spark, sf_dir, "documents")
+    si.write_items(docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("lang").alias("scenario"),
+                               F.col("text").alias("question")), path)
+    back = si.read_items(spark, path, fields=("doc_id", "scenario", "question"), required=("scenario", "question"))
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(tx.build_prompt("scenario", "question")).alias("prompt_md5"))
+
+
 @register("read_frames", """
 SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5 FROM pages
 """)

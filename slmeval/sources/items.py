@@ -1,22 +1,21 @@
 """Q&A item sources: a JSON array file (the reference's format) or JSON lines.
 
-A multi-line JSON array is one non-splittable task per file; for scale write JSON lines or
-Parquet and pass ``multi_line=False``. Text fields stay text (no numeric inference).
+An array file is split among tasks like any text file (:mod:`slmeval.sources.split_json`): no task holds
+more than an item of it. Text fields stay text (no numeric inference).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-ITEM_FIELDS = ("scenario", "question", "answer")
 
+from .split_json import read_array_items
 
-def item_schema(fields: Sequence[str] = ITEM_FIELDS) -> T.StructType:
-    return T.StructType([T.StructField(f, T.StringType()) for f in fields])
+ITEM_FIELDS = ("scenario", "question", "answer")
 
 
 def read_items(
@@ -35,18 +34,29 @@ def read_items(
     ``required`` fields must be present: a row without the key fails the job whichever columns are
     selected, as a missing key raises in the reference; a JSON null is a NULL text.
     """
-    options = {"multiLine": multi_line, "mode": "FAILFAST"}
-    df = spark.read.schema(item_schema(fields)).options(**options).json(path)
+    text = read_array_items(spark, path) if multi_line else spark.read.text(path).filter(F.trim("value") != "")
+    # one map per object keeps the difference between a missing key and a null
+    objects = text.select(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("o"))
     if required:
-        # one string per object keeps the difference between a missing key and a null
-        text = spark.read.options(wholetext=multi_line).text(path)
-        kind = "array<map<string,string>>" if multi_line else "map<string,string>"
-        objects = text.select(F.from_json("value", kind, {"mode": "FAILFAST"}).alias("o"))
-        if multi_line:
-            objects = objects.select(F.explode("o").alias("o"))
         missing = F.filter(F.array(*[F.lit(r) for r in required]), lambda r: ~F.map_contains_key("o", r))
-        checked = objects.filter(F.when(F.size(missing) > 0, F.raise_error(F.concat(
+        objects = objects.filter(F.when(F.size(missing) > 0, F.raise_error(F.concat(
             F.lit("item without '"), F.array_join(missing, "', '"), F.lit("'")))).otherwise(F.lit(True)).cast("boolean"))
-        df = checked.select(*[F.col("o")[f].alias(f) for f in fields])
+    df = objects.select(*[F.col("o")[f].alias(f) for f in fields])
     key = F.md5(F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"}))
     return df.select(key.alias(id_col), *fields)
+
+
+def _brackets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lead = "["
+    for batch in batches:
+        if batch.num_rows:
+            signs = pa.array([lead] + [","] * (batch.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(signs, batch.column(0), "")], names=["value"])
+            lead = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"])], names=["value"])
+
+
+def write_items(df: DataFrame, path: str) -> None:
+    """Each partition of ``df`` as a file with one JSON array, a line for each item; all columns, nulls too."""
+    item = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    df.select(item.alias("value")).mapInArrow(_brackets, "value string").write.text(path)

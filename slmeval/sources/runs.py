@@ -1,9 +1,8 @@
 """Run-result tables: CSV with a header (``answer, ram_before, ram_after, cpu_usage,
 inference_time``), one file set per label, written and read with Python ``csv`` quoting.
 
-Quotes inside a field are doubled and fields with commas, quotes or line breaks are quoted;
-Spark reads that back exactly with ``escape='"'`` and ``multiLine`` (its default escape is a
-backslash, which would shift the columns of such a row). Metric text that does not parse
+Quotes inside a field are doubled and fields with commas, quotes or line breaks are quoted; such
+files are read by :mod:`slmeval.sources.split_csv`, many tasks a file, columns by name. Metric text that does not parse
 (``NA``, empty) becomes NULL; ``nan`` becomes NaN; the ``answer`` text is kept as is.
 """
 
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .split_csv import read_csv
+
 # The run-result header of the reference and the older latency column name.
 RUN_COLUMNS = ["answer", "ram_before", "ram_after", "cpu_usage", "inference_time"]
 METRICS = ["ram_before", "ram_after", "cpu_usage", "inference_time"]
@@ -24,7 +25,7 @@ RUN_SCHEMA = T.StructType(
     [T.StructField("answer", T.StringType())] + [T.StructField(m, T.DoubleType()) for m in METRICS]
 )
 
-_CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
+_CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def normalise_time_column(df: DataFrame) -> DataFrame:
@@ -49,41 +50,13 @@ def typed_runs(df: DataFrame) -> DataFrame:
     return out.select(*cols)
 
 
-def _files_by_header(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header line -> files. The first line of a file is in its first block, which one task reads in
-    order, so ``first`` is that line. Holds one entry per file, as Spark's own file index does."""
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    heads = lines.filter("file_block_start = 0").groupBy("file_path").agg(F.first("value").alias("head"))
-    found: dict[str, list[str]] = {}
-    for r in heads.collect():
-        found.setdefault(r.head, []).append(r.file_path)
-    return found
-
-
-def _read_by_name(spark: SparkSession, path: str, multi_line: bool, base: str | None = None) -> DataFrame:
-    """All CSV files below ``path`` united by column name: files are read together with those of the
-    same header only, as Spark takes one file's header for all and reads the others by position."""
-    reader = spark.read.options(**_CSV_OPTIONS | {"multiLine": str(multi_line).lower()})
-    if base is not None:
-        reader = reader.option("basePath", base)
-    groups = _files_by_header(spark, path)
-    if len(groups) <= 1:
-        return reader.csv(path)
-    out = None
-    for _, files in sorted(groups.items()):
-        df = reader.csv(sorted(files))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
-def read_runs(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One run-result CSV (or folder of them), columns by name. ``multi_line=False`` splits large
-    files among tasks; answers must then not contain line breaks."""
-    return typed_runs(_read_by_name(spark, path, multi_line))
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """One run-result CSV (or folder of them), columns by name; large files are split among tasks, also
+    with line breaks inside answers."""
+    return typed_runs(read_csv(spark, path))
 
 
-def read_labelled_runs(spark: SparkSession, paths: Mapping[str, str] | str, label_col: str = "label",
-                       multi_line: bool = True) -> DataFrame:
+def read_labelled_runs(spark: SparkSession, paths: Mapping[str, str] | str, label_col: str = "label") -> DataFrame:
     """Many run tables as one long table with a ``label`` column.
 
     ``paths`` is either ``{label: path}`` (each read, tagged and unioned by name, missing
@@ -91,10 +64,10 @@ def read_labelled_runs(spark: SparkSession, paths: Mapping[str, str] | str, labe
     filter then prunes folders).
     """
     if isinstance(paths, str):
-        return typed_runs(_read_by_name(spark, paths, multi_line, base=paths))
+        return typed_runs(read_csv(spark, paths, base=paths))
     out = None
     for label, path in paths.items():
-        df = read_runs(spark, path, multi_line).withColumn(label_col, F.lit(label))
+        df = read_runs(spark, path).withColumn(label_col, F.lit(label))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
