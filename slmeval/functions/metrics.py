@@ -13,10 +13,11 @@ MIB = 1024 * 1024
 def elapsed_seconds(start, end, digits: int = 3) -> Column:
     """``round(end - start, 3)`` for start/end in seconds (``time.time()`` values).
 
-    Spark rounds the decimal text half up; Python's ``round`` works on the binary double
-    (``2.6755 -> 2.675`` against ``2.676``), a difference of at most one unit in the last place.
+    Rounded as Python rounds: half to even on the exact binary value.
     """
-    return F.round(col(end).cast("double") - col(start).cast("double"), digits)
+    from .format import round_to
+
+    return round_to(col(end).cast("double") - col(start).cast("double"), digits)
 
 
 def elapsed_between(start_ts, end_ts, digits: int = 3) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .._util import col
 from ..functions.arrays import close_loop, radar_angles
 from ..functions.metrics import relative_score
+from .exact import exact_means
 from .ordered import ordered_scan
 
 # The averaged metrics and their order on the radar chart.
@@ -47,16 +48,16 @@ def mean_by_label(
     metrics: Mapping[str, str] | None = None,
     digits: int | None = None,
 ) -> DataFrame:
-    """Mean of each metric per label, NULL and NaN skipped. One partial + final aggregate.
+    """Mean of each metric per label, NULL and NaN skipped, whatever the partitioning to the last bit
+    (:mod:`slmeval.operators.exact`).
 
     ``digits`` rounds the means; scores are meant to be taken from unrounded ones.
     """
     metrics = dict(metrics or DEFAULT_METRICS)
-    aggs = []
-    for out, src in metrics.items():
-        m = F.avg(missing_to_null(src))
-        aggs.append((F.round(m, digits) if digits is not None else m).alias(out))
-    return runs.groupBy(F.col(label_col).alias("label")).agg(*aggs)
+    clean = {src: f"m{i}" for i, src in enumerate(dict.fromkeys(metrics.values()))}
+    rows = runs.select(F.col(label_col).alias("label"), *[missing_to_null(src).alias(n) for src, n in clean.items()])
+    means = exact_means(rows, ["label"], {out: clean[src] for out, src in metrics.items()})
+    return means if digits is None else means.withColumns({out: F.round(out, digits) for out in metrics})
 
 
 def run_summary(
@@ -75,12 +76,10 @@ def run_summary(
             "avg_cpu": "cpu_usage",
         }
     )
-    aggs = []
-    for out, src in metrics.items():
-        c = missing_to_null(src) if skip_missing else F.col(src).cast("double")
-        m = F.avg(c)
-        aggs.append((F.round(m, digits) if digits is not None else m).alias(out))
-    return runs.agg(*aggs)
+    clean = {src: f"m{i}" for i, src in enumerate(dict.fromkeys(metrics.values()))}
+    rows = runs.select(*[(missing_to_null(src) if skip_missing else F.col(src).cast("double")).alias(n) for src, n in clean.items()])
+    means = exact_means(rows, [], {out: clean[src] for out, src in metrics.items()})
+    return means if digits is None else means.withColumns({out: F.round(out, digits) for out in metrics})
 
 
 def relative_scores(
@@ -149,6 +148,29 @@ def empirical_cdf(
     return s.select(*labels, "value", rank.alias("rank"), (rank / F.col("_n")).alias("cdf"))
 
 
+def sketch_rank_error(k: int) -> float:
+    """The rank error of one quantile of a KLL sketch of size ``k``, with 99 % confidence (published fit)."""
+    return 2.296 / k**0.9723
+
+
+def sketch_cdf(df: DataFrame, label_col: str | Sequence[str], value_col: str, points: int = 100, k: int = 800) -> DataFrame:
+    """(labels..., point, cdf, value): ``points`` points of each label's CDF from a mergeable quantile sketch.
+
+    One aggregation whatever the number of rows: partial sketches of a few kilobytes are merged, nothing is sorted or
+    collected. ``cdf`` is ``point / points`` and ``value`` a value of the column whose rank is off by at most
+    :func:`sketch_rank_error` (99 % confidence, 0.35 % for the default size). Missing values are dropped; a label
+    without values has no points. The chart of a billion rows needs no more than this; :func:`empirical_cdf` has
+    every row's exact rank.
+    """
+    labels = [label_col] if isinstance(label_col, str) else list(label_col)
+    v = drop_missing(df.select(*labels, F.col(value_col).cast("double").alias("value")), "value")
+    sketches = v.groupBy(*labels).agg(F.kll_sketch_agg_double("value", F.lit(k)).alias("sketch"))
+    ranks = F.array(*[F.lit((i + 1) / points) for i in range(points)])
+    rows = sketches.select(*labels, F.posexplode(F.arrays_zip(
+        ranks.alias("cdf"), F.kll_sketch_get_quantile_double("sketch", ranks).alias("value"))).alias("i", "p"))
+    return rows.select(*labels, (F.col("i") + 1).alias("point"), F.col("p.cdf").alias("cdf"), F.col("p.value").alias("value"))
+
+
 def unpivot_metrics(runs: DataFrame, label_col: str, metrics: Sequence[str]) -> DataFrame:
     """``(label, metric, value)`` long form, so several metric CDFs share one scan."""
     return runs.select(

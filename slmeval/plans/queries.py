@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import stats
@@ -42,7 +42,17 @@ FROM lineitem GROUP BY l_returnflag
 """
 
 
-# Sums of doubles depend on the order of addition: results are rounded here, never in the library.
+def _sql_mean(column: str) -> str:
+    """The exact sum of the binary values (whole numbers after scaling by 2^70), rounded once, over the count."""
+    return f"CAST(CAST(sum(CAST(({column}) * 2::DOUBLE^70 AS HUGEINT)) AS VARCHAR) AS DOUBLE) / 2::DOUBLE^70 / count({column})"
+
+
+_EXACT_AVG = f"""SELECT l_returnflag AS label, {_sql_mean('l_quantity')} AS avg_time, {_sql_mean('l_extendedprice')} AS avg_ram_after,
+       {_sql_mean('l_tax')} AS avg_cpu
+FROM lineitem GROUP BY l_returnflag"""
+
+
+# Means are exact in the library; queries whose SQL adds doubles in any order round here.
 _AVERAGES = ("avg_time", "avg_ram_after", "avg_cpu")
 
 
@@ -50,23 +60,22 @@ def _rounded(df, *columns, digits=6):
     return df.withColumns({c: F.round(c, digits) for c in (columns or [c for c, t in df.dtypes if t == "double"])})
 
 
-@register("mean_by_label", _RUN_AVG_SQL)
+@register("mean_by_label", _EXACT_AVG)
 def q_mean_by_label(spark, sf_dir):
-    return _rounded(stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir)))
+    """Equal to the last bit, whatever the partitioning."""
+    return stats.mean_by_label(fx.runs_from_lineitem(spark, sf_dir).repartition(7))
 
 
 @register(
     "run_summary",
-    """
-SELECT round(avg(l_quantity), 6) AS avg_time,
-       round(avg(l_discount * 1000.0), 6) AS avg_ram_before,
-       round(avg(l_extendedprice), 6) AS avg_ram_after,
-       round(avg(l_tax), 6) AS avg_cpu
+    f"""
+SELECT {_sql_mean('l_quantity')} AS avg_time, {_sql_mean('l_discount * 1000.0')} AS avg_ram_before,
+       {_sql_mean('l_extendedprice')} AS avg_ram_after, {_sql_mean('l_tax')} AS avg_cpu
 FROM lineitem
 """,
 )
 def q_run_summary(spark, sf_dir):
-    return _rounded(stats.run_summary(fx.runs_from_lineitem(spark, sf_dir)))
+    return stats.run_summary(fx.runs_from_lineitem(spark, sf_dir))
 
 
 _SCORES_SQL = """
@@ -732,10 +741,46 @@ def q_cdf_distinct_null_groups(spark, sf_dir):
     return stats.empirical_cdf(_events_with_nulls(spark, sf_dir), "kind", "value", points="distinct")
 
 
-@register("mean_with_nulls", _SQL_NULL_EVENTS + "SELECT kind AS label, round(avg(value), 6) AS avg_value FROM e GROUP BY kind")
+_SKETCH_POINTS = 100
+
+
+@register("sketch_cdf", f"""
+SELECT event_type, CAST(i AS INTEGER) AS point, i / {_SKETCH_POINTS}.0::DOUBLE AS cdf, true AS within_bound
+FROM (SELECT DISTINCT event_type FROM events), range(1, {_SKETCH_POINTS} + 1) r(i)
+""")
+def q_sketch_cdf(spark, sf_dir):
+    """The sketched curve; each of its values is looked up in the exact curve, whose ranks must hold the
+    point's within twice the stated error."""
+    ev = fx.table(spark, sf_dir, "events")
+    curve = stats.sketch_cdf(ev, "event_type", "value", points=_SKETCH_POINTS)
+    exact = stats.empirical_cdf(ev, "event_type", "value", points="distinct")
+    share = F.col("cdf") - F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy("event_type"))
+    exact = exact.select("event_type", "value", F.col("cdf").alias("upto"), share.alias("below"))
+    slack = 2 * stats.sketch_rank_error(800)
+    good = (F.col("below") - slack <= F.col("cdf")) & (F.col("cdf") <= F.col("upto") + slack)
+    return curve.join(exact, ["event_type", "value"], "left").select(
+        "event_type", F.col("point").cast("int").alias("point"), "cdf", F.coalesce(good, F.lit(False)).alias("within_bound"))
+
+
+@register("decimal_text", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, printf('%.2f', l_partkey / 8.0::DOUBLE) AS eighths,
+       printf('%.1f', l_extendedprice / 1000) AS thousands, printf('%.0f', l_suppkey / 2.0::DOUBLE) AS halves,
+       printf('%.3f', l_extendedprice * 1e20) AS large
+FROM lineitem
+""")
+def q_decimal_text(spark, sf_dir):
+    """Doubles printed with a fixed number of digits, decimal ties and whole numbers above 2^53 among them."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    return li.select(*fx.RUN_ORDER, fmt.fixed(F.col("l_partkey") / F.lit(8.0), 2).alias("eighths"),
+                     fmt.fixed(F.col("l_extendedprice") / 1000, 1).alias("thousands"),
+                     fmt.fixed(F.col("l_suppkey") / F.lit(2.0), 0).alias("halves"),
+                     fmt.fixed(F.col("l_extendedprice") * F.lit(1e20), 3).alias("large"))
+
+
+@register("mean_with_nulls", _SQL_NULL_EVENTS + f"SELECT kind AS label, {_sql_mean('value')} AS avg_value FROM e GROUP BY kind")
 def q_mean_with_nulls(spark, sf_dir):
     ev = _events_with_nulls(spark, sf_dir).withColumnRenamed("kind", "label")
-    return _rounded(stats.mean_by_label(ev, metrics={"avg_value": "value"}))
+    return stats.mean_by_label(ev, metrics={"avg_value": "value"})
 
 
 @register("loss_series_null_run", """
