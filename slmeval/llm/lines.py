@@ -48,40 +48,58 @@ SLICE_CHARS = 400_000  # arrays of a slice stay in the processor caches
 SEEN = 200_000  # lines a task remembers so as not to sign a copy again
 HOT_SAMPLE, HOT_COUNT, SALTS = 64, 64, 64
 BLOCK = 256
+FEW = 12  # lines that are compared without matrices
 COLUMNS = 4096
 MAX_BROADCAST = 1_000_000  # line ids, 8 bytes each
 
 _BASE = np.uint64(0x5851F42D4C957F2D)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _EMPTY = np.uint32(2**32 - 1)
 _rng = np.random.RandomState(5)
 _FILL = np.stack([_rng.permutation([j for j in range(BANDS * ROWS) if j != i]) for i in range(BANDS * ROWS)])
 _MIX = (_rng.randint(1, 2**62, BANDS * ROWS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 def _scramble(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
 
 
+def _windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial of each ``size`` neighbouring codes: halves are joined as long as the size is even."""
+    if size == 1:
+        return codes
+    if size % 2:
+        rest = _windows(codes, size - 1)
+        return rest[:-1] * _BASE + codes[size - 1 :] if len(rest) else rest
+    half = _windows(codes, size // 2)
+    factor = np.uint64(pow(int(_BASE), size // 2 * size, 1 << 64))  # another one for each size
+    return half[: -(size // 2)] * factor + half[size // 2 :] if len(half) else half
+
+
 def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the shingles of all lines, number of shingles of each line)."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    starts = np.cumsum(lengths) - lengths
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(_scramble(codes + np.uint64(1)) * _powers(_BASE, len(codes)))])
     counts = np.maximum(lengths - size + 1, 1)
-    width = np.repeat(np.minimum(lengths, size), counts)
-    at = ragged(starts, counts)
-    h = (sums[at + width] - sums[at]) * _powers(_INVERSE, len(codes) + 1)[at]
-    return _scramble(h + width.astype(np.uint64)), counts
+    inner = (codes + np.uint32(1)) * np.uint64(0xD6E8FEB86659FD93)
+    # a window is left out where it reaches over the end of its line; a short line is one window of its own
+    whole = np.ones(max(len(codes) - size + 1, 0), dtype=bool)
+    ends = np.cumsum(lengths)
+    for k in range(1, size):
+        at = ends - k
+        whole[at[(at >= 0) & (at < len(whole))]] = False
+    h = _windows(inner, size)[whole] if len(whole) else np.zeros(0, dtype=np.uint64)
+    short = np.flatnonzero(lengths < size)
+    if len(short):
+        padded = np.zeros((len(short), size), dtype=np.uint64)
+        own = lengths[short]
+        row = np.repeat(np.arange(len(short)), own)
+        padded[row, ragged(np.zeros(len(short), dtype=np.int64), own)] = inner[ragged(ends[short] - own, own)]
+        single = _windows(padded.ravel(), size)[::size]
+        place = np.cumsum(counts)[short] - 1 - np.arange(len(short))
+        h = np.insert(h, place, single)
+    return _scramble(h), counts
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -135,12 +153,31 @@ def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
+def _distinct(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes of (row, shingle), row of each)."""
+    h, counts = shingle_hashes(lines)
+    row = np.repeat(np.arange(len(lines)), counts)
+    keys, at = np.unique(_scramble(h ^ (row.astype(np.uint64) * _BASE)), return_index=True)
+    return keys, row[at]
+
+
+def jaccards(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each pair, by the 64-bit hashes of the shingles."""
+    (x, row), (y, other) = _distinct(left), _distinct(right)
+    sizes = np.bincount(row, minlength=len(left)) + np.bincount(other, minlength=len(left))
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    shared = np.bincount(row[y[at] == x], minlength=len(left))
+    return shared / (sizes - shared)
+
+
 def _similar(a: Column, b: Column, threshold: float) -> Column:
     @F.arrow_udf("boolean")
     def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield pa.array([jaccard(x.as_py(), y.as_py()) >= threshold for x, y in zip(left, right)], type=pa.bool_())
-            _shingles.cache_clear()
+            left, right, found = left.to_pylist(), right.to_pylist(), []
+            for i, j in slices_by_size([x + y for x, y in zip(left, right)], SLICE_CHARS):
+                found.append(jaccards(left[i:j], right[i:j]) >= threshold)
+            yield pa.array(np.concatenate(found) if found else [], type=pa.bool_())
 
     return similar(a, b)
 
@@ -191,6 +228,11 @@ def _link_blocks(threshold: float):
         component = np.array([r[1] for r in rows], dtype=np.int64)
         if (component == component[0]).all():
             return []
+        if len(rows) <= FEW and not probes:
+            near = np.zeros((len(rows), len(rows)), dtype=bool)
+            for i, x in enumerate(rows):
+                near[i, [j for j in range(i) if rows[j][1] != x[1] and jaccard(rows[j][2], x[2]) >= threshold]] = True
+            return _joining(component, np.array([r[0] for r in rows], dtype=np.int64), near.T)
         near = _overlaps([r[2] for r in rows], threshold)
         if probes:  # own lines were compared with one another before
             near[: len(own), : len(own)] = False
@@ -277,13 +319,13 @@ def line_components(df: DataFrame, id: str = "doc_id", text: str = "text", thres
     texts = reliable_checkpoint(found.groupBy("line").agg(F.first("text").alias("text")))
     compared = reliable_checkpoint(shared.filter("line <> rep").select(F.col("line").alias("a"), F.col("rep").alias("b")).distinct())
     links = reliable_checkpoint(_verified(compared, texts, threshold))
-    members = shared.select("key", "line")
+    members, classes = shared.select("key", "line"), reliable_checkpoint(connected_components(links))
     for probing in (False, True):
-        classes = reliable_checkpoint(connected_components(links))
         more = _links_between(members, classes, texts, threshold, probing)
-        if more is not None:
-            links = reliable_checkpoint(links.union(more))
-    return connected_components(links)
+        if more is not None:  # goes on from the components found: each is a star around its smallest line
+            stars = classes.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            classes = reliable_checkpoint(connected_components(stars.union(more)))
+    return classes
 
 
 def _links_between(members: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float, probing: bool) -> DataFrame | None:
@@ -342,7 +384,10 @@ def drop_duplicate_lines(df: DataFrame, id: str = "doc_id", text: str = "text",
     drops = reliable_checkpoint(drops)
     keyed = df.withColumn(h, F.xxhash64(F.col(text)))
     joined = keyed.join(drops, (keyed[h] == drops[h]) & keyed[id].eqNullSafe(drops[i]), "left").drop(drops[h])
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, k: ~F.array_contains(F.col(gone), k))
+    # positions that stay by one hash set, so the work is linear in the lines of a text
+    split = F.split(F.col(text), "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    kept = F.transform(stay, lambda k: F.get(split, k))
     joined = joined.withColumn(lines, F.when(F.col(gone).isNotNull(), kept))
     joined = joined.filter(F.col(gone).isNull() | F.exists(lines, lambda x: x.rlike(HAS_WORD)))
     now = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))

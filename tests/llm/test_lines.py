@@ -127,3 +127,21 @@ def test_banding_recall():
 def test_very_short_lines_are_exact():
     keys = lines.band_keys(["a", "b", "a"])
     assert (keys[0] == keys[2]).all() and not (keys[0] == keys[1]).any()
+
+
+def test_removal_is_linear_in_the_lines_of_a_text(spark):
+    import time
+
+    text = "\n".join(["the same line again"] * 100_000 + [f"line number {i * 7919} of its own" for i in range(50)])
+    df = spark.createDataFrame([(1, text), (2, "the same line again\nother words here")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r.text.split("\n") for r in lines.drop_duplicate_lines(df).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[1][0] == "the same line again" and got[1].count("the same line again") == 1 and got[2] == ["other words here"]
+
+
+def test_pairs_in_bulk_equal_pairs_one_by_one():
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choices("abc ", k=rnd.randint(1, 30))) for _ in range(60)]
+    left, right = [rnd.choice(texts) for _ in range(400)], [rnd.choice(texts) for _ in range(400)]
+    assert lines.jaccards(left, right).tolist() == [lines.jaccard(x, y) for x, y in zip(left, right)]
