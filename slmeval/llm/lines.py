@@ -153,20 +153,22 @@ def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
     return shared / (len(x) + len(y) - shared)
 
 
-def _distinct(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct hashes of (row, shingle), row of each)."""
+def _distinct(lines: list[str], bits: int) -> np.ndarray:
+    """Sorted distinct keys of (row, shingle): the row in the upper ``bits``, a hash below."""
     h, counts = shingle_hashes(lines)
-    row = np.repeat(np.arange(len(lines)), counts)
-    keys, at = np.unique(_scramble(h ^ (row.astype(np.uint64) * _BASE)), return_index=True)
-    return keys, row[at]
+    row = np.repeat(np.arange(len(lines), dtype=np.uint64), counts)
+    keys = np.sort((row << np.uint64(64 - bits)) | (h >> np.uint64(bits)))
+    return keys[np.append(True, keys[1:] != keys[:-1])]
 
 
 def jaccards(left: list[str], right: list[str]) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of each pair, by the 64-bit hashes of the shingles."""
-    (x, row), (y, other) = _distinct(left), _distinct(right)
-    sizes = np.bincount(row, minlength=len(left)) + np.bincount(other, minlength=len(left))
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    shared = np.bincount(row[y[at] == x], minlength=len(left))
+    """Jaccard similarity of the shingle sets of each pair, by hashes of the shingles (50 bits or more in a slice)."""
+    n = len(left)
+    bits = max(1, (n - 1).bit_length())
+    x, y = _distinct(left, bits), _distinct(right, bits)
+    both = np.sort(np.concatenate([x, y]))
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(64 - bits)).astype(np.int64), minlength=n)
+    sizes = np.bincount((both >> np.uint64(64 - bits)).astype(np.int64), minlength=n)
     return shared / (sizes - shared)
 
 
@@ -186,13 +188,13 @@ def _overlaps(lines: list[str], threshold: float) -> np.ndarray:
     """Matrix of pairs with a Jaccard similarity of at least the threshold."""
     h, counts = shingle_hashes(lines)
     number, distinct = pd.factorize(h)
-    pairs = np.unique(np.repeat(np.arange(len(lines)), counts) * len(distinct) + number)
-    row, column = np.divmod(pairs, len(distinct))
+    pairs = np.sort(number * len(lines) + np.repeat(np.arange(len(lines)), counts))  # by shingle, then line
+    column, row = np.divmod(pairs[np.append(True, pairs[1:] != pairs[:-1])], len(lines))
     sizes = np.bincount(row, minlength=len(lines))
     shared = np.bincount(column, minlength=len(distinct)) > 1  # others are in no intersection
-    row, column = row[shared[column]], (np.cumsum(shared) - 1)[column[shared[column]]]
-    order = np.argsort(column, kind="stable")
-    row, column, common = row[order], column[order], np.zeros((len(lines), len(lines)), dtype=np.float32)
+    inner = shared[column]
+    row, column = row[inner], (np.cumsum(shared) - 1)[column[inner]]
+    common = np.zeros((len(lines), len(lines)), dtype=np.float32)
     for start in range(0, int(shared.sum()), COLUMNS):
         a, b = np.searchsorted(column, [start, start + COLUMNS])
         x = np.zeros((len(lines), COLUMNS), dtype=np.float32)
