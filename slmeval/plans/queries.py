@@ -956,3 +956,112 @@ def q_runs_csv_stream(spark, sf_dir):
     stream = spark.readStream.schema(runs.schema).parquet(f"{base}/in")
     sru.write_runs_stream(stream, f"{base}/out", f"{base}/ck").trigger(availableNow=True).start().awaitTermination()
     return _rounded(stats.mean_by_label(sr.read_runs(spark, f"{base}/out")))
+
+
+# --------------------------------------------------------------------------------------
+# 10. streams with ordered state, packed frames
+
+from ..sources import frames as sfr  # noqa: E402
+from ..streaming import deltas as sde  # noqa: E402
+from ..streaming import hooks as sho  # noqa: E402
+from ..streaming import series as sse  # noqa: E402
+
+ARRIVALS = 3
+
+
+def _arrivals(spark, rows, position, source, step):
+    """Deal ``rows`` to ``ARRIVALS`` arrivals by equal ranges of ``position`` (rows without one come first),
+    append them to the folder ``source`` one after another and call ``step`` after each with a stream of it."""
+    staged = f"{source}-staged"
+    rows.withColumn("_position", position.cast("double")).write.parquet(staged)
+    table = spark.read.parquet(staged)
+    low, high = table.agg(F.min("_position"), F.max("_position")).first()
+    width = ((high or 0.0) - (low or 0.0)) / ARRIVALS or 1.0
+    number = F.coalesce(F.least(F.floor((F.col("_position") - F.lit(low)) / F.lit(width)), F.lit(ARRIVALS - 1)), F.lit(0))
+    for k in range(ARRIVALS):
+        table.filter(number == k).drop("_position").write.mode("append").parquet(source)
+        query = step(spark.readStream.schema(rows.schema).parquet(source)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise RuntimeError(str(query.exception()))
+
+
+@register("counter_delta_stream", ORACLE_SQL["counter_delta"])
+def q_counter_delta_stream(spark, sf_dir):
+    """Counter deltas of a stream that is stopped and started again after each arrival; a device's rows of
+    a micro-batch are spread over tasks."""
+    base = scratch_path(spark, "delta-stream")
+    _arrivals(spark, fx.counters_from_events(spark, sf_dir), F.unix_micros(F.col("ts").cast("timestamp")), f"{base}/in",
+              lambda s: sde.write_counter_deltas(s, f"{base}/table", f"{base}/ck", tie_cols=["event_id"]))
+    return sde.read_counter_deltas(spark, f"{base}/table").select("device_id", "ts", "event_id", "d_total", "d_idle", "cpu_pct")
+
+
+LOG_DELAY = 500
+
+
+@register("loss_series_stream", ORACLE_SQL["loss_series"])
+def q_loss_series_stream(spark, sf_dir):
+    """Step numbers given while the records arrive, up to ``LOG_DELAY`` numbers out of order, by a stream
+    that is stopped and started again after each arrival."""
+    base = scratch_path(spark, "series-stream")
+    arrival = F.col("seq") + F.pmod(F.xxhash64("seq"), F.lit(LOG_DELAY))
+    _arrivals(spark, fx.logs_from_events(spark, sf_dir), arrival, f"{base}/in",
+              lambda s: sse.write_loss_series(s, f"{base}/table", f"{base}/ck", delay=LOG_DELAY))
+    return sse.read_loss_series(spark, f"{base}/table").drop("late")
+
+
+@register("log_hook_stream", """
+WITH r AS (SELECT event_type, value FROM events),
+rec AS (
+  SELECT 'loss' AS kind, value AS loss FROM r WHERE event_type IN ('click', 'purchase')
+  UNION ALL
+  SELECT 'eval_loss', CASE WHEN event_type = 'purchase' THEN value / 2 ELSE value END FROM r
+  WHERE event_type IN ('view', 'purchase'))
+SELECT kind, count(*) AS records, count(*) AS hooked, min(loss) AS least, max(loss) AS largest FROM rec GROUP BY kind
+""")
+def q_log_hook_stream(spark, sf_dir):
+    """A hook that reports each micro-batch's loss range under its batch id, against the ledger's counts."""
+    base = scratch_path(spark, "hook-stream")
+
+    def report(records, batch_id):
+        records.groupBy("kind").agg(F.count(F.lit(1)).alias("hooked"), F.min("loss").alias("least"),
+                                    F.max("loss").alias("largest")).write.mode("overwrite").parquet(f"{base}/report/batch={batch_id}")
+
+    _arrivals(spark, fx.logs_from_events(spark, sf_dir), F.col("seq"), f"{base}/in",
+              lambda s: sho.write_log_hook(s, report, f"{base}/ledger", f"{base}/ck"))
+    entered = sho.read_ledger(spark, f"{base}/ledger").groupBy("kind").agg(F.sum("records").alias("records"))
+    hooked = spark.read.parquet(f"{base}/report").groupBy("kind").agg(
+        F.sum("hooked").alias("hooked"), F.min("least").alias("least"), F.max("largest").alias("largest"))
+    return entered.join(hooked, "kind", "full").select("kind", "records", "hooked", "least", "largest")
+
+
+def _packed_pages(spark, sf_dir, path):
+    """The pages as frames, packed at ``path``."""
+    html = F.encode("html", "UTF-8")
+    pages = fx.table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("path"),
+        F.timestamp_seconds(F.lit(0)).alias("modificationTime"), F.octet_length(html).cast("long").alias("length"),
+        html.alias("content"))
+    sfr.pack_frames(pages, path)
+
+
+def _frame_digests(frames):
+    return frames.select(F.expr("CAST(substring(path, 6) AS BIGINT)").alias("page_id"), "length", F.md5("content").alias("md5"))
+
+
+@register("packed_frames", ORACLE_SQL["read_frames"])
+def q_packed_frames(spark, sf_dir):
+    """Frames packed by bytes and read back."""
+    path = f"{scratch_path(spark, 'packed-frames')}/packed"
+    _packed_pages(spark, sf_dir, path)
+    return _frame_digests(sfr.read_packed_frames(spark, path))
+
+
+@register("packed_frames_stream", ORACLE_SQL["read_frames"])
+def q_packed_frames_stream(spark, sf_dir):
+    """Packed frames read as a stream of micro-batches bounded by bytes."""
+    base = scratch_path(spark, "packed-frames")
+    _packed_pages(spark, sf_dir, f"{base}/packed")
+    stream = sfr.read_packed_frames(spark, f"{base}/packed", stream=True, maxBytesPerTrigger=1 << 30)
+    _run_available_now(_frame_digests(stream), f"{base}/out", f"{base}/ck")
+    return spark.read.parquet(f"{base}/out")

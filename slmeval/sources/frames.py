@@ -1,8 +1,15 @@
-"""Image frames as binary rows (``path, modificationTime, length, content``), batch or stream."""
+"""Image frames as binary rows (``path, modificationTime, length, content``), batch or stream.
+
+Frames are small files, and listing and opening one each is what a scan of them costs. ``pack_frames``
+writes them as Parquet rows, in files that follow the bytes of the frames, not their number;
+``read_packed_frames`` reads those as a batch (the times and lengths without the contents, if no more
+is asked for) or as a stream.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FRAME_SCHEMA = T.StructType(
@@ -21,3 +28,26 @@ def read_frames(spark: SparkSession, path: str, glob: str | None = None, stream:
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.options(**options).load(path)
+
+
+# A packed file holds about as many bytes of frames.
+FILE_BYTES = 256 << 20
+
+
+def pack_frames(frames: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """Write frames (the columns of ``FRAME_SCHEMA``; others are left out) as packed files at ``path``.
+
+    The number of files is the sum of the lengths over ``file_bytes``. Frames keep no order. A NULL
+    length counts as none.
+    """
+    names = FRAME_SCHEMA.names
+    total = frames.agg(F.sum("length")).first()[0] or 0
+    files = max(1, -(-total // file_bytes))
+    frames.select(*names).repartition(files).write.parquet(path)
+
+
+def read_packed_frames(spark: SparkSession, path: str, stream: bool = False, **options) -> DataFrame:
+    """The frames of packed files; bound a stream's micro-batches by ``maxBytesPerTrigger`` or
+    ``maxFilesPerTrigger``."""
+    reader = (spark.readStream if stream else spark.read).schema(FRAME_SCHEMA)
+    return reader.options(**options).parquet(path)

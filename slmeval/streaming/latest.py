@@ -11,12 +11,13 @@ leaves the version before it untouched, and the replayed micro-batch writes its
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.telemetry import latest_reading
+from .versions import folder as _folder
+from .versions import versions as _versions
 
 
 def latest_reading_stream(readings: DataFrame, device_col: str, ts_col: str, value_cols: Sequence[str]) -> DataFrame:
@@ -24,24 +25,6 @@ def latest_reading_stream(readings: DataFrame, device_col: str, ts_col: str, val
     return latest_reading(readings, device_col, ts_col, value_cols)
 
 
-def _folder(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def _versions(spark: SparkSession, table_path: str) -> list[int]:
-    """Complete versions, ascending; any error but a missing table folder is raised."""
-    path, fs = _folder(spark, table_path)
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        m = re.fullmatch(r"v(\d+)", status.getPath().getName())
-        if m and fs.exists(_folder(spark, f"{status.getPath().toString()}/_SUCCESS")[0]):
-            found.append(int(m[1]))
-    return sorted(found)
-
-
 def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
     """The newest complete version of the table."""
     versions = _versions(spark, table_path)
