@@ -4,9 +4,11 @@ A streaming aggregate (``max_by`` per device) in update mode; ``write_latest`` m
 micro-batch's changed devices with ``foreachBatch`` (file sinks take only append output), which
 is the on-screen "rewrite the three lines" of the reference.
 
-The table is a folder of versions, one per micro-batch. A version is complete when Spark has
-committed it (its ``_SUCCESS`` file); readers take the newest complete one. A crash in mid-write
-leaves the version before it untouched, and the replayed micro-batch writes its version anew.
+A micro-batch writes only the devices that it changes (``delta``); every ``compact_every`` micro-batches
+the whole table is merged into a new ``base``. Both are folders of versions, complete when Spark has committed
+them (:mod:`slmeval.streaming.versions`). Readers merge the newest complete base with the complete deltas
+after it. A crash in mid-write leaves all of those untouched, and the replayed micro-batch writes its delta
+anew; a merge that did not end is left to the next one.
 """
 
 from __future__ import annotations
@@ -16,8 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.telemetry import latest_reading
-from .versions import folder as _folder
-from .versions import versions as _versions
+from . import versions as vs
 
 
 def latest_reading_stream(readings: DataFrame, device_col: str, ts_col: str, value_cols: Sequence[str]) -> DataFrame:
@@ -25,28 +26,42 @@ def latest_reading_stream(readings: DataFrame, device_col: str, ts_col: str, val
     return latest_reading(readings, device_col, ts_col, value_cols)
 
 
+def _merged(spark: SparkSession, table_path: str) -> DataFrame | None:
+    """The rows of the newest base and of the deltas after it."""
+    bases = vs.versions(spark, f"{table_path}/base")[-1:]
+    deltas = [v for v in vs.versions(spark, f"{table_path}/delta") if not bases or v > bases[0]]
+    parts = [f"{table_path}/base/v{v}" for v in bases] + [f"{table_path}/delta/v{v}" for v in deltas]
+    return spark.read.parquet(*parts) if parts else None
+
+
 def read_latest(spark: SparkSession, table_path: str) -> DataFrame:
-    """The newest complete version of the table."""
-    versions = _versions(spark, table_path)
-    if not versions:
+    """The newest reading of each device of the micro-batches written so far: one aggregation over the
+    base and the deltas. The first two columns are the device and its time."""
+    rows = _merged(spark, table_path)
+    if rows is None:
         raise FileNotFoundError(f"no complete version below {table_path}")
-    return spark.read.parquet(f"{table_path}/v{versions[-1]}")
+    device_col, ts_col, *values = rows.columns
+    return latest_reading(rows, device_col, ts_col, values)
 
 
-def write_latest(latest: DataFrame, table_path: str, checkpoint: str, device_col: str, ts_col: str):
+def write_latest(latest: DataFrame, table_path: str, checkpoint: str, device_col: str, ts_col: str, compact_every: int = 16):
     """A writer that keeps ``table_path`` equal to the newest reading of each device."""
     values = [c for c in latest.columns if c not in (device_col, ts_col)]
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        versions = [v for v in _versions(spark, table_path) if v < epoch_id]
-        rows = batch.select(device_col, ts_col, *values)
-        if versions:
-            rows = spark.read.parquet(f"{table_path}/v{versions[-1]}").unionByName(rows)
-        # also where a replayed batch brings a reading that the table has already
-        latest_reading(rows, device_col, ts_col, values).write.mode("overwrite").parquet(f"{table_path}/v{epoch_id}")
-        for v in versions[:-1]:  # the version before stays for its readers
-            path, fs = _folder(spark, f"{table_path}/v{v}")
-            fs.delete(path, True)
+        vs.write_version(batch.select(device_col, ts_col, *values), f"{table_path}/delta", epoch_id)
+        if (epoch_id + 1) % compact_every:
+            return
+        old = [v for v in vs.versions(spark, f"{table_path}/base") if v < epoch_id]
+        # from the base before, also where a replay finds one of its own
+        rows = vs.read_versions(spark, f"{table_path}/delta", [
+            v for v in vs.versions(spark, f"{table_path}/delta") if v <= epoch_id and (not old or v > old[-1])])
+        if old:
+            rows = rows.unionByName(vs.read_versions(spark, f"{table_path}/base", old[-1:]))
+        vs.write_version(latest_reading(rows, device_col, ts_col, values), f"{table_path}/base", epoch_id)
+        vs.drop_older(spark, f"{table_path}/base", epoch_id)
+        if old:  # what the base before holds; the deltas after it stay for its readers
+            vs.drop_older(spark, f"{table_path}/delta", old[-1] + 1)
 
     return latest.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(merge)

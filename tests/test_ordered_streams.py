@@ -174,3 +174,28 @@ def test_packed_files_follow_the_bytes(spark, tmp_path):
     q.awaitTermination()
     assert len([p for p in (tmp_path / "ck" / "commits").iterdir() if p.name.isdigit()]) == 3
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_the_latest_table_writes_changed_devices_and_merges(spark, tmp_path):
+    from slmeval.streaming import latest as sl
+
+    schema = "device_id string, ts timestamp, cpu double"
+    src, table, ck = str(tmp_path / "in"), str(tmp_path / "latest"), str(tmp_path / "ck")
+    step = lambda s: sl.write_latest(sl.latest_reading_stream(s, "device_id", "ts", ["cpu"]), table, ck,
+                                     "device_id", "ts", compact_every=2)
+    _feed(spark, [(f"d{i}", T0, 1.0 * i) for i in range(50)], schema, src, step)
+    want = {f"d{i}": 1.0 * i for i in range(50)}
+    for k in range(1, 7):
+        if k == 4:  # the stream replays a batch whose merge was not committed
+            (tmp_path / "ck" / "commits" / "3").unlink()
+            (tmp_path / "ck" / "commits" / ".3.crc").unlink(missing_ok=True)
+            (tmp_path / "latest" / "base" / "v3" / "_SUCCESS").unlink()
+            assert {r.device_id: r.cpu for r in sl.read_latest(spark, table).collect()} == want
+        late = ("d9", T0 - dt.timedelta(seconds=k), -1.0)
+        _feed(spark, [(f"d{k}", T0 + dt.timedelta(seconds=k), 100.0 + k), late], schema, src, step)
+        want[f"d{k}"] = 100.0 + k
+        assert {r.device_id: r.cpu for r in sl.read_latest(spark, table).collect()} == want
+        newest = max((tmp_path / "latest" / "delta").iterdir(), key=lambda p: int(p.name[1:]))
+        assert {r.device_id for r in spark.read.parquet(str(newest)).collect()} <= {f"d{k}", "d9"}  # not the whole table
+    assert sorted(p.name for p in (tmp_path / "latest" / "base").iterdir()) == ["v3", "v5"]
+    assert sorted(p.name for p in (tmp_path / "latest" / "delta").iterdir()) == ["v3", "v4", "v5", "v6"]
