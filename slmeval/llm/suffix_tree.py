@@ -13,11 +13,13 @@ of its texts (numpy and a hash table, merged before they leave the task), Spark
 the counts of shorter contexts follow from those. Contexts of up to ``TOP`` symbols, whose number the
 alphabet bounds, are gathered and broadcast. The longer ones are a checkpointed table, dealt into
 buckets by their last ``TOP + 1`` symbols, so that a bucket holds what smoothing, pruning and looking up
-its contexts need. As for words, a block asks each bucket once for its distinct windows.
+its contexts need. As for words, a block asks each bucket once for its distinct windows. Buckets and
+requests are sorted together and streamed: a task holds one bucket's contexts and a batch of requests, and
+the requests of a bucket are dealt over groups whose number follows the data.
 
 Word counts (``base_score``) need the exact count of every word of every document, and the
 vocabulary grows with the corpus, so it is never gathered: documents are dealt into blocks of
-about ``BLOCK_CHARS`` characters by their id; a block asks once for each distinct word, the requests
+about ``BLOCK_CHARS`` characters by id and text; a block asks once for each distinct word, the requests
 are added up over all blocks by word, and the answers go back to the block. A word is known by its
 64-bit hash (two words share one with a chance of about n^2 / 2^65 over n distinct words).
 
@@ -47,6 +49,8 @@ MIN_DIVERGENCE = 0.005
 BLOCK_CHARS = 12_000_000
 SMALL_SLICE = 400_000  # arrays of a slice stay in the processor caches
 MERGE_ROWS = 3_000_000
+MAX_BUCKETS = 1024
+LOOK_UP_BYTES = 4_000_000  # of requests and answers in an output batch
 ASK_WORDS = 1_500_000
 # Bytes that occur in no UTF-8 text: the end symbol, and what stands before the first symbol.
 END, START = 0xFE, 0xFF
@@ -249,25 +253,90 @@ def unpack(blob: bytes) -> np.ndarray:
     return codes.view(np.uint64).ravel()
 
 
+def pack_scores(scores: np.ndarray) -> bytes:
+    """Scores repeat where windows back off to the same context: sorted distinct values, then a number each."""
+    values, number = np.unique(scores, return_inverse=True)
+    width = 2 if len(values) <= 1 << 16 else 4
+    columns = [a.view(np.uint8).reshape(-1, k).T.tobytes() for a, k in ((values, 8), (number.astype(f"<u{width}"), width))]
+    head = np.array([len(values), len(scores)], dtype=np.int64).tobytes()
+    return zstandard.ZstdCompressor(1).compress(head + b"".join(columns))
+
+
+def unpack_scores(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+    n_values, n = raw[:16].view(np.int64).tolist()
+    width = 2 if n_values <= 1 << 16 else 4
+    values = np.ascontiguousarray(raw[16 : 16 + 8 * n_values].reshape(8, -1).T).view(np.float64).ravel()
+    number = np.ascontiguousarray(raw[16 + 8 * n_values :].reshape(width, n).T).view(f"<u{width}").ravel()
+    return values[number]
+
+
+LOOKED_UP = "block bigint, codes binary, scores binary"
+
+
 def _look_up(top):
-    def run(asked: pa.Table, longer: pa.Table) -> pa.Table:
-        length, code = longer.column("length").to_numpy(), longer.column("code").to_numpy().view(np.uint64)
-        logp, backoff = longer.column("logp").to_numpy(), longer.column("backoff").to_numpy()
+    """Rows sorted by (bucket, salt), a bucket's contexts before what is asked of them -> (block, codes,
+    scores). One bucket's contexts and one batch of requests are held at a time."""
+
+    def levels_of(parts: list[tuple[np.ndarray, ...]]) -> Tree:
+        length, code, logp, backoff = (np.concatenate(c) for c in zip(*parts)) if parts else (np.empty(0, dtype=np.uint64),) * 4
         levels = list(top.value)
         for k in range(TOP + 1, DEPTH + 1):
             at = np.flatnonzero(length == k)
             at = at[np.argsort(code[at])]
             contexts, first = np.unique(code[at] >> np.uint64(8), return_index=True)
             levels.append((code[at], logp[at], contexts, backoff[at][first]))
-        tree = Tree(levels)
-        codes = asked.column("codes").to_pylist()
-        scores = [tree.score(unpack(c)).tobytes() for c in codes]
-        return pa.table({"block": asked.column("block"), "codes": pa.array(codes, pa.binary()),
-                         "scores": pa.array(scores, pa.binary())})
+        return Tree(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, parts, tree = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, salt = batch.column("bucket").to_numpy(), batch.column("salt").to_numpy()
+            asks = pc.is_valid(batch.column("block")).to_numpy(zero_copy_only=False)
+            change = (np.diff(bucket) != 0) | (np.diff(salt) != 0) | (asks[1:] != asks[:-1])
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            blocks, codes, scores, held = [], [], [], 0
+            for a, b in zip(edges, edges[1:]):
+                if (bucket[a], salt[a]) != group:
+                    group, parts, tree = (bucket[a], salt[a]), [], None
+                rows = batch.slice(a, b - a)
+                if not asks[a]:
+                    length, code, logp, backoff = (rows.column(c).to_numpy() for c in ("length", "code", "logp", "backoff"))
+                    parts.append((length, code.view(np.uint64), logp, backoff))
+                    continue
+                if tree is None:
+                    tree, parts = levels_of(parts), []
+                for block, blob in zip(rows.column("block"), rows.column("codes")):
+                    asked = blob.as_py()
+                    blocks.append(block.as_py())
+                    codes.append(asked)
+                    scores.append(pack_scores(tree.score(unpack(asked))))
+                    held += len(asked) + len(scores[-1])
+                    if held > LOOK_UP_BYTES:
+                        yield _looked_up(blocks, codes, scores)
+                        blocks, codes, scores, held = [], [], [], 0
+            yield _looked_up(blocks, codes, scores)
 
     return run
 
 
+def _looked_up(blocks: list[int], codes: list[bytes], scores: list[bytes]) -> pa.RecordBatch:
+    arrays = [pa.array(blocks, pa.int64()), pa.array(codes, pa.binary()), pa.array(scores, pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "codes", "scores"])
+
+
+def look_up_windows(asked: DataFrame, longer: DataFrame, top, salts: int) -> DataFrame:
+    """(block, codes, scores) of the requests (block, bucket, codes). The requests of a bucket are dealt
+    over ``salts`` groups, each with a copy of the bucket's contexts, whose number the alphabet bounds."""
+    contexts = longer.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "length", "code", "logp", "backoff")
+    requests = asked.select("bucket", F.pmod("block", F.lit(salts)).cast("int").alias("salt"), "block", "codes")
+    rows = contexts.unionByName(requests, allowMissingColumns=True).repartition("bucket", "salt")
+    rows = rows.sortWithinPartitions("bucket", "salt", F.col("block").asc_nulls_first())
+    return rows.mapInArrow(_look_up(top), LOOKED_UP)
+
+
 def _ask_windows(buckets: int):
     """Rows of a block partition (id, text, train, block) -> (block, bucket, codes): a block's distinct
     windows, once in a run of about ``MERGE_ROWS`` of them."""
@@ -317,7 +386,7 @@ class Answers:
     def __init__(self, codes: list[bytes], scores: list[bytes]):
         known = np.concatenate([_NONE, *map(unpack, codes)])
         self.known, at = np.unique(known, return_index=True)
-        self.scores = np.frombuffer(b"".join(scores))[at]
+        self.scores = np.concatenate([np.empty(0), *map(unpack_scores, scores)])[at]
 
     def score(self, codes: np.ndarray) -> np.ndarray:
         return self.scores[np.searchsorted(self.known, codes)]
@@ -419,7 +488,7 @@ def _answer_block():
         keys = words.column("word").to_numpy()
         known = pd.Index(keys)
         counts = np.append(words.column("c").to_numpy(), 0)
-        new = int(np.sum(words.column("first").to_numpy().astype(bool) & (counts[:-1] > 0)))
+        new = int(np.sum(words.column("first").to_numpy().astype(bool)))
         out = []
         docs = docs.combine_chunks()
         column = docs.column("text").chunk(0) if len(docs) else pa.array([], type=pa.string())
@@ -450,21 +519,23 @@ def score_documents(df: DataFrame, train: Column, id: str = "doc_id", text: str
                      F.coalesce(train, F.lit(False)).alias("train"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars // block_chars) + 1
-    buckets = 8 * math.ceil(math.sqrt(blocks))  # a block has a row a bucket
+    # a block has a row a bucket; beyond MAX_BUCKETS a bucket's requests are dealt over several groups
+    buckets = min(MAX_BUCKETS, 32 * math.ceil(math.sqrt(blocks)))
+    salts = math.ceil(blocks / (8 * buckets))
     candidates = context_counts(rows.filter("train").select("text"), min_count=min_count)
     tree, longer = fit_table(candidates, buckets, min_divergence)
     top = spark.sparkContext.broadcast(tree.levels)
-    dealt = rows.select("id", "text", "train", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")) \
+    dealt = rows.select("id", "text", "train", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block")) \
         .repartition(blocks, "block")
     # all columns, so that asking and answering read the same exchange of the texts
     asked = dealt.mapInArrow(_ask, "block bigint, word bigint, n bigint")
     asked = asked.groupBy("word", "block").agg(F.sum("n").alias("n"))
     by_word = Window.partitionBy("word")
     answers = asked.select("block", "word", F.sum("n").over(by_word).alias("c"),
-                           (F.col("block") == F.min("block").over(by_word)).cast("long").alias("first"))
+                           (F.col("block") == F.min("block").over(by_word)).cast("long").alias("first")) \
+        .filter("c > 0")  # a word without an answer is unknown
     asked_windows = dealt.mapInArrow(_ask_windows(buckets), "block bigint, bucket bigint, codes binary")
-    looked_up = asked_windows.groupBy("bucket").cogroup(longer.groupBy("bucket")).applyInArrow(
-        _look_up(top), "block bigint, codes binary, scores binary")
+    looked_up = look_up_windows(asked_windows, longer, top, salts)
     answers = answers.unionByName(looked_up, allowMissingColumns=True)
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer_block(), ANSWER)
     found = reliable_checkpoint(found)

@@ -155,3 +155,36 @@ def test_packed_codes():
     codes = np.unique(np.array([RND.getrandbits(48) for _ in range(3000)], dtype=np.uint64))
     for some in (codes, codes[:1], codes[:0]):
         assert np.array_equal(np.sort(st.unpack(st.pack(some))), some)
+
+
+def test_packed_scores():
+    rng = np.random.RandomState(3)
+    for scores in (rng.rand(70_000), np.repeat(rng.rand(300), 50), np.array([-1.5]), np.empty(0), np.array([0.0, -np.inf, 0.0])):
+        assert np.array_equal(st.unpack_scores(st.pack_scores(scores)), scores)
+
+
+def test_requests_of_a_bucket_are_dealt_and_streamed(spark, monkeypatch):
+    texts = [" ".join(RND.choices(["the", "then", "these", "été", "漢字", "x"], k=RND.randint(0, 30))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = st.fit_tree(st.context_counts(df.filter("doc_id % 4 <> 0").select("text"), min_count=st.MIN_COUNT).toPandas())
+    monkeypatch.setattr(st, "MAX_BUCKETS", 2)
+    monkeypatch.setattr(st, "LOOK_UP_BYTES", 100)
+    seen, look_up = [], st.look_up_windows
+    monkeypatch.setattr(st, "look_up_windows", lambda a, b, c, salts: (seen.append(salts), look_up(a, b, c, salts))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # groups that span batches
+    try:
+        got = {r.id: r.score for r in st.score_documents(df, F.col("doc_id") % 4 != 0, block_chars=300).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] > 1
+    assert [got[i] for i in range(len(texts))] == pytest.approx(list(st.Scorer(tree)(texts)))
+
+
+def test_rows_of_one_id_or_none(spark):
+    rows = [(None, f"some words {i}") for i in range(40)] + [(7, f"more words {i}") for i in range(40)] + [(1, "the same")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = st.score_documents(df, F.lit(True), block_chars=100).collect()
+    alone = st.score_documents(df, F.lit(True)).collect()
+    values = lambda rows: sorted((r.id or 0, r.n_tokens, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in rows)
+    assert values(got) == values(alone)
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {40 * 4 + 40 * 4 + 30 * 3}
