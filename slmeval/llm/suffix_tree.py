@@ -20,7 +20,7 @@ the requests of a bucket are dealt over groups whose number follows the data.
 Word counts (``base_score``) need the exact count of every word of every document, and the
 vocabulary grows with the corpus, so it is never gathered: documents are dealt into blocks of
 about ``BLOCK_CHARS`` characters by id and text; a block asks once for each distinct word, the requests
-are added up over all blocks by word, and the answers go back to the block. A word is known by its
+are added up over all blocks by word, and the answers go back to the block, many in one value. A word is known by its
 64-bit hash (two words share one with a chance of about n^2 / 2^65 over n distinct words).
 
 Results: null text is empty (only the end symbol). Without training rows N and V are 0, so
@@ -476,6 +476,42 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, first = [], b
 
 
+def pack_words(words: np.ndarray, counts: np.ndarray) -> bytes:
+    order = np.argsort(words)
+    columns = [words[order].astype("<u8"), counts[order].astype("<i8").view("<u8")]
+    raw = b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(1).compress(raw)
+
+
+def unpack_words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(2, 8, -1)
+    words, counts = (np.ascontiguousarray(c.T).view(np.int64).ravel() for c in raw)
+    return words, counts
+
+
+def _pack_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word, c, first) -> (block, words): a block's words of a run of about ``ASK_WORDS`` rows in
+    one value, with their counts, which are negative where the block is the first that asked."""
+    parts, held = [], 0
+
+    def out() -> pa.RecordBatch:
+        block, word, c = (np.concatenate(p) for p in zip(*parts))
+        order = np.argsort(block, kind="stable")
+        of, first = np.unique(block[order], return_index=True)
+        blobs = [pack_words(word[at], c[at]) for at in np.split(order, first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(blobs, pa.binary())], names=["block", "words"])
+
+    for batch in batches:
+        block, word, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("block", "word", "c", "first"))
+        parts.append((block, word, np.where(first, -c, c)))
+        held += len(block)
+        if held > ASK_WORDS:
+            yield out()
+            parts, held = [], 0
+    if held:
+        yield out()
+
+
 ANSWER = "id bigint, train boolean, block bigint, n_words bigint, n_known bigint, log_sum double, score double, new_words bigint"
 
 
@@ -484,11 +520,11 @@ def _answer_block():
         of_window = pc.is_valid(answers.column("codes"))
         looked_up = answers.select(["codes", "scores"]).filter(of_window)
         scorer = Scorer(Answers(looked_up.column("codes").to_pylist(), looked_up.column("scores").to_pylist()))
-        words = answers.select(["word", "c", "first"]).filter(pc.invert(of_window))
-        keys = words.column("word").to_numpy()
+        words = [unpack_words(w) for w in answers.column("words").filter(pc.invert(of_window)).to_pylist()]
+        keys, signed = (np.concatenate([np.empty(0, dtype=np.int64), *c]) for c in (zip(*words) if words else ((), ())))
         known = pd.Index(keys)
-        counts = np.append(words.column("c").to_numpy(), 0)
-        new = int(np.sum(words.column("first").to_numpy().astype(bool)))
+        counts = np.append(np.abs(signed), 0)
+        new = int(np.sum(signed < 0))
         out = []
         docs = docs.combine_chunks()
         column = docs.column("text").chunk(0) if len(docs) else pa.array([], type=pa.string())
@@ -526,16 +562,17 @@ def score_documents(df: DataFrame, train: Column, id: str = "doc_id", text: str
     tree, longer = fit_table(candidates, buckets, min_divergence)
     top = spark.sparkContext.broadcast(tree.levels)
     dealt = rows.select("id", "text", "train", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block")) \
-        .repartition(blocks, "block")
+        .repartition(2 * blocks, "block")  # more partitions than blocks, so that few blocks share one
     # all columns, so that asking and answering read the same exchange of the texts
     asked = dealt.mapInArrow(_ask, "block bigint, word bigint, n bigint")
     asked = asked.groupBy("word", "block").agg(F.sum("n").alias("n"))
     by_word = Window.partitionBy("word")
     answers = asked.select("block", "word", F.sum("n").over(by_word).alias("c"),
-                           (F.col("block") == F.min("block").over(by_word)).cast("long").alias("first")) \
+                           (F.col("block") == F.min("block").over(by_word)).alias("first")) \
         .filter("c > 0")  # a word without an answer is unknown
     asked_windows = dealt.mapInArrow(_ask_windows(buckets), "block bigint, bucket bigint, codes binary")
     looked_up = look_up_windows(asked_windows, longer, top, salts)
+    answers = answers.mapInArrow(_pack_answers, "block bigint, words binary")
     answers = answers.unionByName(looked_up, allowMissingColumns=True)
     found = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer_block(), ANSWER)
     found = reliable_checkpoint(found)

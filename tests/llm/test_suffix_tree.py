@@ -188,3 +188,11 @@ def test_rows_of_one_id_or_none(spark):
     values = lambda rows: sorted((r.id or 0, r.n_tokens, r.n_known, round(r.score, 6), round(r.base_score, 6)) for r in rows)
     assert values(got) == values(alone)
     assert len(got) == len(rows) and {r.train_tokens for r in got} == {40 * 4 + 40 * 4 + 30 * 3}
+
+
+def test_packed_words():
+    words = np.unique(np.array([RND.getrandbits(64) for _ in range(5000)], dtype=np.uint64)).view(np.int64)
+    counts = np.array([RND.choice([1, -1, 7, -(10**12)]) for _ in words])
+    for n in (len(words), 1):
+        got = dict(zip(*(x.tolist() for x in st.unpack_words(st.pack_words(words[:n].view(np.uint64), counts[:n])))))
+        assert got == dict(zip(words[:n].tolist(), counts[:n].tolist()))
