@@ -7,7 +7,8 @@ A word vocabulary is built by Spark from the data (``build_vocabulary``) and app
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,6 +23,7 @@ from .ordered import ordered_scan
 from .split import split_exact
 
 MAX_BROADCAST_ENTRIES = 1_000_000  # vocabulary rows that are broadcast; more are joined
+MAX_BROADCAST_BYTES = 64 << 20  # and bytes of their texts
 
 # Fixed values.
 # Word tokens: runs of letters (with combining marks), runs of digits, or one other
@@ -88,26 +90,46 @@ def select_model_inputs(df: DataFrame) -> DataFrame:
     return df.select("input_ids", "attention_mask")
 
 
+_kept: dict[int, Callable] = {}
+
+
+def _positions(name: str, keys: pa.ChunkedArray) -> Callable:
+    """Place of a key in the broadcast table, from a dictionary that a worker builds once for a table."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = dict(zip(keys.to_pylist(), range(len(keys)))).get
+    return _kept[name]
+
+
 def _mapped_array(df: DataFrame, array: Column, table: DataFrame, key: str, value: str, default, out_col: str) -> DataFrame:
     """``df`` with ``out_col``: the elements of ``array`` replaced by the table's values, in order.
 
-    Up to ``MAX_BROADCAST_ENTRIES`` rows (counted) the table is broadcast and every row is mapped by
-    itself, without a shuffle. A larger table is joined: rows get an id of their own (written, so it
-    is fixed), their elements meet the table by key and are gathered again under that id.
+    Up to ``MAX_BROADCAST_ENTRIES`` rows and ``MAX_BROADCAST_BYTES`` bytes of text (both counted) the
+    table is broadcast as Arrow arrays and every row is mapped by itself, without a shuffle: a batch
+    looks up its distinct elements once. A larger table is joined: rows get an id of their own (written,
+    so it is fixed), their elements meet the table by key and are gathered again under that id.
+    Elements that are NULL, unknown or without a value become ``default``.
     """
     kind = table.schema[value].dataType
     rows = table.select(key, value).limit(MAX_BROADCAST_ENTRIES + 1)
-    if rows.count() <= MAX_BROADCAST_ENTRIES:
-        shared = df.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in rows.collect()})
-        arrow = to_arrow_type(kind)
+    text_bytes = F.sum(F.octet_length(F.col(key).cast("string")) + F.octet_length(F.coalesce(F.col(value).cast("string"), F.lit(""))))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(text_bytes, F.lit(0)).alias("b")).first()
+    if size.n <= MAX_BROADCAST_ENTRIES and size.b <= MAX_BROADCAST_BYTES:
+        known = rows.toArrow().combine_chunks()
+        values = pc.fill_null(pa.chunked_array([*known.column(1).chunks, pa.array([default], type=known.schema.types[1])]), default)
+        shared = df.sparkSession.sparkContext.broadcast((known.column(0), values.combine_chunks()))
+        arrow, name = to_arrow_type(kind), uuid.uuid4().hex
 
         @F.arrow_udf(T.ArrayType(kind))
         def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            get = shared.value.get
+            keys, values = shared.value
+            position = _positions(name, keys)
             for batch in batches:
                 offsets = pc.subtract(batch.offsets, batch.offsets[0]) if len(batch) else pa.array([0], type=pa.int32())
-                found = [get(x, default) for x in batch.flatten().to_pylist()]
-                lists = pa.ListArray.from_arrays(offsets, pa.array(found, type=arrow))
+                each = pc.dictionary_encode(batch.flatten(), null_encoding="encode")
+                at = [position(x, len(values) - 1) for x in each.dictionary.to_pylist()]
+                found = values.take(pa.array(at, type=pa.int64())).take(each.indices).cast(arrow)
+                lists = pa.ListArray.from_arrays(offsets, found)
                 yield pc.if_else(batch.is_valid(), lists, None) if batch.null_count else lists
 
         return df.withColumn(out_col, look_up(array))

@@ -854,6 +854,18 @@ def q_training_table(spark, sf_dir):
     return t.select("doc_id", "in_train", *[_ids_text(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
+@register("model_inputs", _SQL_ENCODED.replace("WITH v", "WITH k AS (SELECT doc_id, md5('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents), "
+          "r AS (SELECT doc_id, row_number() OVER (ORDER BY h, doc_id) AS rn, count(*) OVER () AS n FROM k), v", 1) + """
+SELECT array_to_string(input_ids, ',') AS input_ids, array_to_string(attention_mask, ',') AS attention_mask
+FROM enc JOIN r USING (doc_id) WHERE rn <= round_even(0.8 * n, 0)
+""")
+def q_model_inputs(spark, sf_dir):
+    """The training part of the training table, model input columns only."""
+    d = fx.table(spark, sf_dir, "documents")
+    t = tk.training_table(d, "doc_id", "text", tk.build_vocabulary(d, "text"))
+    return tk.select_model_inputs(t.filter("in_train")).select(*[_ids_text(c).alias(c) for c in ("input_ids", "attention_mask")])
+
+
 ARRAY_BITS = 10
 
 

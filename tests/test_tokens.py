@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from slmeval.functions import arrays as ar
 from slmeval.operators import tokens as tk
 
@@ -35,8 +37,10 @@ def test_repeated_keys_nulls_and_large_vocabulary(spark, monkeypatch):
     vocab = tk.build_vocabulary(df, "text")
     assert {r.token: r.token_id for r in vocab.collect()} == {tk.WORD_EOS: 0, tk.WORD_UNK: 1, "a": 2, "b": 3, "c": 4, "d": 5, "e": 6}
     expected = [(1, 2, [5, 6, 0, 0]), (1, 3, [2, 3, 4, 0]), (2, 0, [0] * 4), (3, 0, [0] * 4), (None, 1, [2, 0, 0, 0])]
-    for bound in (tk.MAX_BROADCAST_ENTRIES, 3):  # broadcast, and joined by key
-        monkeypatch.setattr(tk, "MAX_BROADCAST_ENTRIES", bound)
+    for entries, size in ((tk.MAX_BROADCAST_ENTRIES, tk.MAX_BROADCAST_BYTES), (3, tk.MAX_BROADCAST_BYTES), (100, 10)):
+        # broadcast; joined by key for the rows or the bytes of the vocabulary
+        monkeypatch.setattr(tk, "MAX_BROADCAST_ENTRIES", entries)
+        monkeypatch.setattr(tk, "MAX_BROADCAST_BYTES", size)
         got = [(r.doc_id, r.n_tokens, list(r.input_ids)) for r in tk.encode_words(df, "doc_id", "text", vocab, 4).collect()]
         assert sorted(got, key=str) == expected
         ids = tk.lookup_words(df.union(spark.createDataFrame([(9, "a zz b")], df.schema)), "doc_id", "text", vocab)
@@ -79,3 +83,13 @@ def test_array_helpers(spark):
                   ar.append_token("ids", 11).alias("p"), ar.close_loop("ids").alias("c")).first()
     assert r.a == 1 and r.m == 2.25 and list(r.n) == [9, 10] and list(r.e) == [] and list(r.s) == [7, 9, 10]
     assert list(r.p) == [7, 8, 9, 10, 11] and list(r.c) == [7, 8, 9, 10, 7]
+
+
+def test_null_and_unknown_elements(spark, monkeypatch):
+    table = spark.createDataFrame([("a", 5), ("b", None), ("é", 7)], "k string, v int")
+    rows = [(1, ["a", None, "b", "é", "z"] * 3), (2, []), (3, None), (4, ["é"])]
+    df = spark.createDataFrame(rows, "id int, x array<string>").repartition(1)
+    for size in (tk.MAX_BROADCAST_BYTES, -1):
+        monkeypatch.setattr(tk, "MAX_BROADCAST_BYTES", size)
+        got = {r.id: r.y for r in tk._mapped_array(df, F.col("x"), table, "k", "v", -1, "y").collect()}
+        assert got == {1: [5, -1, -1, 7, -1] * 3, 2: [], 3: None, 4: [7]}
