@@ -93,3 +93,15 @@ def test_null_and_unknown_elements(spark, monkeypatch):
         monkeypatch.setattr(tk, "MAX_BROADCAST_BYTES", size)
         got = {r.id: r.y for r in tk._mapped_array(df, F.col("x"), table, "k", "v", -1, "y").collect()}
         assert got == {1: [5, -1, -1, 7, -1] * 3, 2: [], 3: None, 4: [7]}
+
+
+def test_large_vocabulary_writes_and_joins_rare_elements_only(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a c a"), (2, "b a d"), (3, None), (4, "")], "doc_id long, text string")
+    vocab = tk.build_vocabulary(df, "text")  # a 2, b 3, c 4, d 5
+    monkeypatch.setattr(tk, "MAX_BROADCAST_ENTRIES", 4)
+    written, checkpoint = [], tk.reliable_checkpoint
+    monkeypatch.setattr(tk, "reliable_checkpoint", lambda x: written.append(checkpoint(x)) or written[-1])
+    got = {r.doc_id: r.ids for r in tk.lookup_words(df, "doc_id", "text", vocab).collect()}
+    assert got == {1: [2, 3, 2, 4, 2], 2: [3, 2, 5], 3: None, 4: []}
+    rows = {r.doc_id: [w for v in r if isinstance(v, list) for w in v if isinstance(w, str)] for r in written[-1].collect()}
+    assert rows == {1: ["c"], 2: ["d"], 3: [], 4: []}
