@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from ..session import reliable_checkpoint
 
 MAX_BROADCAST = 1_000_000  # splits, about 40 bytes each
+RUN_BYTES = 1 << 20  # text taken up at once: its state takes some tens of bytes for each of its own
 FILE, START = "_blk_file", "_blk_start"
 
 
@@ -48,10 +49,12 @@ def pieces(spark: SparkSession, path: str | list[str], separator: str, base: str
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    """(start, end) of the rows of one split after the other."""
+    """(start, end) of the rows of one split after the other, in runs of about ``RUN_BYTES`` of text."""
     file, start = (batch.column(i).to_numpy() for i in (0, 1))
     if len(file):
-        cut = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1])) + 1
+        lengths = pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False)
+        size = np.cumsum(lengths, dtype=np.int64) // RUN_BYTES
+        cut = np.flatnonzero((file[1:] != file[:-1]) | (start[1:] != start[:-1]) | (size[1:] != size[:-1])) + 1
         yield from zip([0, *cut.tolist()], [*cut.tolist(), len(file)])
 
 

@@ -130,3 +130,23 @@ def test_items_written_as_arrays_read_back(spark, tmp_path, splits):
     splits(500)
     back = si.read_items(spark, str(tmp_path / "out"), fields=("k", "question", "answer"), required=("question", "answer"))
     assert sorted((int(r.k), r.question, r.answer) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_text_taken_up_at_once_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    n, size = 50, 100_000
+    batch = pa.RecordBatch.from_arrays([pa.array([1] * 30 + [2] * 20), pa.array([0] * n), pa.array(["x" * size] * n)], names=["f", "s", "value"])
+    runs = list(blocks._runs(batch))
+    assert [a for a, _ in runs] == [0, *[b for _, b in runs[:-1]]] and runs[-1][1] == n and 30 in [b for _, b in runs]
+    assert max(b - a for a, b in runs) * size <= blocks.RUN_BYTES + size
+    # the same records whatever is taken up at once
+    text = json.dumps([{"a": f'{i} "}}]' + "\\" * (i % 3), "b": [{"c": i}]} for i in range(200)])
+    values = pa.array(text.split("}"))
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * len(values)), pa.array([0] * len(values)), pa.array([0] * len(values)),
+                                       pa.array([0] * len(values)), values], names=["f", "s", "s0", "s1", "value"])
+    found = []
+    for size in (1 << 20, 50, 1):
+        monkeypatch.setattr(blocks, "RUN_BYTES", size)
+        found.append([r for b in blocks._cut(split_json._advance, "}", 2, None)(iter([rows])) for r in b.select(["first", "closed", "text"]).to_pylist()])
+    assert len(found[0]) == 201 and found[0] == found[1] == found[2]
