@@ -43,6 +43,16 @@ def _names(cols: Sequence[str | Column] | str | Column | None) -> list:
     return list(cols)
 
 
+RANGE_ROWS = 500_000  # rows of a range that ``ranges_for`` aims at
+
+
+def ranges_for(df: DataFrame) -> int | None:
+    """Number of ranges for the rows of ``df`` (counted, so it should be cheap to read): a range keeps its size
+    as the table grows. None, the adaptive planner's choice, for the rows of one range."""
+    ranges = -(-df.count() // RANGE_ROWS)
+    return max(ranges, df.sparkSession.sparkContext.defaultParallelism) if ranges > 1 else None
+
+
 def range_checkpoint(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -54,7 +64,8 @@ def range_checkpoint(
 
     Without ``num_partitions`` there are as many ranges as the session's shuffle partitions (or
     ``spark.sql.adaptive.coalescePartitions.initialPartitionNum``), of which the adaptive planner
-    merges adjacent small ones; it never splits a range, so set that number for large tables.
+    merges adjacent small ones; it never splits a range, so set that number (:func:`ranges_for`) for
+    large tables.
     Range partitioning reads its input twice (sample, then shuffle): ``materialise_input`` writes
     an expensive input (Python, a model) once instead.
     """

@@ -15,7 +15,7 @@ from .._util import col
 from ..functions.arrays import close_loop, radar_angles
 from ..functions.metrics import relative_score
 from .exact import exact_means
-from .ordered import ordered_scan
+from .ordered import ordered_scan, ranges_for
 
 # The averaged metrics and their order on the radar chart.
 DEFAULT_METRICS: dict[str, str] = {
@@ -131,6 +131,8 @@ def empirical_cdf(
     """
     labels = [label_col] if isinstance(label_col, str) else list(label_col)
     v = drop_missing(df.select(*labels, F.col(value_col).cast("double").alias("value")), "value")
+    if points in ("rows", "distinct"):
+        num_partitions = num_partitions or ranges_for(v)
     if points == "distinct":
         d = v.groupBy(*labels, "value").agg(F.count(F.lit(1)).alias("n_rows"))
         s = ordered_scan(d, labels, ["value"], weight="n_rows", cum_col="_before", total_col="_n",

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from slmeval.operators import stats
 
@@ -82,3 +83,15 @@ def test_scores_come_from_unrounded_means(spark):
     means = stats.mean_by_label(df, metrics={"avg_t": "t"})
     scores = {r.label: r.score_avg_t for r in stats.relative_scores(means, ["avg_t"]).collect()}
     assert scores["a"] == 100.0 and abs(scores["b"] - 0.0066666) < 1e-5
+
+
+def test_cdf_ranges_follow_the_rows(spark, monkeypatch):
+    from slmeval.operators import ordered
+
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 100, raising=False)
+    written, checkpoint = [], ordered.range_checkpoint
+    monkeypatch.setattr(ordered, "range_checkpoint", lambda *a, **k: written.append(checkpoint(*a, **k)) or written[-1])
+    df = spark.range(2000).select(F.lit("A").alias("label"), (F.col("id") % 4).cast("double").alias("v"))
+    got = stats.empirical_cdf(df, "label", "v").collect()
+    assert sorted((r.value, r["rank"], r.cdf) for r in got) == [(float(i // 500), i + 1, (i + 1) / 2000) for i in range(2000)]
+    assert max(r["count"] for r in written[-1].groupBy(ordered.PID).count().collect()) <= 300
