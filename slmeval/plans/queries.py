@@ -915,20 +915,28 @@ def q_items_split_array(spark, sf_dir):
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(tx.build_prompt("scenario", "question")).alias("prompt_md5"))
 
 
+FRAME_FILES = 500  # that a task writes
+
+
 @register("read_frames", """
 SELECT CAST(page_id AS BIGINT) AS page_id, CAST(strlen(html) AS BIGINT) AS length, md5(html) AS md5 FROM pages
 """)
 def q_read_frames(spark, sf_dir):
-    """Binary files read as frames: each page's bytes in a file of its own folder."""
+    """Binary files read as frames: each page's bytes in a file of its own, after a line with its number; a folder
+    holds the files of a writing task."""
     from ..sources import frames as sfr
 
     path = scratch_path(spark, "frames")
     pages = fx.table(spark, sf_dir, "pages").select("page_id", "html")
-    pages.select("page_id", F.col("html").alias("value")).write.option(
-        "lineSep", "\x00").option("maxRecordsPerFile", 1).partitionBy("page_id").text(path)
-    frames = sfr.read_frames(spark, path)
-    return frames.select(F.col("page_id").cast("long").alias("page_id"), (F.col("length") - 1).alias("length"),
-                         F.md5(F.expr("substring(content, 1, length - 1)")).alias("md5"))
+    tasks = max(1, -(-pages.count() // FRAME_FILES))
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    files = pages.select(F.encode(F.concat(number, F.lit("\n"), F.coalesce("html", F.lit(""))), "UTF-8").alias("content"))
+    sfr.write_frames(files.repartition(tasks).sortWithinPartitions("content"), path)
+    frames = sfr.read_frames(spark, path).coalesce(tasks).withColumn(
+        "number", F.expr(r"substring_index(CAST(substring(content, 1, 21) AS STRING), '\n', 1)"))
+    parts = frames.select("content", "number", (F.length("number") + 1).alias("start"), F.col("length").cast("int").alias("length"))
+    return parts.select(F.col("number").try_cast("long").alias("page_id"), (F.col("length") - F.col("start") - 1).cast("long").alias("length"),
+                        F.md5(F.expr("substring(content, start + 1, length - start - 1)")).alias("md5"))
 
 
 @register("latest_reading_stream", ORACLE_SQL["latest_reading"])

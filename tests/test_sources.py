@@ -102,3 +102,19 @@ def test_item_arrays_are_bounded_whatever_a_conversation(spark, tmp_path, monkey
     assert sum(lengths) == 8000 and max(lengths) <= 1024
     key = lambda r: tuple(-1 if v is None else v for v in r)
     assert sorted(key((r.conv_id, r.turn)) for r in got) == sorted(key(r[:2]) for r in rows)
+
+
+def test_folders_of_frames_follow_the_tasks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from slmeval.plans import queries as q
+
+    rows = [(i, f"<p>é\n{i}</p>" * (i % 5)) for i in range(40)] + [(3, "again"), (-(1 << 63), "\n1\n"), (None, "lost"), (50, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "sf" / "pages.parquet"))
+    monkeypatch.setattr(q, "scratch_path", lambda spark, name: str(tmp_path / name))
+    monkeypatch.setattr(q, "FRAME_FILES", 15, raising=False)
+    got = sorted(map(tuple, q.QUERIES["read_frames"](spark, str(tmp_path / "sf")).collect()), key=str)
+    data = [(i, (h or "").encode()) for i, h in rows]
+    assert got == sorted(((i, len(h), hashlib.md5(h).hexdigest()) for i, h in data), key=str)
+    frames = tmp_path / "frames"
+    assert len([p for p in frames.iterdir() if p.is_dir()]) <= 3 and len([p for p in frames.glob("*/*") if p.name[0] != "."]) == len(rows)
