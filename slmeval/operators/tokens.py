@@ -103,10 +103,9 @@ def _positions(name: str, keys: pa.ChunkedArray) -> Callable:
 
 
 def _broadcast_size(rows: DataFrame, key: str, value: str):
-    """(n, b) rows and bytes of text, of at most one row more than may be broadcast."""
+    """(n, b) rows and bytes of text, added up where the rows lie: a limit would send them to one task."""
     text_bytes = F.sum(F.octet_length(F.col(key).cast("string")) + F.octet_length(F.coalesce(F.col(value).cast("string"), F.lit(""))))
-    some = rows.limit(MAX_BROADCAST_ENTRIES + 1)
-    return some.agg(F.count("*").alias("n"), F.coalesce(text_bytes, F.lit(0)).alias("b")).first()
+    return rows.agg(F.count("*").alias("n"), F.coalesce(text_bytes, F.lit(0)).alias("b")).first()
 
 
 def _broadcast_lookup(rows: DataFrame, key: str, value: str, default, whole: bool):

@@ -105,3 +105,17 @@ def test_large_vocabulary_writes_and_joins_rare_elements_only(spark, monkeypatch
     assert got == {1: [2, 3, 2, 4, 2], 2: [3, 2, 5], 3: None, 4: []}
     rows = {r.doc_id: [w for v in r if isinstance(v, list) for w in v if isinstance(w, str)] for r in written[-1].collect()}
     assert rows == {1: ["c"], 2: ["d"], 3: [], 4: []}
+
+
+def test_size_of_a_large_vocabulary_is_added_up_where_its_rows_lie(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b a c a"), (2, "b a d")], "doc_id long, text string")
+    vocab = tk.build_vocabulary(df, "text").repartition(4)
+    limited, limit = [], type(vocab).limit
+    monkeypatch.setattr(type(vocab), "limit", lambda x, n: limited.append(x.columns) or limit(x, n))
+    for entries in (4, 100):  # a part of it broadcast, all of it
+        monkeypatch.setattr(tk, "MAX_BROADCAST_ENTRIES", entries)
+        got = {r.doc_id: r.ids for r in tk.lookup_words(df, "doc_id", "text", vocab).collect()}
+        assert got == {1: [2, 3, 2, 4, 2], 2: [3, 2, 5]}
+    assert not [c for c in limited if "token" in c]  # rows that a limit lets through all go to one task
+    size = tk._broadcast_size(vocab, "token", "token_id")
+    assert (size.n, size.b) == (6, len(tk.WORD_EOS) + len(tk.WORD_UNK) + 4 + 6)
